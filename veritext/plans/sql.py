@@ -41,7 +41,8 @@ def extreme_sql(r: str) -> str:
 
 
 def tokens_sql(x: str) -> str:
-    strip = f"regexp_replace(w, '^[{_PUNCT_CLASS}]+|[{_PUNCT_CLASS}]+\\z', '', 'g')"
+    pattern = _q(f"^[{_PUNCT_CLASS}]+|[{_PUNCT_CLASS}]+\\z")
+    strip = f"regexp_replace(w, {pattern}, '', 'g')"
     return (f"list_filter(list_transform(regexp_split_to_array({x}, '[{WS}]+'), lambda w: {strip}), "
             f"lambda w: w <> '')")
 
