@@ -80,3 +80,13 @@ lexagg AS (
                    ELSE s END AS s2
     FROM lexagg0) a ON f.review_id = a.review_id)
 """
+
+
+def full_features_prefix() -> str:
+    """WITH ... up to ``full_features``: every review-level feature plus label and ``y``."""
+    from veritext.plans.sql import with_views
+    return (with_views("features_docs") + lexicon_ctes()
+            + """, full_features AS (
+  SELECT f.*, a.sentiment_score, a."VERB", a."ADV", a."NOUN"
+  FROM features_docs f JOIN lexagg a USING (review_id))
+""")
