@@ -90,25 +90,36 @@ def roc_auc(df: DataFrame, score: str, y: str = "y", group: list[str] = (),
     """Exact ROC AUC with ties counted one half, per group.
 
     AUC = sum over positives of (negatives scored lower + half the negatives scored equal) / (P N).
-    1. ``(group, score)`` -> positive and negative counts (partial aggregation: rows collapse to
-       distinct scores before the shuffle);
-    2. scores are binned (``floor(score * bins)``, probabilities in [0, 1]); per-bin negative totals
-       and their running sum form a table of at most groups x bins rows, broadcast after a check;
-    3. the running count of lower negatives *inside* a bin is a window partitioned by (group, bin):
-       many small partitions, so no task sees all distinct scores.
+    Rows collapse to ``(group, score) -> (positives, negatives)`` first (partial aggregation: the
+    shuffle carries distinct scores, not rows); ``auc_from_counts`` does the rest.
     """
     group = list(group)
     s = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull())
     per_score = (s.groupBy(*group, F.col(score).alias("_s"))
                   .agg(F.sum(F.col(y).cast("long")).alias("_pos"),
-                       F.sum((1 - F.col(y)).cast("long")).alias("_neg"))
-                  .withColumn("_bin", F.least(F.greatest(F.floor(F.col("_s") * bins), F.lit(0)),
-                                              F.lit(bins - 1)).cast("int"))
-                  .persist())
-    bin_tot = per_score.groupBy(*group, "_bin").agg(F.sum("_neg").alias("_bneg"))
+                       F.sum((1 - F.col(y)).cast("long")).alias("_neg")))
+    return auc_from_counts(per_score, "_s", "_pos", "_neg", group, bins)
+
+
+def auc_from_counts(per_score: DataFrame, score: str, pos: str, neg: str, group: list[str] = (),
+                    bins: int = 1024) -> DataFrame:
+    """AUC from one row per (group, distinct score) with positive and negative counts.
+
+    Scores are probabilities in [0, 1] and are binned (``floor(score * bins)``). Per-bin negative
+    totals and their running sum form a table of at most groups x bins rows, broadcast after a size
+    check; the running count of lower negatives *inside* a bin is a window partitioned by
+    (group, bin): many small partitions, so no task sees all distinct scores.
+    """
+    group = list(group)
+    ps = (per_score.select(*group, F.col(score).alias("_s"), F.col(pos).alias("_pos"),
+                           F.col(neg).alias("_neg"))
+                   .withColumn("_bin", F.least(F.greatest(F.floor(F.col("_s") * bins), F.lit(0)),
+                                               F.lit(bins - 1)).cast("int"))
+                   .persist())
+    bin_tot = ps.groupBy(*group, "_bin").agg(F.sum("_neg").alias("_bneg"))
     wb = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bin_off = bin_tot.select(*group, "_bin", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)).alias("_boff"))
-    joined = per_score.join(bounded_broadcast(bin_off), group + ["_bin"])
+    joined = ps.join(bounded_broadcast(bin_off), group + ["_bin"])
     wi = Window.partitionBy(*group, "_bin").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_boff") + F.coalesce(F.sum("_neg").over(wi), F.lit(0))
     contrib = joined.withColumn("_c", F.col("_pos") * (below + 0.5 * F.col("_neg")))

@@ -23,6 +23,7 @@ def score_table(features: DataFrame) -> DataFrame:
         F.round(S.sigmoid(z_tree), 6).alias("p_tree"),
         F.round(S.sigmoid(z_text), 6).alias("p_text"),
         z_text.alias("z_text"),
+        z_tree.alias("z_tree"),
     )
 
 

@@ -78,7 +78,8 @@ VIEWS = {
   SELECT review_id, label, y, char_length, word_count, punctuation_ct,
          round(1.0 / (1.0 + exp(-(4.0 * punctuation_ct / greatest(char_length, 1) - 0.1))), 6) AS p_tree,
          round(1.0 / (1.0 + exp(-(((word_count % 17) - 8) / 4.0))), 6) AS p_text,
-         ((word_count % 17) - 8) / 4.0 AS z_text
+         ((word_count % 17) - 8) / 4.0 AS z_text,
+         4.0 * punctuation_ct / greatest(char_length, 1) - 0.1 AS z_tree
   FROM features_docs)""",
 }
 
