@@ -1,4 +1,4 @@
 """Imports every catalog module so that all queries are registered."""
 
-from veritext.plans import catalog, catalog_lexicon, catalog_matrix, catalog_metrics, catalog_runs, catalog_encode  # noqa: F401
+from veritext.plans import catalog, catalog_lexicon, catalog_matrix, catalog_metrics, catalog_runs, catalog_encode, catalog_models  # noqa: F401
 from veritext.plans.registry import ORACLES, QUERIES  # noqa: F401
