@@ -10,7 +10,7 @@ from veritext.functions import scores as S
 from veritext.operators.features import label_map
 
 
-def score_table(features: DataFrame) -> DataFrame:
+def score_table(features: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Closed-form stand-in for two trained models; both columns are p(OR = human), 6 places.
 
     Lets every metric and verdict operator be checked exactly against SQL without a model.
@@ -24,6 +24,7 @@ def score_table(features: DataFrame) -> DataFrame:
         F.round(S.sigmoid(z_text), 6).alias("p_text"),
         z_text.alias("z_text"),
         z_tree.alias("z_tree"),
+        *keep,
     )
 
 
