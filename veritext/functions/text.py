@@ -55,8 +55,9 @@ def char_length(c) -> Column:
 
 
 def word_count(c) -> Column:
-    """H6: ``len(text.split())``."""
-    return F.regexp_count(_col(c), F.lit(WORD_PATTERN)).cast("bigint")
+    """H6: ``len(text.split())``: non-empty pieces between white-space runs (a split is about four
+    times cheaper than counting regex matches)."""
+    return F.size(words(c)).cast("bigint")
 
 
 def punctuation_count(c) -> Column:

@@ -94,7 +94,9 @@ def roc_auc(df: DataFrame, score: str, y: str = "y", group: list[str] = (),
     shuffle carries distinct scores, not rows); ``auc_from_counts`` does the rest.
     """
     group = list(group)
-    s = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull())
+    # Only the label is filtered here: a predicate on a computed score would be pushed below any
+    # repartition of the input and evaluated there. Null scores drop out at the bin join.
+    s = df.filter(F.col(y).isNotNull())
     per_score = (s.groupBy(*group, F.col(score).alias("_s"))
                   .agg(F.sum(F.col(y).cast("long")).alias("_pos"),
                        F.sum((1 - F.col(y)).cast("long")).alias("_neg")))
