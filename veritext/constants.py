@@ -17,6 +17,10 @@ from __future__ import annotations
 WS_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS_CLASS_RE2 = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+# The same 29 characters as code points (ranges inclusive), for membership tests without a regex.
+WS_CODE_POINTS = ([*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                   0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
 # Python's string.punctuation: the 32 ASCII marks.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veritext.constants import PUNCTUATION, WS_CLASS
+from veritext.constants import PUNCTUATION, WS_CLASS, WS_CODE_POINTS
 
 TAG_PATTERN = r"(?d)<.*?>"  # (?d): only \n stops the dot, as in Python
 LINK_PATTERN = rf"(?:http|www)[^{WS_CLASS}]+"
@@ -20,28 +20,44 @@ _PUNCT_CLASS = "".join("\\" + c if c in "\\[]^-" else c for c in PUNCTUATION)
 EDGE_PUNCT_PATTERN = rf"^[{_PUNCT_CLASS}]+|[{_PUNCT_CLASS}]+\z"
 
 
+WS_CHARS = "".join(chr(cp) for cp in WS_CODE_POINTS)
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _edge_in(t: Column, chars: str) -> Column:
+    """First or last character is one of ``chars`` (byte-level string functions, no regex)."""
+    return (F.instr(F.lit(chars), F.left(t, F.lit(1))) > 0) | \
+           (F.instr(F.lit(chars), F.right(t, F.lit(1))) > 0)
+
+
 def lower_text(c) -> Column:
     """H1."""
     return F.lower(_col(c))
 
 
+# Each clean-up regex runs only on rows where it can change something; the guards are cheap tests
+# on Spark's native strings, the regexes convert and scan the whole text.
+
 def remove_tags(c) -> Column:
     """H2: shortest ``<...>`` with no newline inside."""
-    return F.regexp_replace(_col(c), TAG_PATTERN, "")
+    t = _col(c)
+    return F.when(t.contains("<"), F.regexp_replace(t, TAG_PATTERN, "")).otherwise(t)
 
 
 def remove_links(c) -> Column:
     """H3: ``http``/``www`` plus at least one non-space character, anywhere in a word."""
-    return F.regexp_replace(_col(c), LINK_PATTERN, "")
+    t = _col(c)
+    return F.when(t.contains("http") | t.contains("www"),
+                  F.regexp_replace(t, LINK_PATTERN, "")).otherwise(t)
 
 
 def strip_ws(c) -> Column:
     """H4: Python ``str.strip()``."""
-    return F.regexp_replace(_col(c), EDGE_WS_PATTERN, "")
+    t = _col(c)
+    return F.when(_edge_in(t, WS_CHARS), F.regexp_replace(t, EDGE_WS_PATTERN, "")).otherwise(t)
 
 
 def clean_text(c) -> Column:
@@ -73,13 +89,22 @@ def is_extreme_star(rating) -> Column:
 
 def words(c) -> Column:
     """White-space split (``str.split()``) as ARRAY<STRING>, no empty elements."""
-    return F.filter(F.split(_col(c), WS_RUN_PATTERN), lambda x: x != "")
+    return F.array_remove(F.split(_col(c), WS_RUN_PATTERN), "")
+
+
+# A token separator: a white-space run together with punctuation touching it on either side, and
+# punctuation-only words between white-space runs. Splitting on it strips every inner word's edges in
+# one regex pass; the text's own ends are stripped by an anchored replace.
+TOKEN_SEPARATOR = (rf"[{_PUNCT_CLASS}]*[{WS_CLASS}]+(?:[{_PUNCT_CLASS}]*[{WS_CLASS}]+)*"
+                   rf"[{_PUNCT_CLASS}]*")
 
 
 def tokens(c) -> Column:
-    """H9: words with leading and trailing ASCII punctuation removed; empties dropped."""
-    return F.filter(
-        F.transform(F.split(_col(c), WS_RUN_PATTERN),
-                    lambda x: F.regexp_replace(x, EDGE_PUNCT_PATTERN, "")),
-        lambda x: x != "",
-    )
+    """H9: white-space words with leading and trailing ASCII punctuation removed; empties dropped.
+
+    Same result as stripping each word, without a per-word function call (no lambda, so the
+    expression stays inside whole-stage codegen).
+    """
+    t = _col(c)
+    t = F.when(_edge_in(t, PUNCTUATION), F.regexp_replace(t, EDGE_PUNCT_PATTERN, "")).otherwise(t)
+    return F.array_remove(F.split(t, TOKEN_SEPARATOR), "")

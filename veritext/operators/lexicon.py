@@ -2,17 +2,18 @@
 
 Plan (one pass over the text, one shuffle of one row per review):
 
-1. per review, the token array and everything a token needs from its neighbours (negation and
-   booster look-back, position of the first contrast word) are computed *inside the array* with
-   ``transform``: no window, no sort;
-2. ``inline_outer`` turns the array into token rows (a review without tokens keeps one null row);
+1. per review, the token array, its copies shifted by one, two and three places (the look-back a
+   negation or booster rule needs) and the position of the first contrast word are built with array
+   functions: no lambda (so whole-stage codegen stays on), no window, no sort;
+2. ``posexplode_outer`` turns the zipped arrays into token rows (a review without tokens keeps one
+   null row); the rules are plain row expressions from there on;
 3. the token rows are left-joined to one merged ``(term, valence, tag)`` table, broadcast after its
    size is checked; beyond the bound it is a shuffle join;
 4. one ``groupBy(review_id)``: partial aggregation collapses each review's tokens to one row
    inside the task, so the shuffle moves one small row per review whatever the text length.
 
-Negation and booster word lists are small by nature and checked against a bound; they are array and
-map literals. The main lexicon is a join, never a map literal.
+Negation, booster and contrast word lists are small by nature and checked against a bound; they
+become ``IN`` lists and ``CASE`` expressions. The main lexicon is a join, never a map literal.
 """
 
 from __future__ import annotations
@@ -56,34 +57,19 @@ def suffix_tag(term: Column, rules: list[tuple[int, str, str]]) -> Column:
     return expr
 
 
-def _token_structs(negations: list[str], boosters: dict[str, float], contrast: list[str]) -> Column:
-    toks = F.col("tokens")
-    neg_arr = F.array(*[F.lit(w) for w in negations]) if negations else F.array().cast("array<string>")
-    boost_map = (F.create_map(*[x for k, v in boosters.items() for x in (F.lit(k), F.lit(float(v)))])
-                 if boosters else None)
-
-    def prev(i, k):  # token k places before 0-based position i, or null
-        return F.when(i >= k, F.element_at(toks, i - k + 1))
-
-    def is_neg(t):
-        return F.coalesce(F.array_contains(neg_arr, t), F.lit(False))
-
-    def boost(t):
-        if boost_map is None:
-            return F.lit(0.0)
-        return F.coalesce(F.when(t.isNotNull(), F.element_at(boost_map, t)), F.lit(0.0))
+def _shifted(toks: Column, k: int) -> Column:
+    """The token array moved right by ``k`` (``k`` leading nulls, same length)."""
+    n = F.size(toks)
+    pad = F.array(*[F.lit(None).cast("string")] * k)
+    return F.slice(F.concat(pad, toks), 1, n)
 
-    def one(t, i):
-        p1, p2, p3 = prev(i, 1), prev(i, 2), prev(i, 3)
-        return F.struct(
-            (i + 1).alias("pos"),
-            t.alias("term"),
-            (is_neg(p1) | is_neg(p2) | is_neg(p3)).alias("negated"),
-            (boost(p1) * BOOSTER_DAMPING[0] + boost(p2) * BOOSTER_DAMPING[1]
-             + boost(p3) * BOOSTER_DAMPING[2]).alias("boost"),
-        )
 
-    return F.transform(toks, one)
+def _first_position(toks: Column, words: list[str]) -> Column:
+    """1-based position of the first token in ``words``; 0 when none occurs."""
+    if not words:
+        return F.lit(0)
+    hits = [F.when(F.array_position(toks, w) > 0, F.array_position(toks, w)) for w in words]
+    return F.coalesce(F.least(*hits) if len(hits) > 1 else hits[0], F.lit(0))
 
 
 def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
@@ -94,6 +80,8 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
     """Sentiment compound and VERB/ADV/NOUN counts per review, in one token pass.
 
     ``keep``: review-level columns carried through the aggregation (scalars; grouped on).
+    The neighbours a rule looks at travel with each token as shifted copies of the token array
+    (``arrays_zip``), so the rules are plain row expressions after the explode: no lambda, no window.
     """
     negations, boosters, contrast = list(negations), dict(boosters or {}), list(contrast)
     for name, items in (("negations", negations), ("boosters", boosters), ("contrast", contrast),
@@ -101,20 +89,36 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
         _check_small(name, items)
     lex = bounded_broadcast(merged_lexicon(lexicon, tag_lexicon))
 
-    contrast_arr = F.array(*[F.lit(w) for w in contrast]) if contrast else F.array().cast("array<string>")
+    toks = F.col("tokens")
     base = with_tokens(df.select("review_id", text_col, *keep), text_col).select(
         "review_id", *keep,
         (F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("!"), F.lit("")))).alias("n_excl"),
-        F.array_position(F.transform("tokens", lambda t: F.array_contains(contrast_arr, t)), True)
-         .alias("contrast_pos"),
-        _token_structs(negations, boosters, contrast).alias("tok"),
+        _first_position(toks, contrast).alias("contrast_pos"),
+        F.arrays_zip(toks.alias("term"), _shifted(toks, 1).alias("p1"), _shifted(toks, 2).alias("p2"),
+                     _shifted(toks, 3).alias("p3")).alias("tok"),
     )
-    rows = base.select("review_id", *keep, "n_excl", "contrast_pos", F.inline_outer("tok"))
+    rows = base.select("review_id", *keep, "n_excl", "contrast_pos",
+                       F.posexplode_outer("tok").alias("pos0", "t"))
+    rows = rows.select("review_id", *keep, "n_excl", "contrast_pos", (F.col("pos0") + 1).alias("pos"),
+                       F.col("t.term").alias("term"), F.col("t.p1").alias("p1"),
+                       F.col("t.p2").alias("p2"), F.col("t.p3").alias("p3"))
     joined = rows.join(lex, "term", "left")
 
+    def is_neg(p):
+        return F.coalesce(F.col(p).isin(*negations), F.lit(False)) if negations else F.lit(False)
+
+    def boost(p):
+        expr = F.lit(0.0)
+        for w, d in boosters.items():
+            expr = F.when(F.col(p) == w, F.lit(float(d))).otherwise(expr)
+        return expr
+
+    negated = is_neg("p1") | is_neg("p2") | is_neg("p3")
+    b = (boost("p1") * BOOSTER_DAMPING[0] + boost("p2") * BOOSTER_DAMPING[1]
+         + boost("p3") * BOOSTER_DAMPING[2])
     v = F.col("valence")
-    v = v + F.when(v < 0, -F.col("boost")).otherwise(F.col("boost"))
-    v = F.when(F.col("negated"), v * NEGATION_SCALAR).otherwise(v)
+    v = v + F.when(v < 0, -b).otherwise(b)
+    v = F.when(negated, v * NEGATION_SCALAR).otherwise(v)
     cp = F.col("contrast_pos")
     v = (F.when((cp > 0) & (F.col("pos") < cp), v * CONTRAST_BEFORE)
           .when((cp > 0) & (F.col("pos") > cp), v * CONTRAST_AFTER).otherwise(v))
