@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritext.session import bounded_broadcast
 
 EPS = 1e-15
 
@@ -108,20 +107,21 @@ def auc_from_counts(per_score: DataFrame, score: str, pos: str, neg: str, group:
     """AUC from one row per (group, distinct score) with positive and negative counts.
 
     Scores are probabilities in [0, 1] and are binned (``floor(score * bins)``). Per-bin negative
-    totals and their running sum form a table of at most groups x bins rows, broadcast after a size
-    check; the running count of lower negatives *inside* a bin is a window partitioned by
-    (group, bin): many small partitions, so no task sees all distinct scores.
+    totals and their running sum form a table of at most groups x bins rows; the running count of
+    lower negatives *inside* a bin is a window partitioned by (group, bin): many small partitions,
+    so no task sees all distinct scores.
     """
     group = list(group)
     ps = (per_score.select(*group, F.col(score).alias("_s"), F.col(pos).alias("_pos"),
                            F.col(neg).alias("_neg"))
                    .withColumn("_bin", F.least(F.greatest(F.floor(F.col("_s") * bins), F.lit(0)),
-                                               F.lit(bins - 1)).cast("int"))
-                   .persist())
+                                               F.lit(bins - 1)).cast("int")))
     bin_tot = ps.groupBy(*group, "_bin").agg(F.sum("_neg").alias("_bneg"))
     wb = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bin_off = bin_tot.select(*group, "_bin", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)).alias("_boff"))
-    joined = ps.join(bounded_broadcast(bin_off), group + ["_bin"])
+    # equi-join on (group, bin): the in-bin window needs that partitioning anyway, so the join adds
+    # no shuffle of the score rows (AQE may still broadcast the small side)
+    joined = ps.join(bin_off, group + ["_bin"])
     wi = Window.partitionBy(*group, "_bin").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_boff") + F.coalesce(F.sum("_neg").over(wi), F.lit(0))
     contrib = joined.withColumn("_c", F.col("_pos") * (below + 0.5 * F.col("_neg")))

@@ -10,9 +10,9 @@ task. Instead:
 1. count rows per ``(stratum, bucket)``, bucket = first ``bucket_digits`` hex digits of ``h``
    (partial aggregation; the result has at most strata x 16^digits rows);
 2. a running sum over that small table gives each bucket's offset within its stratum;
-3. the offset table is broadcast after a size check and rows rank only *inside* their bucket
-   (window partitioned by stratum and bucket: many small, evenly filled partitions because the hash
-   is uniform);
+3. rows join their bucket's offset and rank only *inside* their bucket (window partitioned by
+   stratum and bucket: many small, evenly filled partitions because the hash is uniform; the join
+   and the window share one shuffle of the narrow key columns);
 4. rank = offset + rank in bucket. The order is (h, review_id), the same total order as the SQL
    ``row_number() OVER (PARTITION BY stratum ORDER BY h, review_id)``.
 """
@@ -22,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritext.session import bounded_broadcast
 
 TEST_HASH_CUT = "33333333"  # 0x33333333 / 16^8 = 0.2
 
@@ -49,11 +48,12 @@ def hash_rank(df: DataFrame, strata: list[str], seed: int = 42, key: str = "revi
         *[F.col(s).alias(f"_o_{s}") for s in strata], F.col("_b").alias("_o_b"),
         F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(*strata)).alias("stratum_n"),
-    ).persist()  # small; the size check and the join below share one computation
-    off = bounded_broadcast(offsets)
-    # null-safe on strata: a null label is a stratum of its own
+    )
+    # A plain equi-join on (stratum, bucket): the rows must be partitioned by that key for the
+    # in-bucket window anyway, so the join's shuffle is the window's shuffle (and AQE may still turn
+    # it into a broadcast when the offset table is small). Null-safe: a null label is a stratum.
     cond = [F.col("_b") == F.col("_o_b")] + [F.col(s).eqNullSafe(F.col(f"_o_{s}")) for s in strata]
-    joined = h.join(off, cond, "inner").drop("_o_b", *[f"_o_{s}" for s in strata])
+    joined = h.join(offsets, cond, "inner").drop("_o_b", *[f"_o_{s}" for s in strata])
     in_bucket = Window.partitionBy(*strata, "_b").orderBy("_h", key)
     return joined.withColumn("rank", F.col("_off") + F.row_number().over(in_bucket)) \
                  .drop("_h", "_b", "_off")
