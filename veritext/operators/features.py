@@ -13,8 +13,19 @@ from veritext.functions import text as T
 
 
 def with_clean_text(df: DataFrame, src: str = "text_", dst: str = "cleaned_text") -> DataFrame:
-    """H1-H4 as one column."""
-    return df.withColumn(dst, T.clean_text(src))
+    """H1-H4, one projection per step.
+
+    Each step's guard and regex both read the previous step; as separate columns every step is
+    computed once per row (Catalyst does not inline a non-trivial column used more than once),
+    where one nested expression would repeat the inner steps in every branch.
+    """
+    steps = [("_ct_lower", T.lower_text(F.coalesce(F.col(src), F.lit("")))),
+             ("_ct_tags", T.remove_tags("_ct_lower")),
+             ("_ct_links", T.remove_links("_ct_tags")),
+             (dst, T.strip_ws("_ct_links"))]
+    for name, expr in steps:
+        df = df.withColumn(name, expr)
+    return df.drop("_ct_lower", "_ct_tags", "_ct_links")
 
 
 def text_features(df: DataFrame, text_col: str = "cleaned_text") -> DataFrame:

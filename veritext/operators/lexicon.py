@@ -113,21 +113,25 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
             expr = F.when(F.col(p) == w, F.lit(float(d))).otherwise(expr)
         return expr
 
-    negated = is_neg("p1") | is_neg("p2") | is_neg("p3")
-    b = (boost("p1") * BOOSTER_DAMPING[0] + boost("p2") * BOOSTER_DAMPING[1]
-         + boost("p3") * BOOSTER_DAMPING[2])
-    v = F.col("valence")
-    v = v + F.when(v < 0, -b).otherwise(b)
-    v = F.when(negated, v * NEGATION_SCALAR).otherwise(v)
-    cp = F.col("contrast_pos")
-    v = (F.when((cp > 0) & (F.col("pos") < cp), v * CONTRAST_BEFORE)
-          .when((cp > 0) & (F.col("pos") > cp), v * CONTRAST_AFTER).otherwise(v))
-    tag = F.coalesce(F.col("tag"), suffix_tag(F.col("term"), list(suffix_rules)))
-
-    agg = joined.groupBy("review_id", *keep, "n_excl").agg(
-        F.sum(v).alias("_s"),
+    # one column per rule step: each step reads the previous one several times, and separate
+    # projections keep every step computed once per token
+    cp, v = F.col("contrast_pos"), F.col("valence")
+    scored = (joined
+              .withColumn("_neg", is_neg("p1") | is_neg("p2") | is_neg("p3"))
+              .withColumn("_b", boost("p1") * BOOSTER_DAMPING[0] + boost("p2") * BOOSTER_DAMPING[1]
+                          + boost("p3") * BOOSTER_DAMPING[2])
+              .withColumn("_v1", v + F.when(v < 0, -F.col("_b")).otherwise(F.col("_b")))
+              .withColumn("_v2", F.when(F.col("_neg"), F.col("_v1") * NEGATION_SCALAR)
+                                  .otherwise(F.col("_v1")))
+              .withColumn("_v", F.when((cp > 0) & (F.col("pos") < cp), F.col("_v2") * CONTRAST_BEFORE)
+                                 .when((cp > 0) & (F.col("pos") > cp), F.col("_v2") * CONTRAST_AFTER)
+                                 .otherwise(F.col("_v2")))
+              .withColumn("_tag", F.coalesce(F.col("tag"), suffix_tag(F.col("term"), list(suffix_rules)))))
+
+    agg = scored.groupBy("review_id", *keep, "n_excl").agg(
+        F.sum("_v").alias("_s"),
         F.count(F.col("valence")).alias("_hits"),
-        *[F.count_if(tag == t).cast("bigint").alias(t) for t in TAG_FEATURES],
+        *[F.count_if(F.col("_tag") == t).cast("bigint").alias(t) for t in TAG_FEATURES],
     )
     s = F.col("_s")
     amp = F.least(F.col("n_excl"), F.lit(EXCLAMATION_MAX)) * EXCLAMATION_INCREMENT

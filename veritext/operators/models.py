@@ -45,11 +45,32 @@ def matrix_stages(features: list[str] = BASE_FEATURES, category_col: str = "cate
     return [idx, ohe, asm]
 
 
+ROWS_PER_TRAINING_PARTITION = 200_000
+
+
+def sized_for_training(df: DataFrame, rows_per_partition: int = ROWS_PER_TRAINING_PARTITION) -> DataFrame:
+    """Persist the training table and give it about one partition per ``rows_per_partition`` rows.
+
+    Boosting and gradient descent run several jobs per iteration; each job pays per-task overhead,
+    so a small table in many partitions spends its time scheduling. The count materializes the cache
+    (the fit reads it, never the text again); a large table keeps (at most) its partitions.
+    """
+    d = df.persist()
+    n = d.count()
+    target = max(1, -(-n // rows_per_partition))
+    if target < d.rdd.getNumPartitions():
+        c = d.coalesce(target).persist()
+        c.count()
+        d.unpersist()
+        return c
+    return d
+
+
 def prepared(df: DataFrame, features: list[str] = BASE_FEATURES, label: str = "y") -> DataFrame:
-    """Numeric casts and labelled rows only; persisted once before fitting (iterative jobs)."""
+    """Numeric casts and labelled rows only; persisted and sized once before fitting."""
     cols = {c: F.col(c).cast("double") for c in features}
-    return df.filter(F.col(label).isNotNull()).withColumns(cols).withColumn(
-        label, F.col(label).cast("double")).persist()
+    return sized_for_training(df.filter(F.col(label).isNotNull()).withColumns(cols).withColumn(
+        label, F.col(label).cast("double")))
 
 
 def gbt(max_iter: int = 100, max_depth: int = 4, seed: int = 42, step_size: float = 0.1,

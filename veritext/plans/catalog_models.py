@@ -102,7 +102,7 @@ def q_train_text(spark, sf):
     """M6: text-only classifier on human vs machine turns; stratified split; test metrics."""
     chat = FE.label_map(TB.reviews_chat(spark, sf).transform(FE.with_clean_text))
     chat = FE.drop_empty(chat).transform(FE.label_map)
-    split = SP.split_exact(chat, strata=["y"]).withColumn("y", F.col("y").cast("double")).persist()
+    split = MO.sized_for_training(SP.split_exact(chat, strata=["y"]).withColumn("y", F.col("y").cast("double")))
     model = MO.fit_text(split.filter(F.col("split") == "train"))
     scored = model.transform(split.filter(F.col("split") == "test"))
     auc = MO.auc_of(scored)
