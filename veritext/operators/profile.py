@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritext.session import BROADCAST_MAX_ROWS
+
 
 def head(df: DataFrame, n: int = 5, key: str = "review_id") -> DataFrame:
     """Spark has no input order, so 'first' means smallest key. A top-n, not a full sort."""
@@ -29,8 +31,8 @@ def box_stats(df: DataFrame, value: str, by: str, exact: bool = True,
 
     Exact ``percentile`` keeps a value -> count map per group, so its memory grows with the number
     of distinct values, not rows; ``exact=False`` uses ``percentile_approx`` instead. The second
-    pass needs the fences on every row: the per-group table is tiny (one row per label), so it is
-    joined back by broadcast.
+    pass needs the fences on every row: the per-group table has one row per group and is broadcast
+    after the group count is checked, so a group holding most rows never lands in one task.
     """
     rows = df.filter(F.col(by).isNotNull())
     v = F.col(value).cast("double")
@@ -45,7 +47,11 @@ def box_stats(df: DataFrame, value: str, by: str, exact: bool = True,
                  .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
                  .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
-    second = (rows.join(F.broadcast(quart), by)
+    # one fence row per group: broadcast when the number of groups (read from the group column
+    # alone) is within the bound, else a plain join
+    n_groups = rows.select(by).distinct().count()
+    fences = F.broadcast(quart) if n_groups <= BROADCAST_MAX_ROWS else quart
+    second = (rows.join(fences, by)
                   .groupBy(by)
                   .agg(F.min(F.when(inside, v)).alias("whisker_low"),
                        F.max(F.when(inside, v)).alias("whisker_high"),

@@ -18,22 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SPREAD_DECISIONS: dict = {}
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a *small-file-count* scan by its key.
-
-    Text clean-up is CPU-bound and runs in the scan stage. A table stored in fewer files than the
-    cluster has cores (small data, one row group per file) would be read, and cleaned, by a few
-    tasks however Spark cuts the byte ranges. Only then the rows are hash-partitioned by the review
-    key (a shuffle of a small table); later aggregations by that key reuse the partitioning. A large
-    table lives in many files with many row groups: it is left untouched and its text is never
-    shuffled. ``veritext.spread`` = ``auto`` (default) | ``always`` | ``never`` overrides.
+    """Hash-partition a scan whose rows sit in fewer partitions than the cluster has cores.
+
+    Text clean-up is CPU-bound and runs in the scan stage. A table stored in a few files with one
+    row group each (small data) is read, and cleaned, by a few tasks however Spark cuts the byte
+    ranges; only then the rows are hash-partitioned by the review key (a shuffle of a small table),
+    and later aggregations by that key reuse the partitioning.
+
+    The check is cheap and exact: with at least as many files as cores nothing is read; otherwise
+    one job over the key column alone counts the partitions that hold rows (a single large file with
+    many row groups fills them all and is left untouched, its text never shuffled). The decision is
+    kept per input and session. ``veritext.spread`` = ``auto`` | ``always`` | ``never`` overrides.
     """
     spark = df.sparkSession
     mode = spark.conf.get("veritext.spread", "auto")
     target = spark.sparkContext.defaultParallelism
-    if mode == "always" or (mode == "auto" and len(df.inputFiles()) < target):
-        return df.repartition(target, key)
-    return df
+    if mode == "never":
+        return df
+    files = tuple(sorted(df.inputFiles()))
+    if mode == "auto":
+        cache_key = (spark.sparkContext.applicationId, files, target)
+        if cache_key not in _SPREAD_DECISIONS:
+            if len(files) >= target:
+                _SPREAD_DECISIONS[cache_key] = False
+            else:
+                filled = df.select(F.spark_partition_id().alias("_p")).distinct().count()
+                _SPREAD_DECISIONS[cache_key] = filled < target
+        if not _SPREAD_DECISIONS[cache_key]:
+            return df
+    return df.repartition(target, key)
 
 
 def _label_of_quality(q) -> F.Column:

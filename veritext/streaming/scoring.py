@@ -39,9 +39,13 @@ def score_reviews(df: DataFrame, lexicon_params: dict) -> tuple[DataFrame, DataF
 
 def batch_writer(sink: str, reject_sink: str, lexicon_params: dict) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored, rejected = score_reviews(batch, lexicon_params)
-        scored.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        rejected.write.mode("overwrite").parquet(f"{reject_sink}/batch_id={batch_id}")
+        b = batch.persist()  # one micro-batch feeds two writes
+        try:
+            scored, rejected = score_reviews(b, lexicon_params)
+            scored.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+            rejected.write.mode("overwrite").parquet(f"{reject_sink}/batch_id={batch_id}")
+        finally:
+            b.unpersist()
     return write
 
 
