@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritext.constants import NUMERIC_FEATURES, TAG_FEATURES, WS_CLASS
+from veritext.session import cut_lineage
 
 BASE_FEATURES = NUMERIC_FEATURES + TAG_FEATURES
 
@@ -49,20 +50,21 @@ ROWS_PER_TRAINING_PARTITION = 200_000
 
 
 def sized_for_training(df: DataFrame, rows_per_partition: int = ROWS_PER_TRAINING_PARTITION) -> DataFrame:
-    """Persist the training table and give it about one partition per ``rows_per_partition`` rows.
+    """Checkpoint the training table, size its partitions, keep it in memory for the iterations.
 
-    Boosting and gradient descent run several jobs per iteration; each job pays per-task overhead,
-    so a small table in many partitions spends its time scheduling. The count materializes the cache
-    (the fit reads it, never the text again); a large table keeps (at most) its partitions.
+    The reliable checkpoint (shared ``spark.checkpoint.dir``) cuts the lineage back to the text: an
+    executor lost during the many training jobs costs a re-read of the feature table, not a re-run
+    of clean-up and lexicon joins. Boosting and gradient descent run several jobs per iteration, and
+    each job pays per-task overhead, so the table gets about one partition per
+    ``rows_per_partition`` rows; a large table keeps (at most) its partitions.
     """
-    d = df.persist()
+    d = cut_lineage(df)
     n = d.count()
     target = max(1, -(-n // rows_per_partition))
     if target < d.rdd.getNumPartitions():
-        c = d.coalesce(target).persist()
-        c.count()
-        d.unpersist()
-        return c
+        d = d.coalesce(target)
+    d = d.persist()
+    d.count()
     return d
 
 
