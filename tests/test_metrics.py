@@ -58,3 +58,13 @@ def test_blend_lies_between_inputs(spark):
             1 - float(r["confidence_text"] if r["label_text"] == "Human" else 1 - r["confidence_text"])
         assert min(a, b) - 1e-12 <= r["final_score"] <= max(a, b) + 1e-12
         assert r["confidence"] >= 0.5 and r["is_uncertain"] == (r["confidence"] < 0.7)
+
+
+def test_auc_with_clustered_scores_and_nulls(spark):
+    """Scores packed into [0.49, 0.51] (unrounded) still split evenly; null scores drop out."""
+    rnd = random.Random(11)
+    data = [(0.49 + 0.02 * rnd.random(), rnd.randint(0, 1)) for _ in range(4000)] + [(None, 1), (None, 0)]
+    df = spark.createDataFrame(data, "p double, y int")
+    got = ME.roc_auc(df, "p", bins=64).collect()[0]
+    assert abs(got["auc"] - brute_auc([(p, y) for p, y in data if p is not None])) < 1e-6
+    assert got["n_pos"] + got["n_neg"] == 4000
