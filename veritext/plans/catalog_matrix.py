@@ -91,7 +91,8 @@ def _conform_sql() -> str:
     cols = []
     for name in FEATURE_CONTRACT:
         if name.startswith("category_"):
-            cols.append(f"CASE WHEN 'category_' || dim.name || '_5' = {_q(name)} THEN 1.0 ELSE 0.0 END AS \"{name}\"")
+            cols.append(f"CAST(CASE WHEN 'category_' || dim.name || '_5' = {_q(name)} THEN 1.0 ELSE 0.0 END "
+                        f"AS DOUBLE) AS \"{name}\"")
         else:
             cols.append(f"coalesce(CAST(f.\"{name}\" AS DOUBLE), 0.0) AS \"{name}\"")
     return ", ".join(cols)
