@@ -136,7 +136,8 @@ q AS (SELECT label, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS media
              quantile_cont(v, 0.75) AS q3 FROM lens GROUP BY label),
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence,
              q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
-SELECT f.label, q1, median, q3, iqr, lower_fence, upper_fence,
+SELECT f.label, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
+       round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence,
        min(CASE WHEN v BETWEEN lower_fence AND upper_fence THEN v END) AS whisker_low,
        max(CASE WHEN v BETWEEN lower_fence AND upper_fence THEN v END) AS whisker_high,
        CAST(count_if(NOT (v BETWEEN lower_fence AND upper_fence)) AS BIGINT) AS n_outliers,
@@ -145,4 +146,7 @@ FROM f JOIN lens USING (label)
 GROUP BY f.label, q1, median, q3, iqr, lower_fence, upper_fence""")
 def q_length_box_stats(spark, sf):
     lens = TB.reviews_docs(spark, sf, before_labels=FE.raw_lengths)
-    return PR.box_stats(lens, "char_length", "label")
+    b = PR.box_stats(lens, "char_length", "label")
+    # quartiles interpolate in floating point; 6 places make engines agree on the last bits
+    return b.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3", "iqr", "lower_fence",
+                                                      "upper_fence")})
