@@ -16,6 +16,8 @@ from decimal import Decimal
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"  # compare floats bit for bit
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -39,10 +41,10 @@ def _norm(v):
         f = float(v)
         if math.isnan(f):
             return "nan"
+        if STRICT:
+            return f
         r = round(f, 6)
         return 0.0 if r == 0 else r
-    if isinstance(v, int):
-        return float(v) if False else v
     if isinstance(v, (list, tuple)):
         return [_norm(x) for x in v]
     if hasattr(v, "tolist"):
