@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from veritext.plans.catalog_lexicon import lexicon_params
+from veritext.plans.catalog_metrics import _HYB
 from veritext.plans.registry import query
+from veritext.plans.sql import with_views
+from veritext.plans.sql_lexicon import lexicon_ctes
 from veritext.schemas import REVIEW_COLUMNS
 from veritext.session import scratch_path
 from veritext.sources import tables as TB
@@ -17,7 +20,22 @@ def stage_arrivals(spark, sf, parts: int = 4) -> str:
     return src
 
 
-@query("score_stream")
+# The stream's output equals the batch verdict over the same reviews: the oracle scores the chat
+# reviews in SQL (clean-up, features, lexicon rules, both closed-form scores, blend, flag).
+_STREAM_SQL = (with_views("features_chat") + lexicon_ctes("features_chat") + """
+, score_table AS (
+  SELECT f.review_id, a.sentiment_score,
+         round(1.0 / (1.0 + exp(-(4.0 * punctuation_ct / greatest(char_length, 1) - 0.1))), 6) AS p_tree,
+         round(1.0 / (1.0 + exp(-(((word_count % 17) - 8) / 4.0))), 6) AS p_text
+  FROM features_chat f JOIN lexagg a ON f.review_id = a.review_id)
+""" + _HYB.replace("FROM score_table),", "FROM score_table) AS v0 JOIN score_table USING (review_id)),", 0)
+    + """
+SELECT h.review_id, label_tree, confidence_tree, label_text, confidence_text, final_score, final_label,
+       confidence, confidence < 0.7 AS is_uncertain, st.sentiment_score
+FROM h JOIN score_table st ON h.review_id = st.review_id""")
+
+
+@query("score_stream", _STREAM_SQL)
 def q_score_stream(spark, sf):
     src = stage_arrivals(spark, sf)
     sink, rejects, ckpt = (scratch_path(spark, n) for n in ("scored", "rejected", "stream-ckpt"))

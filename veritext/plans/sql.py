@@ -65,6 +65,13 @@ VIEWS = {
   SELECT page_id AS review_id, 'unknown' AS category, CAST(NULL AS DOUBLE) AS rating,
          CAST(NULL AS VARCHAR) AS label, html || ' ' || url AS text_
   FROM pages)""",
+    "features_chat": f"""features_chat AS (
+  SELECT review_id, category, rating, label, cleaned_text,
+         {char_length_sql('cleaned_text')} AS char_length,
+         {word_count_sql('cleaned_text')} AS word_count,
+         {punct_sql('cleaned_text')} AS punctuation_ct,
+         {extreme_sql('rating')} AS is_extreme_star
+  FROM (SELECT *, {clean_sql('text_')} AS cleaned_text FROM reviews_chat))""",
     "features_docs": f"""features_docs AS (
   SELECT review_id, category, rating, label, cleaned_text,
          {char_length_sql('cleaned_text')} AS char_length,
@@ -84,7 +91,8 @@ VIEWS = {
 }
 
 # views each view needs first
-_DEPS = {"features_docs": ["reviews_docs"], "score_table": ["features_docs"]}
+_DEPS = {"features_docs": ["reviews_docs"], "features_chat": ["reviews_chat"],
+         "score_table": ["features_docs"]}
 
 
 def with_views(*names: str) -> str:
