@@ -50,7 +50,20 @@ def q_csv_roundtrip(spark, sf):
     return FL.read_csv(spark, path, PROCESSED)
 
 
-@query("csv_charset")
+# latin-1 read of UTF-8 bytes: every byte becomes the code point of the same value
+_HEXV = "(instr('0123456789ABCDEF', substr(h, {i}, 1)) - 1)"
+_LATIN1_SQL = (with_views("reviews_chat") + """
+, hx AS (SELECT review_id, text_, upper(to_hex(encode(text_))) AS h FROM reviews_chat)
+SELECT review_id,
+       CASE WHEN text_ IS NULL THEN NULL ELSE
+         array_to_string(list_transform(range(0, length(h) // 2),
+                                        lambda i: chr(CAST(""" + _HEXV.format(i="2 * i + 1") + " * 16 + "
+       + _HEXV.format(i="2 * i + 2") + """ AS INTEGER))), '') END AS text_,
+       CAST(octet_length(encode(text_)) AS BIGINT) AS n_chars_latin1
+FROM hx""")
+
+
+@query("csv_charset", _LATIN1_SQL)
 def q_csv_charset(spark, sf):
     """Text written as UTF-8 and read back as latin-1, as the reference's readers do."""
     chat = TB.reviews_chat(spark, sf).select("review_id", "text_")
