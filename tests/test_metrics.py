@@ -68,3 +68,12 @@ def test_auc_with_clustered_scores_and_nulls(spark):
     got = ME.roc_auc(df, "p", bins=64).collect()[0]
     assert abs(got["auc"] - brute_auc([(p, y) for p, y in data if p is not None])) < 1e-6
     assert got["n_pos"] + got["n_neg"] == 4000
+
+
+def test_hybrid_from_two_score_tables_equals_one_projection(spark):
+    """Scores kept in separate tables and joined on the key give the same verdicts."""
+    s = score_docs(spark, SF_CHECK)
+    joined = SC.join_model_scores(s.select("review_id", "p_tree"), s.select("review_id", "p_text"))
+    a = sorted(tuple(r) for r in SC.hybrid(joined).select("review_id", "final_score", "final_label").collect())
+    b = sorted(tuple(r) for r in SC.hybrid(s).select("review_id", "final_score", "final_label").collect())
+    assert a == b and len(a) > 0

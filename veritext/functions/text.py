@@ -14,7 +14,6 @@ from veritext.constants import PUNCTUATION, WS_CLASS, WS_CODE_POINTS
 TAG_PATTERN = r"(?d)<.*?>"  # (?d): only \n stops the dot, as in Python
 LINK_PATTERN = rf"(?:http|www)[^{WS_CLASS}]+"
 EDGE_WS_PATTERN = rf"^[{WS_CLASS}]+|[{WS_CLASS}]+\z"
-WORD_PATTERN = rf"[^{WS_CLASS}]+"
 WS_RUN_PATTERN = rf"[{WS_CLASS}]+"
 _PUNCT_CLASS = "".join("\\" + c if c in "\\[]^-" else c for c in PUNCTUATION)
 EDGE_PUNCT_PATTERN = rf"^[{_PUNCT_CLASS}]+|[{_PUNCT_CLASS}]+\z"

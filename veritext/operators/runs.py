@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritext.operators import metrics as ME
-from veritext.schemas import LOG_RECORD, RUN_LOG
+from veritext.schemas import LOG_RECORD
 
 LOG_FIELDS = [f.name for f in LOG_RECORD.fields]
 

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from veritext.operators import features as FE
 from veritext.operators import profile as PR
 from veritext.plans.registry import query
-from veritext.plans.sql import (VIEWS, char_length_sql, clean_sql, punct_sql, with_views,
-                                word_count_sql)
+from veritext.plans.sql import char_length_sql, clean_sql, with_views, word_count_sql
 from veritext.sources import tables as TB
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -74,11 +73,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     """Broadcast hint only after the row count is checked; above the bound, a plain (shuffle) join."""
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
-
-
-def local_fs(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def path_exists(path: str) -> bool:
-    return os.path.exists(local_fs(path))
