@@ -105,3 +105,22 @@ def test_empty_text_keeps_its_row(spark):
         FX.SUFFIX_RULES).collect()}
     assert set(got) == {1, 2}
     assert got[1]["sentiment_score"] == 0.0 and got[1]["VERB"] == 0
+
+
+def test_lexicon_beyond_the_broadcast_bound_joins_by_shuffle(spark, docs, monkeypatch):
+    """Above the bound the lexicon is not broadcast; the result is the same."""
+    import veritext.operators.lexicon as lexmod
+    from veritext import session
+    c = cleaned_docs(spark, SF_SMALL)
+    args = (FX.lexicon_df(spark), FX.NEGATIONS, dict(FX.BOOSTERS), FX.CONTRAST)
+    want = sorted(tuple(r) for r in LX.sentiment(c, *args).collect())
+    monkeypatch.setattr(lexmod, "bounded_broadcast", lambda df: session.bounded_broadcast(df, max_rows=0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = LX.sentiment(c, *args)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    assert got == want

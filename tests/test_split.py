@@ -68,3 +68,18 @@ def test_rank_is_exact_with_many_buckets_and_nulls(spark):
     for ids in by.values():
         for n, i in enumerate(sorted(ids, key=lambda i: (_h(i), i))):
             assert got[i] == n + 1
+
+
+def test_folds_under_heavy_label_skew(spark):
+    """90 % of rows in one label: ranks stay exact and every window group stays small."""
+    n = 200_000
+    df = spark.range(0, n).select(F.col("id").alias("review_id"),
+                                  F.when(F.col("id") % 10 == 0, F.lit(0)).otherwise(F.lit(1)).alias("y"))
+    folds = SP.fold_assign(df)
+    sizes = {(r["y"], r["fold"]): r["count"] for r in folds.groupBy("y", "fold").count().collect()}
+    for y in (0, 1):
+        vals = [sizes[(y, f)] for f in range(5)]
+        assert max(vals) - min(vals) <= 1
+    buckets = (df.withColumn("_b", F.substring(SP.seeded_hash(), 1, 4)).groupBy("y", "_b").count()
+                 .agg(F.max("count")).first()[0])
+    assert buckets < n / 1000  # the largest ranking group is a tiny share of the hot label
