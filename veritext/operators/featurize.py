@@ -16,9 +16,9 @@ REVIEW_SCALARS = ["category", "rating", "char_length", "word_count", "punctuatio
 
 def featurize(df: DataFrame, lexicon: DataFrame | None, tag_lexicon: DataFrame | None,
               negations=(), boosters=None, contrast=("but",), suffix_rules=(),
-              keep_extra: list[str] = ()) -> DataFrame:
+              keep_extra: list[str] = (), merged: DataFrame | None = None) -> DataFrame:
     """``review_id``, the six numeric features, ``category``, ``sentiment_score``, VERB, ADV, NOUN."""
     f = FE.text_features(df)
     keep = REVIEW_SCALARS + [c for c in keep_extra if c not in REVIEW_SCALARS]
     return LX.lexicon_scores(f, lexicon, negations, boosters, contrast, tag_lexicon, suffix_rules,
-                             keep=keep)
+                             keep=keep, merged=merged)

@@ -49,6 +49,14 @@ def merged_lexicon(lexicon: DataFrame | None, tag_lexicon: DataFrame | None) ->
                    .join(tag_lexicon.select("term", "tag"), "term", "full_outer"))
 
 
+def prepared_lexicon(lexicon: DataFrame | None, tag_lexicon: DataFrame | None) -> DataFrame:
+    """The merged lexicon built once, persisted and size-checked, for reuse across many jobs (a
+    stream's micro-batches): each use then skips the merge join and the count."""
+    lex = merged_lexicon(lexicon, tag_lexicon).persist()
+    lex.count()
+    return lex
+
+
 def suffix_tag(term: Column, rules: list[tuple[int, str, str]]) -> Column:
     """H13 fallback: the first rule (by priority) whose suffix ends the term, else null."""
     expr = F.lit(None).cast("string")
@@ -76,10 +84,11 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
                    negations: list[str] = (), boosters: dict[str, float] | None = None,
                    contrast: list[str] = ("but",), tag_lexicon: DataFrame | None = None,
                    suffix_rules: list[tuple[int, str, str]] = (), keep: list[str] = (),
-                   text_col: str = "cleaned_text") -> DataFrame:
+                   text_col: str = "cleaned_text", merged: DataFrame | None = None) -> DataFrame:
     """Sentiment compound and VERB/ADV/NOUN counts per review, in one token pass.
 
     ``keep``: review-level columns carried through the aggregation (scalars; grouped on).
+    ``merged``: a ``prepared_lexicon`` to use instead of merging ``lexicon`` and ``tag_lexicon``.
     The neighbours a rule looks at travel with each token as shifted copies of the token array
     (``arrays_zip``), so the rules are plain row expressions after the explode: no lambda, no window.
     """
@@ -87,7 +96,7 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
     for name, items in (("negations", negations), ("boosters", boosters), ("contrast", contrast),
                         ("suffix_rules", suffix_rules)):
         _check_small(name, items)
-    lex = bounded_broadcast(merged_lexicon(lexicon, tag_lexicon))
+    lex = bounded_broadcast(merged if merged is not None else merged_lexicon(lexicon, tag_lexicon))
 
     toks = F.col("tokens")
     base = with_tokens(df.select("review_id", text_col, *keep), text_col).select(

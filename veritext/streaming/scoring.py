@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.operators import features as FE
+from veritext.operators import lexicon as LX
 from veritext.operators import rejects as RJ
 from veritext.operators import scoring as SC
 from veritext.operators.featurize import featurize
@@ -31,7 +32,7 @@ def score_reviews(df: DataFrame, lexicon_params: dict) -> tuple[DataFrame, DataF
     ok = FE.with_defaults(RJ.accepted(checked))
     p = lexicon_params
     f = featurize(ok, p["lexicon"], p["tag_lexicon"], p["negations"], p["boosters"], p["contrast"],
-                  p["suffix_rules"])
+                  p["suffix_rules"], merged=p.get("merged"))
     scored = SC.hybrid(SC.score_table(f.withColumn("label", F.lit(None).cast("string")),
                                       keep=["sentiment_score"]))
     return scored.select(*SCORED_COLUMNS), rejected
@@ -52,6 +53,9 @@ def batch_writer(sink: str, reject_sink: str, lexicon_params: dict) -> Callable[
 def start_scoring(spark: SparkSession, source: str, sink: str, reject_sink: str, checkpoint: str,
                   lexicon_params: dict, max_files_per_trigger: int = 1, available_now: bool = True):
     """Start the scoring stream over parquet files arriving in ``source``."""
+    # the parameter lexicons are merged and size-checked once for the whole stream
+    lexicon_params = dict(lexicon_params, merged=LX.prepared_lexicon(lexicon_params["lexicon"],
+                                                                     lexicon_params["tag_lexicon"]))
     stream = (spark.readStream.schema(REVIEWS).option("maxFilesPerTrigger", max_files_per_trigger)
                    .parquet(source))
     w = (stream.writeStream.foreachBatch(batch_writer(sink, reject_sink, lexicon_params))
