@@ -124,3 +124,12 @@ def test_lexicon_beyond_the_broadcast_bound_joins_by_shuffle(spark, docs, monkey
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
     assert got == want
+
+
+def test_duplicate_lexicon_terms_count_once(spark):
+    df = spark.createDataFrame([(1, "the cat and the dog")], "review_id long, cleaned_text string")
+    once = spark.createDataFrame([("the", 0.5), ("and", 1.5)], "term string, valence double")
+    twice = once.unionByName(spark.createDataFrame([("the", 0.5)], "term string, valence double"))
+    a = LX.sentiment(df, once).collect()[0]["sentiment_score"]
+    b = LX.sentiment(df, twice).collect()[0]["sentiment_score"]
+    assert a == b != 0.0

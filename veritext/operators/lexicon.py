@@ -40,13 +40,21 @@ def with_tokens(df: DataFrame, text_col: str = "cleaned_text") -> DataFrame:
 
 
 def merged_lexicon(lexicon: DataFrame | None, tag_lexicon: DataFrame | None) -> DataFrame:
-    """One (term, valence, tag) table so text is read and joined once for both jobs."""
-    if lexicon is None:
-        return tag_lexicon.select("term", F.lit(None).cast("double").alias("valence"), "tag")
-    if tag_lexicon is None:
-        return lexicon.select("term", F.col("valence").cast("double"), F.lit(None).cast("string").alias("tag"))
-    return (lexicon.select("term", F.col("valence").cast("double"))
-                   .join(tag_lexicon.select("term", "tag"), "term", "full_outer"))
+    """One row per term with its valence and tag, so text is read and joined once for both jobs.
+
+    A union and one ``groupBy(term)`` (partial aggregation, one shuffle) rather than a full outer
+    join: a term listed twice still yields one row, so no token is ever counted twice.
+    """
+    parts = []
+    if lexicon is not None:
+        parts.append(lexicon.select("term", F.col("valence").cast("double"),
+                                    F.lit(None).cast("string").alias("tag")))
+    if tag_lexicon is not None:
+        parts.append(tag_lexicon.select("term", F.lit(None).cast("double").alias("valence"),
+                                        F.col("tag").cast("string")))
+    u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return (u.filter(F.col("term").isNotNull())
+             .groupBy("term").agg(F.max("valence").alias("valence"), F.max("tag").alias("tag")))
 
 
 def prepared_lexicon(lexicon: DataFrame | None, tag_lexicon: DataFrame | None) -> DataFrame:
