@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritext.session import cut_lineage
+
 
 EPS = 1e-15
 
@@ -98,7 +100,7 @@ def roc_auc(df: DataFrame, score: str, y: str = "y", group: list[str] = (),
     group = list(group)
     # Only the label is filtered here: a predicate on a computed score would be pushed below any
     # repartition of the input and evaluated there. Null scores are dropped after the distinct
-    # scores are cached.
+    # scores are checkpointed.
     s = df.filter(F.col(y).isNotNull())
     per_score = (s.groupBy(*group, F.col(score).alias("_s"))
                   .agg(F.sum(F.col(y).cast("long")).alias("_pos"),
@@ -115,18 +117,19 @@ def auc_from_counts(per_score: DataFrame, score: str, pos: str, neg: str, group:
     over all bins. Per-bin negative totals and their running sum form a table of at most
     groups x bins rows; the running count of lower negatives *inside* a bin is a window partitioned
     by (group, bin): many small partitions, so no task sees all distinct scores. The distinct-score
-    table is persisted so the boundary job and the AUC share one pass over the input.
+    table is checkpointed to the shared folder, so the boundary job and the AUC share one pass over
+    the input without holding executor memory, and a lost executor does not re-run the input.
     """
     group = list(group)
-    ps = per_score.select(*group, F.col(score).cast("double").alias("_s"), F.col(pos).alias("_pos"),
-                          F.col(neg).alias("_neg")).persist()
+    ps = cut_lineage(per_score.select(*group, F.col(score).cast("double").alias("_s"),
+                                      F.col(pos).alias("_pos"), F.col(neg).alias("_neg")))
     qs = [i / bins for i in range(1, bins)]
     row = ps.agg(F.percentile_approx("_s", qs, 10 * bins).alias("b")).first()
     bounds = sorted({float(x) for x in (row["b"] or []) if x is not None and not math.isnan(x)})
     splits = [-math.inf] + bounds + [math.inf]
     ps = Bucketizer(splits=splits, inputCol="_s", outputCol="_bin_d", handleInvalid="keep") \
         .transform(ps).withColumn("_bin", F.col("_bin_d").cast("int")).drop("_bin_d") \
-        .filter(F.col("_s").isNotNull() & ~F.isnan("_s"))  # above the cache: not pushed into the input
+        .filter(F.col("_s").isNotNull() & ~F.isnan("_s"))  # above the checkpoint: not pushed into the input
     bin_tot = ps.groupBy(*group, "_bin").agg(F.sum("_neg").alias("_bneg"))
     wb = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bin_off = bin_tot.select(*group, "_bin", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)).alias("_boff"))
