@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veritext.llm import bpe, mixing, quality, urls
+from veritext.llm import bpe, mixing, quality, simhash, topk, urls
 from veritext.llm.common import table
 from veritext.llm.sql import ORACLES  # noqa: F401
 
@@ -43,4 +43,15 @@ def op7_byte_bpe(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_url_filters, op6_mixing, op7_byte_bpe)}
+def op8_simhash(spark, sf_dir):
+    """Fingerprints linked at 3 bits or fewer, and their components."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_top_k(spark, sf_dir):
+    """The 5 best inner products of every 50th vector against all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_url_filters, op6_mixing, op7_byte_bpe, op8_simhash,
+                                    op10_top_k)}

@@ -142,4 +142,15 @@ def mixed(docs: str, size: str, most: int = mixing.MOST_REPEATS) -> str:
 OP6 = f"""WITH {mixed('documents', f"len({WORDS.format('text')})::BIGINT")}
 SELECT doc_id, size, source_size, target, size * copies AS taken FROM mix_out"""
 
-ORACLES = {"op2_quality_rules": OP2, "op5_url_filters": OP5, "op6_mixing": OP6}
+# -- op10 -------------------------------------------------------------------------------------
+
+OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+ pairs AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+ORACLES = {"op10_top_k": OP10, "op2_quality_rules": OP2, "op5_url_filters": OP5, "op6_mixing": OP6}
