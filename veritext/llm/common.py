@@ -34,3 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes up to which a side is broadcast on purpose, after its rows are counted.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Broadcast hint for a written table of rows of at most ``row_bytes``; beyond BROADCAST_BYTES the
+    join stays a shuffle join, whose skew adaptive execution splits."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veritext.llm import bpe, mixing, quality, simhash, topk, urls
+from veritext.llm import bpe, lines, mixing, quality, simhash, topk, urls
 from veritext.llm.common import table
 from veritext.llm.sql import ORACLES  # noqa: F401
 
@@ -14,6 +14,14 @@ URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
              ("block", "net/es/"), ("block", "net/fr/"))
 
 
+def op1_line_dedup(spark, sf_dir):
+    """Recurring line templates dropped; lines dropped and a digest of what is left, per document."""
+    kept = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("dropped_lines").cast("long").alias("dropped_lines"),
+                       F.char_length("text").cast("long").alias("n_chars"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op2_quality_rules(spark, sf_dir):
     """Adaptive thresholds from quantile sketches per language and source."""
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
@@ -53,5 +61,5 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_url_filters, op6_mixing, op7_byte_bpe, op8_simhash,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op5_url_filters, op6_mixing, op7_byte_bpe, op8_simhash,
                                     op10_top_k)}

@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
-from veritext.llm import mixing, quality, urls
+from veritext.llm import lines, mixing, quality, urls
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+# -- op1 --------------------------------------------------------------------------------------
+
+
+def deduped(docs: str) -> str:
+    """CTEs that end in ``dedup_out``: the columns of ``docs``, text without the dropped lines, and
+    dropped_lines."""
+    return rf"""
+ dd AS (SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS doc, * FROM {docs}),
+ ln AS (SELECT rid, doc, text, unnest(string_split(text, chr(10))) AS line,
+   generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM dd WHERE text IS NOT NULL),
+ mk AS (SELECT rid, doc, text, pos, m, string_split(m, ' ') AS tk FROM (SELECT *,
+   regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '),
+     '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m FROM ln) WHERE m <> ''),
+ fl AS (SELECT len(tk) AS n, tk[1] AS t1, coalesce(tk[2], '') AS t2, coalesce(tk[3], '') AS t3,
+   min(m) AS first FROM mk GROUP BY 1, 2, 3, 4),
+ tp AS (SELECT mk.rid, mk.doc, mk.pos, CASE WHEN 100 * len(list_filter(list_zip(tk, string_split(first, ' ')),
+     lambda z: z[1] = z[2])) >= {lines.SIMILAR} * len(tk) THEN first ELSE m END AS template
+  FROM mk JOIN fl ON fl.n = len(tk) AND fl.t1 = tk[1] AND fl.t2 = coalesce(tk[2], '') AND fl.t3 = coalesce(tk[3], '')),
+ ow AS (SELECT template, min(doc) AS owner, max(doc) AS last FROM tp GROUP BY 1 HAVING min(doc) < max(doc)),
+ gone AS (SELECT rid, list(pos) AS ps FROM tp JOIN ow USING (template) WHERE owner < doc GROUP BY 1),
+ dedup_out AS (SELECT dd.* EXCLUDE (rid, doc) REPLACE (CASE WHEN ps IS NULL THEN text ELSE array_to_string(
+    list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(ps, i)), chr(10)) END AS text),
+   coalesce(len(ps), 0)::BIGINT AS dropped_lines FROM dd LEFT JOIN gone USING (rid))"""
+
+
+OP1 = f"""WITH {deduped('documents')}
+SELECT doc_id, dropped_lines, length(text)::BIGINT AS n_chars, sha256(text) AS text_sha256 FROM dedup_out"""
+
 # -- op2 --------------------------------------------------------------------------------------
 
 
@@ -153,4 +181,4 @@ OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(25
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
-ORACLES = {"op10_top_k": OP10, "op2_quality_rules": OP2, "op5_url_filters": OP5, "op6_mixing": OP6}
+ORACLES = {"op1_line_dedup": OP1, "op10_top_k": OP10, "op2_quality_rules": OP2, "op5_url_filters": OP5, "op6_mixing": OP6}
