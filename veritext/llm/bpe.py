@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -175,21 +176,27 @@ def slices(texts: list[str]) -> list[list[str]]:
 # -- pair merging -----------------------------------------------------------------------------
 
 #: Slices kept in a worker's cache; beyond it the cache starts anew (a bound on memory, not on input).
-CACHE_SLICES = 600_000
+CACHE_SLICES = 250_000
 NONE = 1 << 40
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        pairs = (line.split() for line in f if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id; one per worker process and vocabulary file."""
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 class Merger:
     """Ranks of a vocabulary and the cached pair merge over them."""
 
     def __init__(self, path: str):
-        self.ranks: dict[bytes, int] = {}
-        with open(path, "rb") as f:
-            for line in f:
-                if line.strip():
-                    token, rank = line.split()
-                    self.ranks[base64.b64decode(token)] = int(rank)
-        self.bytes_of = {r: b for b, r in self.ranks.items()}
+        self.ranks = read_ranks(path)
         self.byte_ids = [self.ranks[bytes([i])] for i in range(256)]
         self.pairs: dict[int, int] = {}  # ids of two neighbours -> id of their merge
         for token, rank in self.ranks.items():
@@ -264,19 +271,15 @@ class Merger:
         return list(chain.from_iterable(out))
 
 
-_MERGERS: dict[str, Merger] = {}
-
-
+@lru_cache(maxsize=4)
 def merger(path: str) -> Merger:
     """One per worker process and vocabulary file."""
-    if path not in _MERGERS:
-        _MERGERS[path] = Merger(path)
-    return _MERGERS[path]
+    return Merger(path)
 
 
 # -- DataFrame operators ----------------------------------------------------------------------
 
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 def _runs(sizes: Iterator[int], most: int) -> Iterator[tuple[int, int]]:
@@ -304,13 +307,14 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = merger(vocabulary)
-        lengths = np.zeros(max(bpe.bytes_of) + 1, np.int32)
-        for rank, token in bpe.bytes_of.items():
+        lengths = np.zeros(max(bpe.ranks.values()) + 1, np.int32)
+        for token, rank in bpe.ranks.items():
             lengths[rank] = len(token)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for a, b in _runs(map(len, texts), BATCH_CHARS):
-                rows = [np.array(bpe.ids(p), np.int32) for p in slices(texts[a:b])]
+            column = batch.column(text_col)
+            for a, b in _runs((n or 0 for n in pc.binary_length(column).to_pylist()), BATCH_CHARS):
+                texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+                rows = [np.array(bpe.ids(p), np.int32) for p in slices(texts)]
                 ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
                 flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
                 offs = np.concatenate([np.cumsum(lengths[r]) - lengths[r] for r in rows]).astype(np.int32)
@@ -329,7 +333,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", decoded_col: st
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = merger(vocabulary).bytes_of.__getitem__
+        of = token_bytes(vocabulary).__getitem__
         for batch in batches:
             ids = batch.column(ids_col)
             for a, b in _runs(map(lambda n: n or 0, ids.value_lengths().to_pylist()), BATCH_CHARS // 2):

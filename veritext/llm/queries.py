@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veritext.llm import bpe, lines, mixing, quality, simhash, topk, urls
+from veritext.llm import bpe, hpylm, langid, lines, mixing, quality, simhash, topk, urls
 from veritext.llm.common import table
 from veritext.llm.sql import ORACLES  # noqa: F401
 
@@ -27,6 +27,19 @@ def op2_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
+def _remainder(parts: int):
+    """crc32 of the id as text, modulo ``parts``; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op3_language_id(spark, sf_dir):
+    """Mixture inference over all texts; learned from three of four documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(_remainder(4) != 2))
+    held = docs.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(held, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_url_filters(spark, sf_dir):
     """Explicit rules, else the empirical-Bayes reputation of the host."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -56,10 +69,18 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    """Hierarchical Pitman-Yor model of four of five documents, scoring all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = hpylm.score(docs, _remainder(5) != 1)
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 1, F.lit(False)).alias("held_out"), "n_tokens",
+                         "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_top_k(spark, sf_dir):
     """The 5 best inner products of every 50th vector against all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op5_url_filters, op6_mixing, op7_byte_bpe, op8_simhash,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_language_id, op5_url_filters, op6_mixing, op7_byte_bpe, op8_simhash, op9_lm_scoring,
                                     op10_top_k)}
