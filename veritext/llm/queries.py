@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veritext.llm import bpe, hpylm, langid, lines, mixing, quality, simhash, topk, urls
+from veritext.llm import bpe, hpylm, langid, lines, mixing, quality, simhash, substrings, topk, urls
 from veritext.llm.common import table
 from veritext.llm.sql import ORACLES  # noqa: F401
 
@@ -40,6 +40,13 @@ def op3_language_id(spark, sf_dir):
     return langid.identify(held, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_substring_dedup(spark, sf_dir):
+    """Words in 13-word windows that an earlier document has, removed."""
+    left = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed",
+                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_url_filters(spark, sf_dir):
     """Explicit rules, else the empirical-Bayes reputation of the host."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -82,5 +89,6 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_language_id, op5_url_filters, op6_mixing, op7_byte_bpe, op8_simhash, op9_lm_scoring,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_language_id, op4_substring_dedup,
+                                    op5_url_filters, op6_mixing, op7_byte_bpe, op8_simhash, op9_lm_scoring,
                                     op10_top_k)}
