@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritext.llm.common import words, written
+from veritext.llm.common import broadcast_if_small, words, written
 
 MOST_REPEATS = 3
 HASH_BITS = 60
@@ -97,12 +97,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     return _apply(rows, most).select(*others, "size", "source_size", "target", "copies")
 
 
-def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-         most: int = MOST_REPEATS) -> DataFrame:
-    """One row per source, for joining back to full rows: source, source_size, target, repeats, cut."""
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+               most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it."""
     rows = df.select(F.size(words(F.col(text_col))).cast("long").alias("size"),
                      _hash(F.col(id_col)).alias("h"), F.col(source_col).alias("_source"))
-    return _plan(written(rows, "mix-sizes"), most)
+    plan = written(_plan(written(rows, "mix-sizes"), most), "mix-plan").withColumnsRenamed(
+        {"source": "_plan_source", "repeats": "_repeats", "cut": "_cut"}).drop("source_size", "target")
+    out = df.join(broadcast_if_small(plan, 256), F.col(source_col).eqNullSafe(F.col("_plan_source")))
+    copies = F.least(F.col("_repeats") + F.when(_hash(F.col(id_col)) < F.col("_cut"), 1).otherwise(0), F.lit(most))
+    out = out.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
 
 
 def _plan(rows: DataFrame, most: int) -> DataFrame:

@@ -143,14 +143,25 @@ def fences(sketch: DataFrame) -> DataFrame:
 def judge(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
           keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, the measures, ``base_failed`` and ``kept`` per row of ``df``."""
-    m = measures(df.select(*keep, *(F.col(c) for c in (lang_col, source_col) if c not in keep), text_col), text_col)
+    m = measures(df.select(*(F.col(c).alias(f"_k_{c}") for c in keep), F.col(lang_col).alias("_lang"),
+                           F.col(source_col).alias("_source"), F.col(text_col).alias("_body")), "_body")
     m = written(m, "quality-measures")  # narrow; the texts are read once
-    limits = fences(sketches(m, lang_col, source_col)).withColumnsRenamed(
-        {"lang": "_lang", "source": "_source"})
+    limits = fences(sketches(m, "_lang", "_source"))
     inside = F.lit(True)
     for name, value in ratios().items():
         inside = inside & F.coalesce(value.between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(True))
     out = m.withColumn("base_failed", base_failed()).join(
-        limits, F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left")
+        limits, F.col("_lang").eqNullSafe(F.col("lang")) & F.col("_source").eqNullSafe(F.col("source")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & inside).select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        *(F.col(f"_k_{c}").alias(c) for c in keep), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept")
+
+
+def accepted(df: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source",
+             text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that pass. Rows are matched by id and hash of the text."""
+    rows = df.withColumn("_version", F.xxhash64(lang_col, source_col, text_col))
+    good = judge(rows, lang_col, source_col, text_col, keep=(id_col, "_version")).filter("kept")
+    good = good.select(F.col(id_col).alias("_id"), F.col("_version").alias("_v"))
+    return rows.join(good, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")),
+                     "left_semi").select(*df.columns)

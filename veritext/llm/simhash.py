@@ -62,18 +62,19 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view(">i8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp long) per row of ``df``."""
-    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.LongType())])
+def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``df`` with the text replaced by ``fp`` (long)."""
+    names = [c for c in df.columns if c not in (text_col, "fp")]
+    schema = T.StructType([*(df.schema[c] for c in names), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).cast(pa.binary())
             fps = [fingerprint_of(t.as_py() or b"", shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps, pa.int64())],
-                                             names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps, pa.int64())],
+                                             names=[*names, "fp"])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(*names, text_col).mapInArrow(run, schema)
 
 
 # -- the index --------------------------------------------------------------------------------
@@ -269,16 +270,37 @@ def components(edges: DataFrame) -> DataFrame:
     return written(out, "simhash-components")
 
 
+def _placed(docs: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root) of every fingerprint of ``docs``."""
+    nodes = docs.select("fp").distinct()
+    roots = components(links(nodes, max_bits))
+    return written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root")), "simhash-placed")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fingerprint, component_id): 16 hex digits, and the smallest id reachable by links."""
-    docs = written(fingerprints(df, id_col, text_col, shingle), "simhash-fingerprints")
-    nodes = docs.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    roots = components(links(nodes.select("fp"), max_bits))
-    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "_least", F.coalesce("root", "fp").alias("_root"))
-    placed = written(placed, "simhash-placed")
-    least = placed.groupBy("_root").agg(F.min("_least").alias("component_id")).withColumnRenamed("_root", "_r")
-    named = placed.join(least, F.col("_root") == F.col("_r")).select(F.col("fp").alias("_fp"), "component_id")
+    docs = written(fingerprints(df.select(id_col, text_col), text_col, shingle), "simhash-fingerprints")
+    placed = _placed(docs, max_bits)
+    least = docs.groupBy("fp").agg(F.min(id_col).alias("_least")).join(placed, F.col("fp") == F.col("_fp"))
+    named = least.groupBy("_root").agg(F.min("_least").alias("component_id")).withColumnRenamed("_root", "_r")
+    named = placed.join(named, F.col("_root") == F.col("_r")).select("_fp", "component_id")
     return docs.join(named, F.col("fp") == F.col("_fp")).select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``df`` per component: the one of smallest id (a null id comes last, then by the hash of
+    the text)."""
+    rows = df.withColumn("_version", F.xxhash64(text_col))
+    docs = written(fingerprints(rows.select(id_col, "_version", text_col), text_col, shingle), "simhash-fingerprints")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_version"))
+    placed = _placed(docs, max_bits)
+    best = docs.groupBy("fp").agg(first.alias("m")).join(placed, F.col("fp") == F.col("_fp"))
+    best = best.groupBy("_root").agg(F.min("m").alias("m")).select(F.col("m.id").alias("_id"), F.col("m._version").alias("_v"))
+    best = written(best, "simhash-representatives")
+    kept = rows.join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left_semi")
+    # equal rows are one document
+    return kept.dropDuplicates([id_col, "_version"]).select(*df.columns)
