@@ -107,14 +107,11 @@ def test_empty_text_keeps_its_row(spark):
     assert got[1]["sentiment_score"] == 0.0 and got[1]["VERB"] == 0
 
 
-def test_lexicon_beyond_the_broadcast_bound_joins_by_shuffle(spark, docs, monkeypatch):
-    """Above the bound the lexicon is not broadcast; the result is the same."""
-    import veritext.operators.lexicon as lexmod
-    from veritext import session
+def test_lexicon_beyond_the_broadcast_bound_joins_by_shuffle(spark, docs):
+    """Above the planner's bound the lexicon is not broadcast; the result is the same."""
     c = cleaned_docs(spark, SF_SMALL)
     args = (FX.lexicon_df(spark), FX.NEGATIONS, dict(FX.BOOSTERS), FX.CONTRAST)
     want = sorted(tuple(r) for r in LX.sentiment(c, *args).collect())
-    monkeypatch.setattr(lexmod, "bounded_broadcast", lambda df: session.bounded_broadcast(df, max_rows=0))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = LX.sentiment(c, *args)
@@ -133,3 +130,18 @@ def test_duplicate_lexicon_terms_count_once(spark):
     a = LX.sentiment(df, once).collect()[0]["sentiment_score"]
     b = LX.sentiment(df, twice).collect()[0]["sentiment_score"]
     assert a == b != 0.0
+
+
+def test_two_deliveries_of_one_review_stay_two_rows(spark):
+    one = spark.createDataFrame([(7, "and so it is")], "review_id long, cleaned_text string")
+    lex = FX.lexicon_df(spark)
+    single = [r["sentiment_score"] for r in LX.sentiment(one, lex).collect()]
+    twice = [r["sentiment_score"] for r in LX.sentiment(one.unionByName(one), lex).collect()]
+    assert single[0] != 0.0 and twice == single * 2
+
+
+def test_word_lists_of_any_length(spark):
+    df = spark.createDataFrame([(1, "w19999 and"), (2, "other and")], "review_id long, cleaned_text string")
+    many = [f"w{i}" for i in range(20_000)]
+    got = {r["review_id"]: r["sentiment_score"] for r in LX.sentiment(df, FX.lexicon_df(spark), many).collect()}
+    assert got[1] < 0 < got[2]

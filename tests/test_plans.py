@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from tests.conftest import SF_CHECK
 from veritext.plans import all_queries as A
 
@@ -35,10 +37,30 @@ def test_label_filter_reaches_the_scan(spark):
     assert "PushedFilters" in p
 
 
-def test_exact_split_windows_are_partitioned(spark):
-    p = plan(spark, "split_exact")
-    # the per-row window is partitioned by the hash bucket; only the bucket table is ranked whole
-    assert re.search(r"Window \[.*row_number\(\).*\], \[[^\]]*_b", p)
+def moved_columns(spark, key):
+    """Columns above an exchange when nothing may be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = A.QUERIES[key](spark, SF_CHECK)._jdf.queryExecution().executedPlan()
+        text = p.toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    out, lines = [], text.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange" in line and i + 1 < len(lines):
+            out.append(lines[i + 1])
+    return out
+
+
+@pytest.mark.parametrize("key", ["split_exact", "null_counts"])
+def test_no_text_is_shuffled(spark, key):
+    below = moved_columns(spark, key)
+    below = [re.sub(r"isnotnull\(text#\d+\)", "", x) for x in below]  # a flag may move
+    assert not [x for x in below if re.search(r"\btext\b|cleaned_text", x)], below
+
+
+def test_exact_split_moves_no_rows(spark):
+    assert "Exchange" not in plan(spark, "split_exact")
 
 
 def test_auc_windows_are_partitioned_by_bin(spark):

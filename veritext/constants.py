@@ -43,14 +43,18 @@ NUMERIC_FEATURES = [
     "rating", "char_length", "word_count", "punctuation_ct", "is_extreme_star", "sentiment_score",
 ]
 TAG_FEATURES = ["VERB", "ADV", "NOUN"]
-CONTRACT_CATEGORIES = [
-    "Books", "Clothing_Shoes_and_Jewelry", "Electronics", "Home_and_Kitchen", "Kindle_Store",
-    "Movies_and_TV", "Pet_Supplies", "Sports_and_Outdoors", "Tools_and_Home_Improvement",
-    "Toys_and_Games",
+FEATURE_CONTRACT = NUMERIC_FEATURES + TAG_FEATURES + [
+    "category_Books_5",
+    "category_Clothing_Shoes_and_Jewelry_5",
+    "category_Electronics_5",
+    "category_Home_and_Kitchen_5",
+    "category_Kindle_Store_5",
+    "category_Movies_and_TV_5",
+    "category_Pet_Supplies_5",
+    "category_Sports_and_Outdoors_5",
+    "category_Tools_and_Home_Improvement_5",
+    "category_Toys_and_Games_5",
 ]
-FEATURE_CONTRACT = (
-    NUMERIC_FEATURES + TAG_FEATURES + [f"category_{name}_5" for name in CONTRACT_CATEGORIES]
-)
 
 # --- fixed values: category dictionary (display name -> dataset name) ---------------------------
 

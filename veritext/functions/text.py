@@ -1,4 +1,4 @@
-"""Text column expressions (clean-up, counts, tokens). All JVM-side, inside whole-stage codegen.
+"""Text column expressions (clean-up, counts, tokens). All JVM-side.
 
 Semantics follow Python's ``str`` methods: ``lower``, ``re.sub`` with ``.`` stopping only at
 ``\\n``, ``\\S`` and ``strip`` over Python's 29 white-space characters, ``len`` in code points.
@@ -13,10 +13,7 @@ from veritext.constants import PUNCTUATION, WS_CLASS, WS_CODE_POINTS
 
 TAG_PATTERN = r"(?d)<.*?>"  # (?d): only \n stops the dot, as in Python
 LINK_PATTERN = rf"(?:http|www)[^{WS_CLASS}]+"
-EDGE_WS_PATTERN = rf"^[{WS_CLASS}]+|[{WS_CLASS}]+\z"
 WS_RUN_PATTERN = rf"[{WS_CLASS}]+"
-_PUNCT_CLASS = "".join("\\" + c if c in "\\[]^-" else c for c in PUNCTUATION)
-EDGE_PUNCT_PATTERN = rf"^[{_PUNCT_CLASS}]+|[{_PUNCT_CLASS}]+\z"
 
 
 WS_CHARS = "".join(chr(cp) for cp in WS_CODE_POINTS)
@@ -26,12 +23,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _edge_in(t: Column, chars: str) -> Column:
-    """First or last character is one of ``chars`` (byte-level string functions, no regex)."""
-    return (F.instr(F.lit(chars), F.left(t, F.lit(1))) > 0) | \
-           (F.instr(F.lit(chars), F.right(t, F.lit(1))) > 0)
-
-
 def lower_text(c) -> Column:
     """H1."""
     return F.lower(_col(c))
@@ -55,8 +46,7 @@ def remove_links(c) -> Column:
 
 def strip_ws(c) -> Column:
     """H4: Python ``str.strip()``."""
-    t = _col(c)
-    return F.when(_edge_in(t, WS_CHARS), F.regexp_replace(t, EDGE_WS_PATTERN, "")).otherwise(t)
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def clean_text(c) -> Column:
@@ -91,19 +81,11 @@ def words(c) -> Column:
     return F.array_remove(F.split(_col(c), WS_RUN_PATTERN), "")
 
 
-# A token separator: a white-space run together with punctuation touching it on either side, and
-# punctuation-only words between white-space runs. Splitting on it strips every inner word's edges in
-# one regex pass; the text's own ends are stripped by an anchored replace.
-TOKEN_SEPARATOR = (rf"[{_PUNCT_CLASS}]*[{WS_CLASS}]+(?:[{_PUNCT_CLASS}]*[{WS_CLASS}]+)*"
-                   rf"[{_PUNCT_CLASS}]*")
-
-
 def tokens(c) -> Column:
     """H9: white-space words with leading and trailing ASCII punctuation removed; empties dropped.
 
-    Same result as stripping each word, without a per-word function call (no lambda, so the
-    expression stays inside whole-stage codegen).
+    Each word is trimmed on its own, so the work is linear in the text: one regex over words and
+    punctuation together would backtrack on rulers, tables and long runs of hyphens.
     """
-    t = _col(c)
-    t = F.when(_edge_in(t, PUNCTUATION), F.regexp_replace(t, EDGE_PUNCT_PATTERN, "")).otherwise(t)
-    return F.array_remove(F.split(t, TOKEN_SEPARATOR), "")
+    trimmed = F.transform(F.split(_col(c), WS_RUN_PATTERN), lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    return F.array_remove(trimmed, "")

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from veritext.constants import CLS_ID, MAX_SEQ_LEN, PAD_ID, SEP_ID, UNK_ID
 from veritext.functions import text as T
-from veritext.session import bounded_broadcast
 
 
 def token_ids(df: DataFrame, vocab: DataFrame, text_col: str = "cleaned_text",
@@ -24,7 +23,7 @@ def token_ids(df: DataFrame, vocab: DataFrame, text_col: str = "cleaned_text",
     """``(review_id, ids)``: vocabulary ids of the first ``max_len - 2`` tokens, UNK for misses."""
     base = df.select("review_id", F.slice(T.tokens(text_col), 1, max_len - 2).alias("t"))
     rows = base.select("review_id", F.posexplode_outer("t").alias("pos", "term"))
-    v = bounded_broadcast(vocab.select("term", F.col("id").cast("int").alias("id")))
+    v = vocab.select("term", F.col("id").cast("int").alias("id"))
     j = rows.join(v, "term", "left")
     item = F.when(F.col("pos").isNotNull(),
                   F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))

@@ -4,16 +4,17 @@ Plan (one pass over the text, one shuffle of one row per review):
 
 1. per review, the token array, its copies shifted by one, two and three places (the look-back a
    negation or booster rule needs) and the position of the first contrast word are built with array
-   functions: no lambda (so whole-stage codegen stays on), no window, no sort;
+   functions: no window, no sort;
 2. ``posexplode_outer`` turns the zipped arrays into token rows (a review without tokens keeps one
    null row); the rules are plain row expressions from there on;
-3. the token rows are left-joined to one merged ``(term, valence, tag)`` table, broadcast after its
-   size is checked; beyond the bound it is a shuffle join;
-4. one ``groupBy(review_id)``: partial aggregation collapses each review's tokens to one row
+3. the token rows are left-joined to one merged ``(term, valence, tag)`` table;
+4. one ``groupBy`` per input row (numbered before the explode, so two deliveries of one review stay two
+   rows): partial aggregation collapses each review's tokens to one row
    inside the task, so the shuffle moves one small row per review whatever the text length.
 
-Negation, booster and contrast word lists are small by nature and checked against a bound; they
-become ``IN`` lists and ``CASE`` expressions. The main lexicon is a join, never a map literal.
+Negation, booster and contrast words are parameters of any length: they become ``IN`` lists, which Spark
+looks up by hash (boosters: one list per distinct strength). The lexicons are joins; the planner broadcasts
+them while they are small and shuffles them beyond that.
 """
 
 from __future__ import annotations
@@ -25,14 +26,7 @@ from veritext.constants import (BOOSTER_DAMPING, CONTRAST_AFTER, CONTRAST_BEFORE
                                 EXCLAMATION_INCREMENT, EXCLAMATION_MAX, NEGATION_SCALAR,
                                 NORMALIZATION_ALPHA, TAG_FEATURES)
 from veritext.functions import text as T
-from veritext.session import bounded_broadcast
-
-WORD_LIST_MAX = 10_000
-
-
-def _check_small(name: str, items) -> None:
-    if len(items) > WORD_LIST_MAX:
-        raise ValueError(f"{name} has {len(items)} entries; join it as a table instead")
+from veritext.session import cut_lineage
 
 
 def with_tokens(df: DataFrame, text_col: str = "cleaned_text") -> DataFrame:
@@ -40,7 +34,8 @@ def with_tokens(df: DataFrame, text_col: str = "cleaned_text") -> DataFrame:
 
 
 def merged_lexicon(lexicon: DataFrame | None, tag_lexicon: DataFrame | None) -> DataFrame:
-    """One row per term with its valence and tag, so text is read and joined once for both jobs.
+    """One row per term with its valence and tag, so text is read and joined once for both jobs. A term
+    listed with different valences keeps the highest, with different tags the last by name.
 
     A union and one ``groupBy(term)`` (partial aggregation, one shuffle) rather than a full outer
     join: a term listed twice still yields one row, so no token is ever counted twice.
@@ -58,11 +53,9 @@ def merged_lexicon(lexicon: DataFrame | None, tag_lexicon: DataFrame | None) ->
 
 
 def prepared_lexicon(lexicon: DataFrame | None, tag_lexicon: DataFrame | None) -> DataFrame:
-    """The merged lexicon built once, persisted and size-checked, for reuse across many jobs (a
-    stream's micro-batches): each use then skips the merge join and the count."""
-    lex = merged_lexicon(lexicon, tag_lexicon).persist()
-    lex.count()
-    return lex
+    """The merged lexicon built once and checkpointed, for reuse across many jobs (a stream's
+    micro-batches): each use then skips the merge."""
+    return cut_lineage(merged_lexicon(lexicon, tag_lexicon))
 
 
 def suffix_tag(term: Column, rules: list[tuple[int, str, str]]) -> Column:
@@ -84,8 +77,7 @@ def _first_position(toks: Column, words: list[str]) -> Column:
     """1-based position of the first token in ``words``; 0 when none occurs."""
     if not words:
         return F.lit(0)
-    hits = [F.when(F.array_position(toks, w) > 0, F.array_position(toks, w)) for w in words]
-    return F.coalesce(F.least(*hits) if len(hits) > 1 else hits[0], F.lit(0))
+    return F.coalesce(F.array_position(F.transform(toks, lambda t: t.isin(*words)), True), F.lit(0))
 
 
 def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
@@ -101,22 +93,23 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
     (``arrays_zip``), so the rules are plain row expressions after the explode: no lambda, no window.
     """
     negations, boosters, contrast = list(negations), dict(boosters or {}), list(contrast)
-    for name, items in (("negations", negations), ("boosters", boosters), ("contrast", contrast),
-                        ("suffix_rules", suffix_rules)):
-        _check_small(name, items)
-    lex = bounded_broadcast(merged if merged is not None else merged_lexicon(lexicon, tag_lexicon))
+    lex = merged if merged is not None else merged_lexicon(lexicon, tag_lexicon)
+    by_strength: dict[float, list[str]] = {}
+    for w, d in boosters.items():
+        by_strength.setdefault(float(d), []).append(w)
 
     toks = F.col("tokens")
-    base = with_tokens(df.select("review_id", text_col, *keep), text_col).select(
-        "review_id", *keep,
+    numbered = df.select("review_id", text_col, *keep).withColumn("_row", F.monotonically_increasing_id())
+    base = with_tokens(numbered, text_col).select(
+        "_row", "review_id", *keep,
         (F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("!"), F.lit("")))).alias("n_excl"),
         _first_position(toks, contrast).alias("contrast_pos"),
         F.arrays_zip(toks.alias("term"), _shifted(toks, 1).alias("p1"), _shifted(toks, 2).alias("p2"),
                      _shifted(toks, 3).alias("p3")).alias("tok"),
     )
-    rows = base.select("review_id", *keep, "n_excl", "contrast_pos",
+    rows = base.select("_row", "review_id", *keep, "n_excl", "contrast_pos",
                        F.posexplode_outer("tok").alias("pos0", "t"))
-    rows = rows.select("review_id", *keep, "n_excl", "contrast_pos", (F.col("pos0") + 1).alias("pos"),
+    rows = rows.select("_row", "review_id", *keep, "n_excl", "contrast_pos", (F.col("pos0") + 1).alias("pos"),
                        F.col("t.term").alias("term"), F.col("t.p1").alias("p1"),
                        F.col("t.p2").alias("p2"), F.col("t.p3").alias("p3"))
     joined = rows.join(lex, "term", "left")
@@ -126,8 +119,8 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
 
     def boost(p):
         expr = F.lit(0.0)
-        for w, d in boosters.items():
-            expr = F.when(F.col(p) == w, F.lit(float(d))).otherwise(expr)
+        for d, listed in by_strength.items():
+            expr = F.when(F.col(p).isin(*listed), F.lit(d)).otherwise(expr)
         return expr
 
     # one column per rule step: each step reads the previous one several times, and separate
@@ -145,7 +138,7 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
                                  .otherwise(F.col("_v2")))
               .withColumn("_tag", F.coalesce(F.col("tag"), suffix_tag(F.col("term"), list(suffix_rules)))))
 
-    agg = scored.groupBy("review_id", *keep, "n_excl").agg(
+    agg = scored.groupBy("_row", "review_id", *keep, "n_excl").agg(
         F.sum("_v").alias("_s"),
         F.count(F.col("valence")).alias("_hits"),
         *[F.count_if(F.col("_tag") == t).cast("bigint").alias(t) for t in TAG_FEATURES],

@@ -2,62 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritext.constants import FEATURE_CONTRACT, NUMERIC_FEATURES, TAG_FEATURES
-from veritext.session import bounded_broadcast
+from veritext.constants import CATEGORY_MAPPING, FEATURE_CONTRACT, NUMERIC_FEATURES, TAG_FEATURES
 
-CATEGORY_MAX = 10_000  # distinct categories turned into columns
+DATASET_NAMES = [name for _, name in CATEGORY_MAPPING]
 
 
 def category_lookup(df: DataFrame, dim: DataFrame, display_col: str = "display") -> DataFrame:
-    """Display name -> dataset name through the (size-checked, broadcast) dimension.
+    """Display name -> dataset name through the dimension table.
 
     Unknown display names get ``name = null`` and ``reject_reason = 'category'`` (the reference
     raises on them).
     """
-    d = bounded_broadcast(dim.select(F.col("display").alias(display_col), "name"))
+    d = dim.select(F.col("display").alias(display_col), "name")
     out = df.join(d, display_col, "left")
     return out.withColumn("reject_reason", F.when(F.col("name").isNull(), F.lit("category")))
 
 
-def fit_categories(df: DataFrame, col: str = "category") -> list[str]:
-    """A13 'fit': distinct values, sorted (as ``get_dummies``). A bounded list, checked."""
-    vals = df.select(col).where(F.col(col).isNotNull()).distinct().limit(CATEGORY_MAX + 1)
-    cats = sorted(r[0] for r in vals.collect())
-    if len(cats) > CATEGORY_MAX:
-        raise ValueError(f"more than {CATEGORY_MAX} categories; not a dummy-encodable column")
-    return cats
+def fitted_categories(df: DataFrame, col: str = "category") -> DataFrame:
+    """A13 'fit': (position, category), the distinct values in sorted order (as ``get_dummies``)."""
+    values = df.select(F.col(col).alias("category")).filter("category IS NOT NULL").distinct()
+    return values.select((F.row_number().over(Window.orderBy("category")) - 1).alias("position"), "category")
+
+
+def dummy_stages(col: str = "category", out: str = "_cat_vec") -> list:
+    """A13 as estimators: sorted category index and a sparse 0/1 block with one slot per fitted category,
+    however many there are; a null or unseen value is all zeros."""
+    index = StringIndexer(inputCol=col, outputCol="_cat_idx", stringOrderType="alphabetAsc", handleInvalid="keep")
+    # an unknown value gets the index after the last category, and dropLast gives that one no slot
+    return [index, OneHotEncoder(inputCols=["_cat_idx"], outputCols=[out], dropLast=True)]
 
 
 def one_hot(df: DataFrame, categories: list[str], col: str = "category",
             prefix: str = "category_", dtype: str = "int") -> DataFrame:
-    """A13 'transform': one 0/1 column per fitted category; a null or unseen value is all zeros."""
+    """A13 'transform' for a given contract: one 0/1 column per listed category; a null or unlisted value
+    is all zeros."""
     return df.withColumns({f"{prefix}{c}": (F.col(col) == F.lit(c)).cast(dtype) for c in categories}) \
              .fillna(0, subset=[f"{prefix}{c}" for c in categories])
 
 
-def matrix_columns(categories: list[str], prefix: str = "category_") -> list[str]:
-    return NUMERIC_FEATURES + TAG_FEATURES + [f"{prefix}{c}" for c in categories]
+def matrix_names(categories: DataFrame, prefix: str = "category_") -> DataFrame:
+    """(position, name) of the matrix columns: numeric block, tags, one per row of ``categories``."""
+    base = NUMERIC_FEATURES + TAG_FEATURES
+    spark = categories.sparkSession
+    fixed = spark.createDataFrame(list(enumerate(base)), "position int, name string")
+    dummies = categories.select((F.col("position") + len(base)).cast("int").alias("position"),
+                                F.concat(F.lit(prefix), F.col("category")).alias("name"))
+    return fixed.unionByName(dummies)
+
+
+def dummies(df: DataFrame, col: str = "category", out: str = "dummies") -> DataFrame:
+    """``df`` with the fitted 0/1 block of ``col`` as ARRAY<INT>."""
+    made = Pipeline(stages=dummy_stages(col)).fit(df).transform(df)
+    return made.withColumn(out, vector_to_array("_cat_vec").cast("array<int>")).drop("_cat_idx", "_cat_vec")
 
 
-def feature_matrix(df: DataFrame, categories: list[str], label_col: str = "y",
-                   as_array: bool = True) -> DataFrame:
-    """J1 + M8: numeric block, tags and dummies of one row assembled into one vector, in order.
+def feature_matrix(df: DataFrame, label_col: str = "y", as_array: bool = True) -> DataFrame:
+    """J1 + M8: numeric block, tags and the fitted dummies of one row assembled into one vector, in order.
 
     All parts are columns of the same row, so no join is needed ('concat by index' becomes a
     projection). ``as_array`` turns the vector into ARRAY<DOUBLE> for SQL-comparable output.
     """
-    wide = one_hot(df, categories, dtype="double")
-    names = matrix_columns(categories)
-    wide = wide.withColumns({c: F.col(c).cast("double") for c in names})
-    assembled = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(wide)
-    out = assembled.select("review_id", label_col, "features")
+    names = NUMERIC_FEATURES + TAG_FEATURES
+    cast = df.withColumns({c: F.col(c).cast("double") for c in names})
+    stages = [*dummy_stages(), VectorAssembler(inputCols=[*names, "_cat_vec"], outputCol="features",
+                                               handleInvalid="error")]
+    out = Pipeline(stages=stages).fit(cast).transform(cast).select("review_id", label_col, "features")
     return out.withColumn("features", vector_to_array("features")) if as_array else out
 
 
@@ -68,25 +85,25 @@ def contract_key(name: str) -> str:
 
 def conform(df: DataFrame, contract: list[str] = FEATURE_CONTRACT,
             category_col: str = "category",
-            key: Callable[[str], str] = contract_key, keep: list[str] = ("review_id",)) -> DataFrame:
+            key: Callable[[str], str] = contract_key, keep: list[str] = ("review_id",),
+            names: Sequence[str] = DATASET_NAMES) -> DataFrame:
     """The frame the served model expects.
 
-    Contract names starting with ``category_`` become 0/1 against ``key(category)``; other contract
-    names are taken when present, else 0.0; extras are dropped; order is the contract's; every
-    feature is DOUBLE.
+    Contract names starting with ``category_`` are 1 where the row's category is one of ``names`` (the
+    category dictionary) whose ``key`` is that name; other contract names are taken when present, else
+    0.0; extras are dropped; order is the contract's; every feature is DOUBLE.
     """
     present = set(df.columns)
-    cats = [c for c in contract if c.startswith("category_")]
     cols = []
-    for name in contract:
-        if name in cats:
-            hit = F.concat(F.lit("category_"), F.col(category_col), F.lit("_5")) == F.lit(name) \
-                if key is contract_key else F.lit(False)
-            cols.append(F.coalesce(hit, F.lit(False)).cast("double").alias(name))
-        elif name in present:
-            cols.append(F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias(name))
+    for column in contract:
+        if column.startswith("category_"):
+            hits = [n for n in names if key(n) == column]
+            hit = F.coalesce(F.col(category_col).isin(*hits), F.lit(False)) if hits else F.lit(False)
+            cols.append(hit.cast("double").alias(column))
+        elif column in present:
+            cols.append(F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias(column))
         else:
-            cols.append(F.lit(0.0).alias(name))
+            cols.append(F.lit(0.0).alias(column))
     return df.select(*keep, *cols)
 
 

@@ -154,10 +154,9 @@ def log_loss(df: DataFrame, p_pos: str, y: str = "y", group: list[str] = ()) ->
                                  F.count("*").cast("bigint").alias("n"))
 
 
-def compare_models(scored: dict[str, DataFrame], score: str = "p", y: str = "y") -> DataFrame:
-    """The same held-out rows under several models, as one long table -> AUC per model."""
-    longf = None
-    for name, df in scored.items():
-        d = df.select(F.lit(name).alias("model"), "review_id", y, F.col(score).alias("p"))
-        longf = d if longf is None else longf.unionByName(d)
-    return roc_auc(longf, "p", y, group=["model"])
+def compare_models(scored: DataFrame, models: dict[str, str], y: str = "y") -> DataFrame:
+    """AUC per model over the same rows. ``models``: name -> score column; one pass over
+    ``scored`` stacks the score columns."""
+    stack = F.inline(F.array(*(F.struct(F.lit(name).alias("model"), F.col(c).alias("p"))
+                               for name, c in models.items())))
+    return roc_auc(scored.select(y, stack), "p", y, group=["model"])

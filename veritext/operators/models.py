@@ -1,6 +1,6 @@
 """Model training and evaluation with Spark ML.
 
-Every estimator is a ``pyspark.ml`` stage; fitting runs as distributed jobs over the persisted
+Every estimator is a ``pyspark.ml`` stage; fitting runs as distributed jobs over the checkpointed
 feature table. Model outputs have no SQL oracle, so the metric operators stay separate
 (``veritext.operators.metrics``) and are applied to the scored rows.
 """
@@ -12,66 +12,31 @@ import re
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (HashingTF, IDF, OneHotEncoder, RegexTokenizer, StringIndexer,
-                                VectorAssembler, VectorSlicer)
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritext.constants import NUMERIC_FEATURES, TAG_FEATURES, WS_CLASS
+from veritext.operators.matrix import dummy_stages
 from veritext.session import cut_lineage
 
 BASE_FEATURES = NUMERIC_FEATURES + TAG_FEATURES
 
-# The reference's search space (4 x 4 x 3 x 4 x 4 = 768 sets, 5 folds). Spark's GBT has no L1/L2
-# terms; the last two axes become minInstancesPerNode and subsamplingRate. A configuration, not a test.
-REFERENCE_GRID = {
-    "maxIter": [50, 100, 200, 500],
-    "stepSize": [0.1, 0.3, 0.6, 1.0],
-    "maxDepth": [3, 6, 10],
-    "minInstancesPerNode": [1, 2, 5, 10],
-    "subsamplingRate": [0.5, 0.75, 0.9, 1.0],
-}
-
 
 def matrix_stages(features: list[str] = BASE_FEATURES, category_col: str = "category") -> list:
-    """A13 + M8 as estimators: sorted category index, full dummy block, one assembled vector."""
-    idx = StringIndexer(inputCol=category_col, outputCol="_cat_idx", stringOrderType="alphabetAsc",
-                        handleInvalid="keep")
-    ohe = OneHotEncoder(inputCols=["_cat_idx"], outputCols=["_cat_vec"], dropLast=False,
-                        handleInvalid="keep")
-    asm = VectorAssembler(inputCols=list(features) + ["_cat_vec"], outputCol="features",
-                          handleInvalid="error")
-    return [idx, ohe, asm]
-
-
-ROWS_PER_TRAINING_PARTITION = 200_000
-
-
-def sized_for_training(df: DataFrame, rows_per_partition: int = ROWS_PER_TRAINING_PARTITION) -> DataFrame:
-    """Checkpoint the training table, size its partitions, keep it in memory for the iterations.
-
-    The reliable checkpoint (shared ``spark.checkpoint.dir``) cuts the lineage back to the text: an
-    executor lost during the many training jobs costs a re-read of the feature table, not a re-run
-    of clean-up and lexicon joins. Boosting and gradient descent run several jobs per iteration, and
-    each job pays per-task overhead, so the table gets about one partition per
-    ``rows_per_partition`` rows; a large table keeps (at most) its partitions.
-    """
-    d = cut_lineage(df)
-    n = d.count()
-    target = max(1, -(-n // rows_per_partition))
-    if target < d.rdd.getNumPartitions():
-        d = d.coalesce(target)
-    d = d.persist()
-    d.count()
-    return d
+    """A13 + M8 as estimators: the sparse dummy block and one assembled vector."""
+    asm = VectorAssembler(inputCols=list(features) + ["_cat_vec"], outputCol="features", handleInvalid="error")
+    return [*dummy_stages(category_col), asm]
 
 
 def prepared(df: DataFrame, features: list[str] = BASE_FEATURES, label: str = "y") -> DataFrame:
-    """Numeric casts and labelled rows only; persisted and sized once before fitting."""
+    """Numeric casts and labelled rows only, checkpointed to the shared folder before the iterative fits:
+    an executor lost during the training jobs costs a re-read, not a re-run of clean-up and lexicon joins.
+    The estimators keep what they iterate over in memory themselves, and release it."""
     cols = {c: F.col(c).cast("double") for c in features}
-    return sized_for_training(df.filter(F.col(label).isNotNull()).withColumns(cols).withColumn(
+    return cut_lineage(df.filter(F.col(label).isNotNull()).withColumns(cols).withColumn(
         label, F.col(label).cast("double")))
 
 
@@ -101,7 +66,7 @@ def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
     """Names of the assembled vector's slots, from the ML attribute metadata."""
     meta = model.transform(df.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
     slots = sorted((a["idx"], a["name"]) for group in meta.values() for a in group)
-    return [n for _, n in slots]
+    return [n.replace("_cat_vec_", "category_", 1) for _, n in slots]
 
 
 def gain_importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
@@ -124,7 +89,7 @@ def split_counts(model: PipelineModel, names: list[str]) -> list[tuple[str, int]
 
 def cross_validate(train: DataFrame, grid: dict[str, list], fold_col: str = "fold", num_folds: int = 5,
                    features: list[str] = BASE_FEATURES, parallelism: int = 4, seed: int = 42):
-    """M3: grid x folds scored by ROC AUC, best set refit on all training rows.
+    """M3: grid x folds scored by ROC AUC on held-out and training folds, best set refit on all rows.
 
     ``fold_col`` holds the stratified folds of ``split.fold_assign`` (the reference stratifies).
     """
@@ -137,14 +102,24 @@ def cross_validate(train: DataFrame, grid: dict[str, list], fold_col: str = "fol
     ev = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        numFolds=num_folds, parallelism=parallelism, seed=seed, collectSubModels=False)
+                        numFolds=num_folds, parallelism=parallelism, seed=seed, collectSubModels=True)
     model = cv.fit(train)
+    inside = [[ev.evaluate(sub.transform(train.filter(F.col(fold_col) != k))) for k, sub in enumerate(subs)]
+              for subs in zip(*model.subModels)]  # per parameter set, the AUC on each fold's training rows
     rows = []
-    for i, (pm, mean, std) in enumerate(zip(maps, model.avgMetrics, model.stdMetrics)):
-        rows.append((i + 1, {p.name: float(v) for p, v in pm.items()}, float(mean), float(std)))
+    for i, (pm, mean, std, own) in enumerate(zip(maps, model.avgMetrics, model.stdMetrics, inside)):
+        rows.append((i + 1, {p.name: float(v) for p, v in pm.items()}, float(mean), float(std),
+                     sum(own) / len(own)))
     return model, rows
 
 
+def tuned_record(rows: list, test_auc: float, num_features: int) -> dict:
+    """S5 for a tuned run: best parameters, their cross-validated score, the refit's held-out AUC."""
+    best = max(rows, key=lambda r: (r[2], -r[0]))
+    return {"best_params": best[1], "best_cv_score": best[2], "test_auc_best": test_auc,
+            "num_original_features": num_features}
+
+
 def fit_selected(train: DataFrame, selected: list[str], all_names: list[str], base: PipelineModel,
                  **gbt_args) -> PipelineModel:
     """M4: same matrix, vector sliced to the selected slots, refit with the chosen parameters."""
@@ -166,6 +141,15 @@ def fit_text(train: DataFrame, text_col: str = "cleaned_text", num_features: int
     return Pipeline(stages=[tok, tf, idf, lr]).fit(train)
 
 
+def score_both(df: DataFrame, tree: PipelineModel, text: PipelineModel, text_col: str = "cleaned_text") -> DataFrame:
+    """M9: ``p_tree`` and ``p_text`` of two fitted models over the same rows, in one pass. ``df`` has the
+    matrix columns and the cleaned text; works on a stream's micro-batches as on tables."""
+    made = ("_cat_idx", "_cat_vec", "_words", "_tf", "features", "rawPrediction", "probability", "prediction")
+    cast = df.withColumns({c: F.col(c).cast("double") for c in BASE_FEATURES})
+    scored = positive_probability(tree.transform(cast), "p_tree").drop(*made)
+    return positive_probability(text.transform(scored), "p_text").drop(*made)
+
+
 def auc_of(scored: DataFrame, label: str = "y", raw: str = "rawPrediction") -> float:
     return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=raw,
                                          metricName="areaUnderROC").evaluate(scored)

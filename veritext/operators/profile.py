@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritext.session import BROADCAST_MAX_ROWS
+from veritext.session import cut_lineage
 
 
 def head(df: DataFrame, n: int = 5, key: str = "review_id") -> DataFrame:
@@ -25,36 +25,44 @@ def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
               .orderBy(F.desc(name), col))
 
 
-def box_stats(df: DataFrame, value: str, by: str, exact: bool = True,
-              accuracy: int = 10000) -> DataFrame:
+#: Values per bin of the two-level running sum.
+BIN = 1024
+
+
+def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """A5: quartiles (linear interpolation), whiskers at 1.5 IQR, outlier count, per group.
 
-    Exact ``percentile`` keeps a value -> count map per group, so its memory grows with the number
-    of distinct values, not rows; ``exact=False`` uses ``percentile_approx`` instead. The second
-    pass needs the fences on every row: the per-group table has one row per group and is broadcast
-    after the group count is checked, so a group holding most rows never lands in one task.
+    Rows collapse to counts per (group, whole value) first, checkpointed, so the input is read once. A
+    two-level running sum (totals per bin of values, then inside a bin) gives each value's ranks; the
+    quartiles are the values at the ranks around them, and the fences are applied to the counts.
     """
-    rows = df.filter(F.col(by).isNotNull())
-    v = F.col(value).cast("double")
-    if exact:
-        q = F.percentile(v, [0.25, 0.5, 0.75])
-    else:
-        q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).cast("array<double>")
-    quart = (rows.groupBy(by).agg(q.alias("_q"))
-                 .select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                         F.col("_q")[2].alias("q3"))
-                 .withColumn("iqr", F.col("q3") - F.col("q1"))
-                 .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
-                 .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
-    inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
-    # one fence row per group: broadcast when the number of groups (read from the group column
-    # alone) is within the bound, else a plain join
-    n_groups = rows.select(by).distinct().count()
-    fences = F.broadcast(quart) if n_groups <= BROADCAST_MAX_ROWS else quart
-    second = (rows.join(fences, by)
-                  .groupBy(by)
-                  .agg(F.min(F.when(inside, v)).alias("whisker_low"),
-                       F.max(F.when(inside, v)).alias("whisker_high"),
-                       F.count_if(~inside).cast("bigint").alias("n_outliers"),
-                       F.count("*").cast("bigint").alias("n")))
-    return quart.join(second, by)
+    rows = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
+    counts = cut_lineage(rows.groupBy(by, F.col(value).cast("long").alias("_v")).agg(F.count("*").alias("_n")))
+    counts = counts.withColumn("_bin", F.floor(F.col("_v") / BIN))
+    bins = counts.groupBy(by, "_bin").agg(F.sum("_n").alias("_total"))
+    before = Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(by, "_bin", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
+                       F.sum("_total").over(Window.partitionBy(by)).alias("n"))
+    inside = Window.partitionBy(by, "_bin").orderBy("_v")
+    ranked = counts.join(bins, [by, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+
+    def at(rank):  # value at a 0-based rank
+        return F.min(F.when(F.col("_upto") > rank, F.col("_v"))).cast("double")
+
+    points = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    place = {name: (F.col("n") - 1) * q for name, q in points.items()}
+    near = ranked.groupBy(by).agg(F.max("n").alias("n"), *(
+        e.alias(f"_{side}_{name}") for name, h in place.items()
+        for side, e in (("lo", at(F.floor(h))), ("hi", at(F.ceil(h))))))
+    quart = near.select(by, "n", *(
+        (F.col(f"_lo_{name}") + (h - F.floor(h)) * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name)
+        for name, h in place.items()))
+    quart = (quart.withColumn("iqr", F.col("q3") - F.col("q1"))
+             .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
+             .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
+    v = F.col("_v").cast("double")
+    fits = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
+    second = counts.join(quart.select(by, "lower_fence", "upper_fence"), by).groupBy(by).agg(
+        F.min(F.when(fits, v)).alias("whisker_low"), F.max(F.when(fits, v)).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~fits, F.col("_n"))), F.lit(0)).cast("bigint").alias("n_outliers"))
+    return quart.join(second, by).withColumn("n", F.col("n").cast("bigint"))

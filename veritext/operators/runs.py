@@ -109,22 +109,23 @@ def fold_scores(scored: DataFrame, params: list[tuple], param_names: list[str],
     """Per (param set, fold): AUC on the fold (test) and on the other folds (train).
 
     ``params`` is a short list of tuples ``(param_id, *values)``; every row is scored under each set
-    by ``inline`` over a literal array (a projection, not a join), and counted once as test for its
-    own fold and as train for the k - 1 others. Counts are aggregated per (param, fold, role, score)
-    before any shuffle; ``auc_from_counts`` runs per group.
+    by ``inline`` over a literal array (a projection, not a join) and collapses to counts per (param, fold,
+    score) before any shuffle; only these counts are repeated, as test for their own fold and as train for
+    the k - 1 others. ``auc_from_counts`` runs per group.
     """
     grid = F.array(*[F.struct(F.lit(p[0]).alias("param_id"),
                               *[F.lit(v).alias(n) for n, v in zip(param_names, p[1:])])
                      for p in params])
     g = scored.filter(F.col(y).isNotNull()).select("*", F.inline(grid))
     g = g.withColumn("_score", score_fn(*[F.col(n) for n in param_names]))
+    own = g.groupBy("param_id", F.col(fold).alias("_fold"), "_score").agg(
+        F.sum(F.col(y).cast("long")).alias("_p"), F.sum((1 - F.col(y)).cast("long")).alias("_n"))
     roles = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
                         lambda f: F.struct(f.alias("fold_id"),
-                                           F.when(f == F.col(fold), F.lit("test")).otherwise(F.lit("train"))
+                                           F.when(f == F.col("_fold"), F.lit("test")).otherwise(F.lit("train"))
                                             .alias("role")))
-    e = g.select("param_id", y, "_score", F.inline(roles))
-    counts = e.groupBy("param_id", "fold_id", "role", "_score").agg(
-        F.sum(F.col(y).cast("long")).alias("_pos"), F.sum((1 - F.col(y)).cast("long")).alias("_neg"))
+    counts = own.select("param_id", "_score", "_p", "_n", F.inline(roles)).groupBy(
+        "param_id", "fold_id", "role", "_score").agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"))
     auc = ME.auc_from_counts(counts, "_score", "_pos", "_neg", ["param_id", "fold_id", "role"])
     wide = auc.groupBy("param_id", "fold_id").pivot("role", ["test", "train"]).agg(F.first("auc"))
     return wide.select("param_id", F.col("fold_id").alias("fold"), F.col("test").alias("test_auc"),

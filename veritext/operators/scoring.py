@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritext.constants import TEXT_WEIGHT, TREE_WEIGHT
 from veritext.functions import scores as S
 from veritext.operators.features import label_map
 
@@ -39,7 +40,7 @@ def model_verdict(df: DataFrame, p_pos: str, prefix: str) -> DataFrame:
 
 
 def hybrid(df: DataFrame, p_tree: str = "p_tree", p_text: str = "p_text",
-           w_tree: float = 0.3, w_text: float = 0.7) -> DataFrame:
+           w_tree: float = TREE_WEIGHT, w_text: float = TEXT_WEIGHT) -> DataFrame:
     """M9: both verdicts, oriented to p(AI), blended, thresholded and flagged. One projection."""
     v = model_verdict(model_verdict(df, p_tree, "tree"), p_text, "text")
     v = v.withColumn("final_score", S.blend(S.prob_ai("label_tree", "confidence_tree"),

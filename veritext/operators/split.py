@@ -3,16 +3,16 @@
 Every row gets a seeded hash ``h = md5(review_id || ':' || seed)`` (hex). The hash split (M10) is a
 threshold on its first 8 hex digits: a projection, no shuffle, identical in any SQL engine.
 
-Exact-size and stratified splits and stratified folds need each row's *rank* in hash order within
-its label. A global ``row_number`` would pull a whole label (possibly a third of the table) into one
+An exact-size or stratified split needs one row's rank only, that of the cut (``split_exact``).
+Stratified folds need each row's *rank* in hash order within its label. A global ``row_number`` would pull a whole label (possibly a third of the table) into one
 task. Instead:
 
 1. count rows per ``(stratum, bucket)``, bucket = first ``bucket_digits`` hex digits of ``h``
    (partial aggregation; the result has at most strata x 16^digits rows);
 2. a running sum over that small table gives each bucket's offset within its stratum;
 3. rows join their bucket's offset and rank only *inside* their bucket (window partitioned by
-   stratum and bucket: many small, evenly filled partitions because the hash is uniform; the join
-   and the window share one shuffle of the narrow key columns);
+   stratum and bucket: many small, evenly filled partitions because the hash is uniform; only narrow
+   key columns are shuffled);
 4. rank = offset + rank in bucket. The order is (h, review_id), the same total order as the SQL
    ``row_number() OVER (PARTITION BY stratum ORDER BY h, review_id)``.
 """
@@ -49,9 +49,7 @@ def hash_rank(df: DataFrame, strata: list[str], seed: int = 42, key: str = "revi
         F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(*strata)).alias("stratum_n"),
     )
-    # A plain equi-join on (stratum, bucket): the rows must be partitioned by that key for the
-    # in-bucket window anyway, so the join's shuffle is the window's shuffle (and AQE may still turn
-    # it into a broadcast when the offset table is small). Null-safe: a null label is a stratum.
+    # Null-safe: a null label is a stratum. The planner broadcasts the offsets while they are small.
     cond = [F.col("_b") == F.col("_o_b")] + [F.col(s).eqNullSafe(F.col(f"_o_{s}")) for s in strata]
     joined = h.join(offsets, cond, "inner").drop("_o_b", *[f"_o_{s}" for s in strata])
     in_bucket = Window.partitionBy(*strata, "_b").orderBy("_h", key)
@@ -60,15 +58,36 @@ def hash_rank(df: DataFrame, strata: list[str], seed: int = 42, key: str = "revi
 
 
 def split_exact(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, strata: list[str] = (),
-                key: str = "review_id") -> DataFrame:
-    """Exactly ``ceil(fraction * n)`` test rows per stratum, the first ones in hash order."""
+                key: str = "review_id", bucket_digits: int = 4) -> DataFrame:
+    """Exactly ``ceil(fraction * n)`` test rows per stratum, the first ones in hash order.
+
+    Counts per (stratum, hash bucket) give the bucket that the cut falls into, and only that bucket's keys
+    are ranked, to find the cut itself. The split is then a comparison with the cut of the row's stratum:
+    the rows of ``df`` are not moved. One cut per stratum comes to the driver (strata are label values).
+    """
     strata = list(strata)
-    if not strata:
-        df = df.withColumn("_all", F.lit(1))
-    r = hash_rank(df, strata or ["_all"], seed, key)
-    test = F.col("rank") <= F.ceil(F.col("stratum_n") * F.lit(test_fraction))
-    out = r.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
-    return out.drop("rank", "stratum_n", "_all")
+    names = [f"_s{i}" for i in range(len(strata))]
+    h = seeded_hash(key, seed)
+    keys = df.select(*(F.col(s).alias(n) for s, n in zip(strata, names)), F.col(key).alias("_key"), h.alias("_h"))
+    keys = keys.withColumn("_b", F.substring("_h", 1, bucket_digits))
+    counts = keys.groupBy(*names, "_b").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*names, "_b", "_n", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
+                           F.ceil(F.sum("_n").over(Window.partitionBy(*names)) * F.lit(test_fraction)).alias("_want"))
+    edge = counts.filter((F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") >= F.col("_want")))
+    edge = edge.select(*(F.col(n).alias(f"{n}_e") for n in names), F.col("_b").alias("_edge"),
+                       (F.col("_want") - F.col("_before")).alias("_left"))
+    same = [F.col("_b") == F.col("_edge"), *(F.col(n).eqNullSafe(F.col(f"{n}_e")) for n in names)]
+    rank = F.row_number().over(Window.partitionBy(*names, "_b").orderBy("_h", "_key"))
+    cuts = (keys.join(edge, same).withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
+            .select(*names, "_h", "_key").collect())
+    test = F.lit(False)
+    for cut in cuts:
+        here = (h < cut["_h"]) | ((h == cut["_h"]) & (F.col(key) <= cut["_key"]))
+        for s, n in zip(strata, names):
+            here = here & F.col(s).eqNullSafe(F.lit(cut[n]))
+        test = test | here
+    return df.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def fold_assign(df: DataFrame, k: int = 5, seed: int = 42, strata: list[str] = ("y",),

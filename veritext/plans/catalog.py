@@ -12,6 +12,7 @@ from veritext.operators import features as FE
 from veritext.operators import profile as PR
 from veritext.plans.registry import query
 from veritext.plans.sql import char_length_sql, clean_sql, with_views, word_count_sql
+from veritext.schemas import REVIEW_COLUMNS
 from veritext.sources import tables as TB
 
 
@@ -107,7 +108,8 @@ def q_label_map(spark, sf):
 
 @query("head", with_views("reviews_docs") + "SELECT * FROM reviews_docs ORDER BY review_id LIMIT 5")
 def q_head(spark, sf):
-    return PR.head(TB.reviews_docs(spark, sf))
+    first = PR.head(TB.documents_unlabelled(spark, sf))  # five rows meet the labels
+    return PR.head(TB.attach_labels(spark, sf, first).select(*REVIEW_COLUMNS))
 
 
 @query("null_counts", with_views("reviews_docs") + """
@@ -118,7 +120,9 @@ SELECT column_name, null_count FROM (
   UNION ALL SELECT 'label', CAST(count_if(label IS NULL) AS BIGINT) FROM reviews_docs
   UNION ALL SELECT 'text_', CAST(count_if(text_ IS NULL) AS BIGINT) FROM reviews_docs)""")
 def q_null_counts(spark, sf):
-    return PR.null_counts(TB.reviews_docs(spark, sf))
+    flags = TB.reviews_docs(spark, sf, before_labels=lambda d: d.withColumn(  # text reduced to a flag
+        "text_", F.when(F.col("text_").isNotNull(), F.lit(True))))
+    return PR.null_counts(flags.select(*REVIEW_COLUMNS))
 
 
 @query("label_counts", with_views("reviews_docs") + """

@@ -34,12 +34,16 @@ _DIM_SQL = "dim(display, name) AS (VALUES " + ", ".join(
     f"({_q(d)}, {_q(n)})" for d, n in CATEGORY_MAPPING) + ")"
 
 
+def featurized(spark, df, keep_extra=()):
+    p = lexicon_params(spark)
+    return featurize(df, p["lexicon"], p["tag_lexicon"], p["negations"], p["boosters"], p["contrast"],
+                     p["suffix_rules"], keep_extra=keep_extra)
+
+
 def full_features(spark, sf, keep_extra=()):
     """Featurized documents (label-free), then labels and ``y`` attached."""
-    p = lexicon_params(spark)
-    return TB.reviews_docs(spark, sf, before_labels=lambda d: featurize(
-        d, p["lexicon"], p["tag_lexicon"], p["negations"], p["boosters"], p["contrast"],
-        p["suffix_rules"], keep_extra=keep_extra)).transform(FE.label_map)
+    return TB.reviews_docs(spark, sf, before_labels=lambda d: featurized(spark, d, keep_extra)).transform(
+        FE.label_map)
 
 
 # ---- J2 ------------------------------------------------------------------------------------------
@@ -58,12 +62,12 @@ def q_category_lookup(spark, sf):
 # ---- A13 -----------------------------------------------------------------------------------------
 
 @query("one_hot", with_views("reviews_docs") + """
-SELECT * FROM (PIVOT (SELECT review_id, 'category_' || category AS c FROM reviews_docs)
-               ON c USING CAST(count(*) AS INT) GROUP BY review_id)""")
+, cats AS (SELECT list(DISTINCT category ORDER BY category) AS cs FROM reviews_docs)
+SELECT review_id, list_transform(cs, lambda c: CASE WHEN c = category THEN 1 ELSE 0 END)::INT[] AS dummies
+FROM reviews_docs, cats""")
 def q_one_hot(spark, sf):
     d = TB.documents_unlabelled(spark, sf).select("review_id", "category")
-    cats = MX.fit_categories(d)
-    return MX.one_hot(d, cats).drop("category")
+    return MX.dummies(d).drop("category")
 
 
 # ---- J1 / M8 -------------------------------------------------------------------------------------
@@ -80,13 +84,16 @@ SELECT review_id, y,
          AS features
 FROM full_features, cats""")
 def q_feature_matrix(spark, sf):
-    f = full_features(spark, sf)
-    cats = MX.fit_categories(TB.documents_unlabelled(spark, sf))
-    return MX.feature_matrix(f, cats)
+    return MX.feature_matrix(full_features(spark, sf))
 
 
 # ---- P3 / P8-P10 / P15 / H21 ------------------------------------------------------------------------
 
+# every 7th review arrives without a rating; defaults come before the features
+_RATING = "coalesce(CASE WHEN f.review_id % 7 = 3 THEN NULL ELSE f.rating END, 5.0)"
+_DEFAULTED = {"rating": _RATING, "is_extreme_star": f"({_RATING} IN (1.0, 5.0))"}
+
+
 def _conform_sql() -> str:
     cols = []
     for name in FEATURE_CONTRACT:
@@ -94,7 +101,8 @@ def _conform_sql() -> str:
             cols.append(f"CAST(CASE WHEN 'category_' || dim.name || '_5' = {_q(name)} THEN 1.0 ELSE 0.0 END "
                         f"AS DOUBLE) AS \"{name}\"")
         else:
-            cols.append(f"coalesce(CAST(f.\"{name}\" AS DOUBLE), 0.0) AS \"{name}\"")
+            cols.append(f"coalesce(CAST({_DEFAULTED.get(name, f'f.{chr(34)}{name}{chr(34)}')} AS DOUBLE), 0.0) "
+                        f"AS \"{name}\"")
     return ", ".join(cols)
 
 
@@ -102,9 +110,11 @@ def _conform_sql() -> str:
 SELECT f.review_id, {_conform_sql()}
 FROM full_features f LEFT JOIN dim ON {_DISPLAY_SQL.replace('review_id', 'f.review_id')} = dim.display""")
 def q_conform_features(spark, sf):
-    f = full_features(spark, sf).withColumn("display", display_of())
+    some = TB.documents_unlabelled(spark, sf).withColumn(
+        "rating", F.when(F.col("review_id") % 7 != 3, F.col("rating")))
+    f = featurized(spark, FE.with_defaults(some)).withColumn("display", display_of())
     named = MX.category_lookup(f, category_dim(spark)).withColumn("category", F.col("name"))
-    return MX.conform(FE.with_defaults(named))
+    return MX.conform(named)
 
 
 # ---- U1 ------------------------------------------------------------------------------------------
@@ -118,9 +128,7 @@ def q_conform_features(spark, sf):
 UNION ALL
 SELECT name, 'extra' AS kind FROM (SELECT name FROM present EXCEPT ALL SELECT name FROM contract)""")
 def q_schema_drift(spark, sf):
-    cats = MX.fit_categories(TB.documents_unlabelled(spark, sf))
-    present = spark.createDataFrame([(i, n) for i, n in enumerate(MX.matrix_columns(cats))],
-                                    "position int, name string")
+    present = MX.matrix_names(MX.fitted_categories(TB.documents_unlabelled(spark, sf)))
     return MX.schema_drift(contract_df(spark), present)
 
 

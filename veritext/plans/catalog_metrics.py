@@ -118,8 +118,7 @@ longf AS (SELECT 'tree' AS model, y, p_tree AS p FROM t UNION ALL SELECT 'text',
 """ + auc_sql("longf", "p", ["model"]))
 def q_compare_models(spark, sf):
     test = SP.split_hash(score_docs(spark, sf)).filter(F.col("split") == "test")
-    return ME.compare_models({"tree": test.withColumn("p", F.col("p_tree")),
-                              "text": test.withColumn("p", F.col("p_text"))})
+    return ME.compare_models(test, {"tree": "p_tree", "text": "p_text"})
 
 
 # ---- verdicts ------------------------------------------------------------------------------------

@@ -1,61 +1,84 @@
-"""Registered queries, part 7: Spark ML training, selection, tuning and persistence.
+"""Registered queries, part 7: Spark ML training, selection, tuning, persistence and trained scoring.
 
-Trained models have no SQL oracle; these keys get the rows-only check plus the property tests of
-``tests/test_models.py``.
+Model outputs have no SQL oracle. Keys whose rows, labels or invariants SQL can state have one for these;
+``tests/test_models.py`` checks every key's numbers by their properties.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
-from veritext.constants import IMPORTANCE_THRESHOLD
+from veritext.constants import IMPORTANCE_THRESHOLD, NUMERIC_FEATURES, TAG_FEATURES
 from veritext.operators import features as FE
 from veritext.operators import metrics as ME
 from veritext.operators import models as MO
+from veritext.operators import scoring as SC
 from veritext.operators import split as SP
 from veritext.plans.catalog_matrix import full_features
 from veritext.plans.registry import query
+from veritext.plans.sql import _q, with_views
 from veritext.session import scratch_path
+from veritext.sources import files as FL
 from veritext.sources import tables as TB
 
 SMALL_GRID = {"maxIter": [5, 10], "maxDepth": [2, 3]}
+TEXT_REGS = [0.001, 0.01, 0.1]
+
+_TEST = "substr(md5(CAST(review_id AS VARCHAR) || ':42'), 1, 8) < '33333333'"
+_HELD = with_views("reviews_docs") + f"""
+, held AS (SELECT review_id, CASE label WHEN 'OR' THEN 1 WHEN 'CG' THEN 0 END AS y FROM reviews_docs
+           WHERE label IN ('OR', 'CG') AND {_TEST})"""
 
 
 def train_test(spark, sf):
-    """Featurized, labelled reviews with the shared hash split; persisted for the iterative fits."""
+    """Featurized, labelled reviews with the shared hash split, checkpointed for the iterative fits."""
     d = SP.split_hash(MO.prepared(full_features(spark, sf)))
     return d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
 
 
-_BASELINES: dict = {}
-
-
-def baseline(spark, sf):
-    """The baseline tree model, fitted once per session and data folder (a model cache, as the
-    reference keeps its loaded models per process)."""
-    train, test = train_test(spark, sf)
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _BASELINES:
-        _BASELINES[key] = MO.fit_trees(train, max_iter=100, max_depth=4, seed=42)
-    return _BASELINES[key], train, test
+def baseline(train):
+    """M1: the reference's baseline (100 trees, depth 4)."""
+    return MO.fit_trees(train, max_iter=100, max_depth=4, seed=42)
 
 
-@query("train_gbt")
+@query("train_gbt", _HELD + "SELECT review_id, y, true AS valid FROM held")
 def q_train_gbt(spark, sf):
-    """M1 / M2: the reference's baseline (100 trees, depth 4), scored on the held-out rows."""
-    model, _, test = baseline(spark, sf)
-    s = MO.score(model, test)
-    return s.select("review_id", "y", "pred", F.round("p_pos", 6).alias("p_pos"))
+    """M1 / M2: the baseline scores every held-out row with a probability, and its class follows."""
+    train, test = train_test(spark, sf)
+    s = MO.score(baseline(train), test)
+    valid = F.col("p_pos").between(0.0, 1.0) & ((F.col("p_pos") > 0.5) == (F.col("pred") == 1))
+    return s.select("review_id", F.col("y").cast("int").alias("y"), valid.alias("valid"))
 
 
-@query("importance_splits")
+@query("importance_splits", with_views("reviews_docs") + f"""
+, cats AS (SELECT DISTINCT category FROM reviews_docs WHERE label IN ('OR', 'CG') AND NOT {_TEST}),
+slots AS (SELECT * FROM (VALUES {', '.join(f"({i}, {_q(n)})" for i, n in enumerate(NUMERIC_FEATURES + TAG_FEATURES))}) v(position, feature)
+  UNION ALL SELECT {len(NUMERIC_FEATURES + TAG_FEATURES) - 1} + row_number() OVER (ORDER BY category), 'category_' || category FROM cats)
+SELECT CAST(position AS INT) AS position, feature, 1.0::DOUBLE AS gain_total, true AS used_is_split FROM slots""")
 def q_importance_splits(spark, sf):
-    """Gain importance and split count per matrix slot of the baseline."""
-    model, train, _ = baseline(spark, sf)
+    """The baseline's matrix slots; gains sum to 1, and a slot has gain only where trees split
+    on it."""
+    train, _ = train_test(spark, sf)
+    model = baseline(train)
     names = MO.feature_names(model, train)
     gain = dict(MO.gain_importances(model, names))
-    rows = [(i, n, round(gain[n], 6), c) for i, (n, c) in enumerate(MO.split_counts(model, names))]
-    return spark.createDataFrame(rows, "position int, feature string, gain double, splits int")
+    total = round(sum(gain.values()), 6)
+    rows = [(i, n, total, gain[n] == 0 or c > 0) for i, (n, c) in enumerate(MO.split_counts(model, names))]
+    return spark.createDataFrame(rows, "position int, feature string, gain_total double, used_is_split boolean")
+
+
+@query("importance_top_gain")
+def q_importance_top_gain(spark, sf):
+    """The ten slots of highest gain, over the numeric block, tags and every category slot."""
+    train, _ = train_test(spark, sf)
+    model = baseline(train)
+    names = MO.feature_names(model, train)
+    splits = dict(MO.split_counts(model, names))
+    top = sorted(MO.gain_importances(model, names), key=lambda r: (-r[1], r[0]))[:10]
+    return spark.createDataFrame([(i + 1, n, round(g, 6), splits[n]) for i, (n, g) in enumerate(top)],
+                                 "rank int, feature string, gain double, splits int")
 
 
 @query("train_gbt_early")
@@ -73,22 +96,29 @@ def q_train_gbt_early(spark, sf):
 
 @query("train_grid")
 def q_train_grid(spark, sf):
-    """M3: grid x stratified 5 folds by ROC AUC, best set refit (a 2 x 2 grid; the reference's
-    768-set space is ``models.REFERENCE_GRID``)."""
-    train, _ = train_test(spark, sf)
-    folded = SP.fold_assign(train)
-    _, rows = MO.cross_validate(folded, SMALL_GRID)
-    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
-    out = [(pid, int(p["maxIter"]), int(p["maxDepth"]), round(m, 6), round(s, 6), pid == best)
-           for pid, p, m, s in rows]
-    return spark.createDataFrame(out, "param_id int, max_iter int, max_depth int, mean_auc double, "
-                                      "std_auc double, is_best boolean")
+    """Grid x stratified 5 folds by ROC AUC, with train-fold means; the best set's refit is
+    evaluated on the held-out rows and recorded as run metadata."""
+    train, test = train_test(spark, sf)
+    model, rows = MO.cross_validate(SP.fold_assign(train), SMALL_GRID)
+    auc = MO.auc_of(model.bestModel.transform(test))
+    record = MO.tuned_record(rows, round(auc, 6), len(MO.feature_names(model.bestModel, train)))
+    schema = ("best_params map<string,double>, best_cv_score double, test_auc_best double, "
+              "num_original_features int")
+    path = FL.write_json(spark.createDataFrame([record], schema), scratch_path(spark, "tuned-run"), mode="append")
+    kept = FL.read_json(spark, path, schema)
+    out = [(pid, int(p["maxIter"]), int(p["maxDepth"]), round(m, 6), round(s, 6), round(t, 6),
+            p == record["best_params"]) for pid, p, m, s, t in rows]
+    grid = spark.createDataFrame(out, "param_id int, max_iter int, max_depth int, mean_test_auc double, "
+                                      "std_test_auc double, mean_train_auc double, is_best boolean")
+    held = kept.select("best_cv_score", "test_auc_best", "num_original_features", F.lit(True).alias("is_best"))
+    return grid.join(held, "is_best", "left")
 
 
 @query("train_selected")
 def q_train_selected(spark, sf):
     """Keep slots with baseline gain importance >= 0.020, refit, evaluate on test."""
-    model, train, test = baseline(spark, sf)
+    train, test = train_test(spark, sf)
+    model = baseline(train)
     names = MO.feature_names(model, train)
     sel = [n for n, v in MO.gain_importances(model, names) if v >= IMPORTANCE_THRESHOLD]
     refit = MO.fit_selected(train, sel, names, model, max_iter=100, max_depth=4, seed=42)
@@ -97,21 +127,55 @@ def q_train_selected(spark, sf):
                                  "feature string, n_selected int, test_auc double")
 
 
+@query("train_compare")
+def q_train_compare(spark, sf):
+    """M5: baseline, selected refit and tuned model on the same held-out rows."""
+    train, test = train_test(spark, sf)
+    first = baseline(train)
+    names = MO.feature_names(first, train)
+    sel = [n for n, v in MO.gain_importances(first, names) if v >= IMPORTANCE_THRESHOLD]
+    tuned, _ = MO.cross_validate(SP.fold_assign(train, k=3), SMALL_GRID, num_folds=3)
+    models = {"baseline": first, "tuned": tuned.bestModel,
+              "selected": MO.fit_selected(train, sel, names, first, max_iter=100, max_depth=4, seed=42)}
+    made = ("_cat_idx", "_cat_vec", "features", "features_sel", "rawPrediction", "probability", "prediction")
+    scored = test.withColumn("y", F.col("y").cast("int"))
+    for name, model in models.items():
+        scored = MO.positive_probability(model.transform(scored), f"p_{name}").drop(*made)
+    return ME.compare_models(scored, {name: f"p_{name}" for name in models})
+
+
 @query("train_text")
 def q_train_text(spark, sf):
-    """M6: text-only classifier on human vs machine turns; stratified split; test metrics."""
-    chat = FE.label_map(TB.reviews_chat(spark, sf).transform(FE.with_clean_text))
-    chat = FE.drop_empty(chat).transform(FE.label_map)
-    split = MO.sized_for_training(SP.split_exact(chat, strata=["y"]).withColumn("y", F.col("y").cast("double")))
-    model = MO.fit_text(split.filter(F.col("split") == "train"))
-    scored = model.transform(split.filter(F.col("split") == "test"))
-    auc = MO.auc_of(scored)
-    m = ME.binary_metrics(scored.withColumn("pred", F.col("prediction").cast("int"))
-                                .withColumn("y", F.col("y").cast("int")))
-    return m.withColumn("auc", F.lit(round(auc, 6)))
-
-
-@query("model_roundtrip")
+    """M6: text-only classifier on human vs machine turns. Turns split three ways by hash; each candidate
+    has one evaluation record on the validation rows; the best by F1 is evaluated on the test rows."""
+    chat = FE.label_map(TB.reviews_chat(spark, sf)).filter(F.col("y").isNotNull())
+    chat = SP.split_exact(chat, strata=["y"])  # before the clean-up: the cut is found on keys and labels
+    chat = FE.with_clean_text(chat).filter(F.col("cleaned_text") != "")
+    val = F.substring(SP.seeded_hash(seed=7), 1, 8) < F.lit(SP.TEST_HASH_CUT)
+    part = F.when(F.col("split") == "test", F.lit("test")).when(val, F.lit("validation")).otherwise(F.lit("train"))
+    rows = MO.cut_lineage(chat.select("review_id", F.col("y").cast("double").alias("y"), "cleaned_text",
+                                      part.alias("part")))
+
+    def evaluated(model, name):
+        began = time.perf_counter()
+        scored = model.transform(rows.filter(F.col("part") == name))
+        pred = scored.withColumn("pred", F.col("prediction").cast("int")).withColumn("y", F.col("y").cast("int"))
+        m = ME.binary_metrics(pred).first()
+        return m, m["n"] / (time.perf_counter() - began)
+
+    out = []
+    models = {reg: MO.fit_text(rows.filter(F.col("part") == "train"), reg=reg) for reg in TEXT_REGS}
+    for reg, model in models.items():
+        m, speed = evaluated(model, "validation")
+        out.append([reg, m["accuracy"], m["f1"], int(m["n"]), round(speed, 1)])
+    best = max(out, key=lambda r: (r[2], -r[0]))[0]
+    test, _ = evaluated(models[best], "test")
+    done = [(*r, r[0] == best, test["f1"] if r[0] == best else None) for r in out]
+    return spark.createDataFrame(done, "reg double, eval_accuracy double, eval_f1 double, n int, "
+                                       "eval_samples_per_second double, is_best boolean, test_f1 double")
+
+
+@query("model_roundtrip", _HELD + "SELECT review_id, true AS same FROM held")
 def q_model_roundtrip(spark, sf):
     """Save the fitted pipeline to shared storage, load it, score again: same numbers."""
     train, test = train_test(spark, sf)
@@ -120,4 +184,47 @@ def q_model_roundtrip(spark, sf):
     again = MO.load_model(path)
     a = MO.score(model, test).select("review_id", F.col("p_pos").alias("p_before"))
     b = MO.score(again, test).select("review_id", F.col("p_pos").alias("p_after"))
-    return a.join(b, "review_id").withColumn("same", F.col("p_before") == F.col("p_after"))
+    return a.join(b, "review_id").select("review_id", (F.col("p_before") == F.col("p_after")).alias("same"))
+
+
+# ---- trained hybrid (M9) --------------------------------------------------------------------------
+
+
+def trained_models(spark, sf, max_iter: int = 20):
+    """Paths of a tree and a text model fitted on the training rows of ``documents``, and the held-out
+    rows with their features and cleaned text."""
+    d = SP.split_hash(MO.prepared(full_features(spark, sf, keep_extra=["cleaned_text"])))
+    train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
+    tree = MO.save_model(MO.fit_trees(train, max_iter=max_iter, max_depth=4, seed=42), scratch_path(spark, "tree-model"))
+    text = MO.save_model(MO.fit_text(train), scratch_path(spark, "text-model"))
+    return tree, text, test
+
+
+def hybrid_trained(spark, sf):
+    """Held-out reviews scored by two saved models and blended."""
+    tree, text, test = trained_models(spark, sf)
+    return SC.hybrid(MO.score_both(test, MO.load_model(tree), MO.load_model(text)))
+
+
+@query("score_trained", _HELD + """
+SELECT review_id, y, true AS probabilities, true AS blended, true AS thresholds FROM held""")
+def q_score_trained(spark, sf):
+    """M9 with trained models: for every held-out review both probabilities exist, the verdict is their
+    0.3 / 0.7 blend towards AI, and label, confidence and flag follow its thresholds."""
+    h = hybrid_trained(spark, sf)
+    ai = lambda p: 1.0 - F.col(p)  # noqa: E731  probability of class 0 (AI)
+    blend = F.abs(F.col("final_score") - (0.3 * ai("p_tree") + 0.7 * ai("p_text"))) < 1e-9
+    label = F.when(F.col("final_score") >= 0.5, "AI").otherwise("Human")
+    sure = F.when(F.col("final_score") >= 0.5, F.col("final_score")).otherwise(1.0 - F.col("final_score"))
+    follows = (F.col("final_label") == label) & (F.abs(F.col("confidence") - sure) < 1e-9) & (
+        F.col("is_uncertain") == (F.col("confidence") < 0.7))
+    return h.select("review_id", F.col("y").cast("int").alias("y"),
+                    (F.col("p_tree").between(0.0, 1.0) & F.col("p_text").between(0.0, 1.0)).alias("probabilities"),
+                    blend.alias("blended"), follows.alias("thresholds"))
+
+
+def report(spark, sf):
+    """Train, score, report: metrics of the trained hybrid on the held-out rows (the entry point)."""
+    h = hybrid_trained(spark, sf)
+    pred = F.when(F.col("final_label") == "Human", 1).otherwise(0)
+    return ME.binary_metrics(h.select(F.col("y").cast("int").alias("y"), pred.alias("pred")))

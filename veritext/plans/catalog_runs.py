@@ -85,9 +85,7 @@ SELECT CAST(position AS INT) AS position, name FROM (
   SELECT {len(_BASE_NAMES) - 1} + row_number() OVER (ORDER BY category), 'category_' || category
   FROM (SELECT DISTINCT category FROM reviews_docs WHERE category IS NOT NULL))""")
 def q_contract_roundtrip(spark, sf):
-    cats = MX.fit_categories(TB.documents_unlabelled(spark, sf))
-    names = MX.matrix_columns(cats)
-    contract = spark.createDataFrame(list(enumerate(names)), CONTRACT)
+    contract = MX.matrix_names(MX.fitted_categories(TB.documents_unlabelled(spark, sf)))
     path = FL.write_json(contract, scratch_path(spark, "feature-contract"))
     return FL.read_json(spark, path, CONTRACT).orderBy("position")
 
@@ -229,17 +227,23 @@ def q_grid_summary(spark, sf):
 
 # ---- A11 / T2 / P12 ------------------------------------------------------------------------------
 
+_GIVEN = ["src0", "src1", "src2", "src3", "src4"]  # the category columns of this contract
+_SLOTS = _BASE_NAMES + [f"category_{c}" for c in _GIVEN]
+
+
 def _imp_sql() -> str:
     parts = " UNION ALL ".join(
         f"SELECT {_q(f)} AS feature, coalesce(abs(corr(CAST(\"{f}\" AS DOUBLE), CAST(y AS DOUBLE))), 0.0) AS raw "
-        f"FROM full_features WHERE y IS NOT NULL" for f in _BASE_NAMES)
-    return f""", imp0 AS ({parts}),
+        f"FROM matrix WHERE y IS NOT NULL" for f in _SLOTS)
+    dummies = ", ".join(f"CASE WHEN category = {_q(c)} THEN 1 ELSE 0 END AS \"category_{c}\"" for c in _GIVEN)
+    return f""", matrix AS (SELECT *, {dummies} FROM full_features),
+imp0 AS ({parts}),
 imp AS (SELECT feature, round(coalesce(raw / nullif(sum(raw) OVER (), 0), 0.0), 6) AS importance FROM imp0)
 """
 
 
 def importances(spark, sf):
-    return RU.univariate_importance(full_features(spark, sf), _BASE_NAMES)
+    return RU.univariate_importance(MX.one_hot(full_features(spark, sf), _GIVEN), _SLOTS)
 
 
 @query("importance_topk", full_features_prefix() + _imp_sql() + """
@@ -250,8 +254,8 @@ def q_importance_topk(spark, sf):
 
 
 @query("select_by_importance", full_features_prefix() + _imp_sql() + """
-SELECT CAST(list_position([""" + ", ".join(_q(n) for n in _BASE_NAMES) + f"""], feature) - 1 AS INT) AS position,
+SELECT CAST(list_position([""" + ", ".join(_q(n) for n in _SLOTS) + f"""], feature) - 1 AS INT) AS position,
        feature, importance
 FROM imp WHERE importance >= {IMPORTANCE_THRESHOLD}""")
 def q_select_by_importance(spark, sf):
-    return RU.select_by_importance(importances(spark, sf), _BASE_NAMES, IMPORTANCE_THRESHOLD)
+    return RU.select_by_importance(importances(spark, sf), _SLOTS, IMPORTANCE_THRESHOLD)

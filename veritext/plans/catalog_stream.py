@@ -1,4 +1,4 @@
-"""Registered queries, part 8: stream scoring (rows-only check; batch equality is a unit test)."""
+"""Registered queries, part 8: stream scoring."""
 
 from __future__ import annotations
 
@@ -28,8 +28,7 @@ _STREAM_SQL = (with_views("features_chat") + lexicon_ctes("features_chat") + """
          round(1.0 / (1.0 + exp(-(4.0 * punctuation_ct / greatest(char_length, 1) - 0.1))), 6) AS p_tree,
          round(1.0 / (1.0 + exp(-(((word_count % 17) - 8) / 4.0))), 6) AS p_text
   FROM features_chat f JOIN lexagg a ON f.review_id = a.review_id)
-""" + _HYB.replace("FROM score_table),", "FROM score_table) AS v0 JOIN score_table USING (review_id)),", 0)
-    + """
+""" + _HYB + """
 SELECT h.review_id, label_tree, confidence_tree, label_text, confidence_text, final_score, final_label,
        confidence, confidence < 0.7 AS is_uncertain, st.sentiment_score
 FROM h JOIN score_table st ON h.review_id = st.review_id""")

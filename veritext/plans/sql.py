@@ -57,10 +57,10 @@ VIEWS = {
          {label_sql('l.quality')} AS label, d.text AS text_
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
     "reviews_chat": """reviews_chat AS (
-  SELECT conv_id * 1000 + turn AS review_id, 'chat' AS category,
+  SELECT conv_id * 4294967296 + turn AS review_id, 'chat' AS category,
          CAST(turn % 5 + 1 AS DOUBLE) AS rating,
-         CASE WHEN role = 'user' THEN 'OR' ELSE 'CG' END AS label, text AS text_
-  FROM conversations WHERE role IN ('user', 'assistant'))""",
+         CASE role WHEN 'user' THEN 'OR' WHEN 'assistant' THEN 'CG' END AS label, text AS text_
+  FROM conversations)""",
     "reviews_pages": """reviews_pages AS (
   SELECT page_id AS review_id, 'unknown' AS category, CAST(NULL AS DOUBLE) AS rating,
          CAST(NULL AS VARCHAR) AS label, html || ' ' || url AS text_

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from veritext.constants import CATEGORY_MAPPING, FEATURE_CONTRACT
 
@@ -62,10 +64,20 @@ RUN_METRICS = T.StructType([
 ])
 
 
+def local_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """A table of literal rows whose size the planner knows (a local relation, by way of Arrow), so joins
+    with it are broadcast from the start."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [[] for _ in wanted.fields]
+    table = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, wanted.fields)],
+                     names=wanted.names)
+    return spark.createDataFrame(table, wanted)
+
+
 def contract_df(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     names = names or FEATURE_CONTRACT
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], CONTRACT)
+    return local_table(spark, list(enumerate(names)), CONTRACT)
 
 
 def category_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATEGORY_MAPPING, CATEGORY_DIM)
+    return local_table(spark, CATEGORY_MAPPING, CATEGORY_DIM)

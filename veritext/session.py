@@ -6,12 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Upper bound (rows) for any table this package broadcasts on purpose. Lexicons, vocabularies,
-# category dimensions, contracts and cut tables are far below it; anything above it is joined by a
-# shuffle instead.
-BROADCAST_MAX_ROWS = 2_000_000
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -70,9 +64,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss; never local)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count is checked; above the bound, a plain (shuffle) join."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veritext.schemas import local_table
+
 # --- test lexicons (invented for the fixture text) -----------------------------------------------
 
 LEXICON = [("the", 0.5), ("of", -0.25), ("and", 1.5), ("or", -2.0), ("with", 2.25), ("le", 1.0),
@@ -32,17 +34,17 @@ VOCAB_TERMS = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "
 
 
 def lexicon_df(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or LEXICON, "term string, valence double")
+    return local_table(spark, rows or LEXICON, "term string, valence double")
 
 
 def tag_lexicon_df(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or TAG_LEXICON, "term string, tag string")
+    return local_table(spark, rows or TAG_LEXICON, "term string, tag string")
 
 
 def suffix_rules_df(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or SUFFIX_RULES, "priority int, suffix string, tag string")
+    return local_table(spark, rows or SUFFIX_RULES, "priority int, suffix string, tag string")
 
 
 def vocab_df(spark: SparkSession, terms=None) -> DataFrame:
     terms = terms or VOCAB_TERMS
-    return spark.createDataFrame([(t, 1000 + i) for i, t in enumerate(terms)], "term string, id int")
+    return local_table(spark, [(t, 1000 + i) for i, t in enumerate(terms)], "term string, id int")

@@ -1,11 +1,12 @@
 """Scans of the provided parquet tables and the review stand-in views built on them.
 
 The views are the Spark side of the definitions in ``FIXTURES.md``; the SQL side lives in
-``veritext.plans.oracle``. Column order of every view: review_id, category, rating, label, text_.
+``veritext.plans.sql``. Column order of every view: review_id, category, rating, label, text_.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,44 +14,23 @@ from pyspark.sql import functions as F
 
 from veritext.schemas import REVIEW_COLUMNS
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-_SPREAD_DECISIONS: dict = {}
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan whose rows sit in fewer partitions than the cluster has cores.
+def _importable(spark: SparkSession) -> None:
+    """Local workers find the package from any working folder; a cluster ships or installs it."""
+    if spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", PACKAGE_ROOT)
 
-    Text clean-up is CPU-bound and runs in the scan stage. A table stored in a few files with one
-    row group each (small data) is read, and cleaned, by a few tasks however Spark cuts the byte
-    ranges; only then the rows are hash-partitioned by the review key (a shuffle of a small table),
-    and later aggregations by that key reuse the partitioning.
 
-    The check is cheap and exact: with at least as many files as cores nothing is read; otherwise
-    one job over the key column alone counts the partitions that hold rows (a single large file with
-    many row groups fills them all and is left untouched, its text never shuffled). The decision is
-    kept per input and session. ``veritext.spread`` = ``auto`` | ``always`` | ``never`` overrides.
-    """
-    spark = df.sparkSession
-    mode = spark.conf.get("veritext.spread", "auto")
-    target = spark.sparkContext.defaultParallelism
-    if mode == "never":
-        return df
-    files = tuple(sorted(df.inputFiles()))
-    if mode == "auto":
-        cache_key = (spark.sparkContext.applicationId, files, target)
-        if cache_key not in _SPREAD_DECISIONS:
-            if len(files) >= target:
-                _SPREAD_DECISIONS[cache_key] = False
-            else:
-                filled = df.select(F.spark_partition_id().alias("_p")).distinct().count()
-                _SPREAD_DECISIONS[cache_key] = filled < target
-        if not _SPREAD_DECISIONS[cache_key]:
-            return df
-    return df.repartition(target, key)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan of a provided table, read in place. ``veritext.scan.partitions`` (unset by default) deals
+    the rows of every scan to that many partitions: a setting for tables stored in one row group,
+    which no scan setting can split."""
+    _importable(spark)
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get("veritext.scan.partitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def _label_of_quality(q) -> F.Column:
@@ -59,7 +39,7 @@ def _label_of_quality(q) -> F.Column:
 
 def documents_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as reviews without the label column (no join yet)."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("review_id"),
         F.col("source").alias("category"),
@@ -94,21 +74,25 @@ def reviews_docs(spark: SparkSession, sf_dir: str,
     return out.select(*REVIEW_COLUMNS)
 
 
+#: Ids of one conversation's turns: more than any conversation can hold.
+TURNS = 1 << 32
+
+
 def reviews_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns (human, OR) and assistant turns (machine, CG) of ``conversations``."""
-    c = spread(table(spark, sf_dir, "conversations"), "conv_id").filter(F.col("role").isin("user", "assistant"))
-    return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"),
+    """Every turn of ``conversations``: user turns are human (OR), assistant turns machine (CG), any
+    other turn has no label."""
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("review_id"),
         F.lit("chat").alias("category"),
         (F.col("turn") % 5 + 1).cast("double").alias("rating"),
-        F.when(F.col("role") == "user", F.lit("OR")).otherwise(F.lit("CG")).alias("label"),
+        F.when(F.col("role") == "user", F.lit("OR")).when(F.col("role") == "assistant", F.lit("CG")).alias("label"),
         F.col("text").alias("text_"),
     )
 
 
 def reviews_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages as unlabelled reviews (exercises tag and link removal)."""
-    p = spread(table(spark, sf_dir, "pages"), "page_id")
+    p = table(spark, sf_dir, "pages")
     return p.select(
         F.col("page_id").alias("review_id"),
         F.lit("unknown").alias("category"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from veritext.operators import features as FE
 from veritext.operators import lexicon as LX
+from veritext.operators import models as MO
 from veritext.operators import rejects as RJ
 from veritext.operators import scoring as SC
 from veritext.operators.featurize import featurize
@@ -25,24 +26,29 @@ SCORED_COLUMNS = ["review_id", "label_tree", "confidence_tree", "label_text", "c
                   "final_score", "final_label", "confidence", "is_uncertain", "sentiment_score"]
 
 
-def score_reviews(df: DataFrame, lexicon_params: dict) -> tuple[DataFrame, DataFrame]:
-    """Batch scoring of raw reviews: (scored accepted rows, rejected rows with reason)."""
+def score_reviews(df: DataFrame, lexicon_params: dict, models: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """Batch scoring of raw reviews: (scored accepted rows, rejected rows with reason). ``models``: a
+    fitted (tree, text) pair; without it the closed-form scores stand in."""
     checked = RJ.with_reject_reason(df)
     rejected = RJ.rejected(checked).select("review_id", "reject_reason")
     ok = FE.with_defaults(RJ.accepted(checked))
     p = lexicon_params
     f = featurize(ok, p["lexicon"], p["tag_lexicon"], p["negations"], p["boosters"], p["contrast"],
-                  p["suffix_rules"], merged=p.get("merged"))
-    scored = SC.hybrid(SC.score_table(f.withColumn("label", F.lit(None).cast("string")),
-                                      keep=["sentiment_score"]))
+                  p["suffix_rules"], keep_extra=["cleaned_text"] if models else [], merged=p.get("merged"))
+    if models:
+        scored = SC.hybrid(MO.score_both(f, *models))
+    else:
+        scored = SC.hybrid(SC.score_table(f.withColumn("label", F.lit(None).cast("string")),
+                                          keep=["sentiment_score"]))
     return scored.select(*SCORED_COLUMNS), rejected
 
 
-def batch_writer(sink: str, reject_sink: str, lexicon_params: dict) -> Callable[[DataFrame, int], None]:
+def batch_writer(sink: str, reject_sink: str, lexicon_params: dict,
+                 models: tuple | None = None) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         b = batch.persist()  # one micro-batch feeds two writes
         try:
-            scored, rejected = score_reviews(b, lexicon_params)
+            scored, rejected = score_reviews(b, lexicon_params, models)
             scored.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
             rejected.write.mode("overwrite").parquet(f"{reject_sink}/batch_id={batch_id}")
         finally:
@@ -51,14 +57,22 @@ def batch_writer(sink: str, reject_sink: str, lexicon_params: dict) -> Callable[
 
 
 def start_scoring(spark: SparkSession, source: str, sink: str, reject_sink: str, checkpoint: str,
-                  lexicon_params: dict, max_files_per_trigger: int = 1, available_now: bool = True):
-    """Start the scoring stream over parquet files arriving in ``source``."""
-    # the parameter lexicons are merged and size-checked once for the whole stream
+                  lexicon_params: dict, max_files_per_trigger: int | None = None,
+                  max_bytes_per_trigger: str | None = None, available_now: bool = True,
+                  model_paths: tuple[str, str] | None = None):
+    """Start the scoring stream over parquet files arriving in ``source``. A micro-batch takes all files
+    there are, unless a trigger limit is given. ``model_paths``: saved tree and text pipelines."""
+    models = tuple(MO.load_model(p) for p in model_paths) if model_paths else None
+    # the parameter lexicons are merged once for the whole stream
     lexicon_params = dict(lexicon_params, merged=LX.prepared_lexicon(lexicon_params["lexicon"],
                                                                      lexicon_params["tag_lexicon"]))
-    stream = (spark.readStream.schema(REVIEWS).option("maxFilesPerTrigger", max_files_per_trigger)
-                   .parquet(source))
-    w = (stream.writeStream.foreachBatch(batch_writer(sink, reject_sink, lexicon_params))
+    reader = spark.readStream.schema(REVIEWS)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    stream = reader.parquet(source)
+    w = (stream.writeStream.foreachBatch(batch_writer(sink, reject_sink, lexicon_params, models))
                .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
