@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates stay in their first document; n_chars follows the text."""
-    kept = lines.dedup(docs).drop("dropped_lines").withColumn("n_chars", F.char_length("text").cast("long"))
+    kept = lines.dedup(docs, count_col=None).withColumn("n_chars", F.char_length("text").cast("long"))
     return kept.select(*docs.columns)
 
 

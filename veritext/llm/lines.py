@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree.
 
 A line's words with digits are variable fields. The tree has a fixed depth: the number of words, then
-the first ``DEPTH`` words. Lines that reach the same leaf are compared with the leaf's first line (by
-code points) word by word; a line that agrees at ``SIMILAR`` percent of the places or more has that
-line's template, with the other places generalised, and any other line is a template of its own. A
+the first ``DEPTH`` words. A leaf holds ``GROUPS`` groups at most: its lines are compared word by word
+with its first line (by code points), those that agree at ``SIMILAR`` percent of the places or more share
+that line's template, with the other places generalised, and the rest goes on to the next group. A line
+that fits no group is a template of its own. A
 template that occurs in two or more documents recurs; its lines stay in the first of these documents (by
 id) and are dropped from all others.
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from veritext.llm.common import WORD_SEPARATORS, broadcast_if_small, words, written
 
 DEPTH = 3
+GROUPS = 3
 SIMILAR = 70
 FIELD = "<*>"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -66,13 +68,18 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                   .join(broadcast_if_small(shared, 8), F.col("leaf") == F.col("_leaf"), "left_semi")
                   .groupBy("leaf", "m").agg(F.lit(1).alias("_")).drop("_"))
     candidates = written(candidates, "line-candidates")
-    first = candidates.groupBy(F.col("leaf").alias("_leaf")).agg(F.min("m").alias("_first"))
-    both = F.zip_with(tokens, F.split("_first", " "), lambda a, b: (a == b).cast("int"))
-    alike = F.aggregate(both, F.lit(0), lambda n, same: n + same)
-    near = (candidates.join(first, F.col("leaf") == F.col("_leaf"))
-            .filter((F.col("m") != F.col("_first")) & (100 * alike >= SIMILAR * F.size(tokens)))
-            .select(F.xxhash64("m").alias("_own"), F.col("leaf").alias("_in"), F.xxhash64("_first").alias("_template")))
-    near = written(near, "line-templates")
+    near = None
+    for _ in range(GROUPS):
+        first = candidates.groupBy(F.col("leaf").alias("_leaf")).agg(F.min("m").alias("_first"))
+        both = F.zip_with(tokens, F.split("_first", " "), lambda a, b: (a == b).cast("int"))
+        alike = F.aggregate(both, F.lit(0), lambda n, same: n + same)
+        compared = (candidates.join(first, F.col("leaf") == F.col("_leaf")).filter(F.col("m") != F.col("_first"))
+                    .withColumn("_near", 100 * alike >= SIMILAR * F.size(tokens)))
+        compared = written(compared.select("leaf", "m", "_first", "_near"), "line-groups")
+        found = compared.filter("_near").select(F.xxhash64("m").alias("_own"), F.col("leaf").alias("_in"),
+                                                F.xxhash64("_first").alias("_template"))
+        near = found if near is None else near.unionByName(found)
+        candidates = compared.filter("NOT _near").select("leaf", "m")
 
     placed = kinds.join(near, (F.col("own") == F.col("_own")) & (F.col("leaf") == F.col("_in")), "left").select(
         "leaf", "own", "lo", "hi", F.coalesce("_template", "own").alias("template"))
@@ -84,8 +91,9 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "doc", "version", "pos", "owner")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with recurring lines dropped from the text, and ``dropped_lines`` (int) per row."""
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          count_col: str | None = "dropped_lines") -> DataFrame:
+    """``df`` with recurring lines dropped from the text, and their number (int) in ``count_col``."""
     gone = (templates(df, id_col, text_col).filter(F.col("owner") < F.col("doc"))
             .groupBy("doc", "version").agg(F.collect_set("pos").alias("_gone"))  # at most a document's lines
             .withColumnsRenamed({"doc": "_doc", "version": "_version"}))
@@ -95,8 +103,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     out = keyed.join(gone, (F.col("_key") == F.col("_doc")) & (F.col("_of") == F.col("_version")), "left")
     at = F.map_from_arrays("_gone", F.array_repeat(F.lit(True), F.size("_gone")))
     kept = F.filter(F.split(text_col, "\n"), lambda line, i: F.element_at(F.col("_at"), i).isNull())
-    rest = [c for c in df.columns if c not in (text_col, "dropped_lines")]
+    rest = [c for c in df.columns if c not in (text_col, count_col)]
     out = out.withColumn("_at", at)
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.select(*rest, text.alias(text_col),
-                      F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("dropped_lines"))
+    count = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
+    return out.select(*rest, text.alias(text_col), *([count.alias(count_col)] if count_col else []))

@@ -12,6 +12,13 @@ WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'
 def deduped(docs: str) -> str:
     """CTEs that end in ``dedup_out``: the columns of ``docs``, text without the dropped lines, and
     dropped_lines."""
+    leaf = "[len(tk)::VARCHAR, tk[1], coalesce(tk[2], ''), coalesce(tk[3], '')]"
+    near = ("100 * len(list_filter(list_zip(tk, string_split(first, ' ')), lambda z: z[1] = z[2])) "
+            f">= {lines.SIMILAR} * len(tk)")
+    groups = " ".join(
+        f"""c{i} AS (SELECT g{i}.*, first, {near} AS near FROM g{i} JOIN (SELECT leaf, min(m) AS first FROM g{i} GROUP BY 1)
+   USING (leaf)), g{i + 1} AS (SELECT m, tk, leaf FROM c{i} WHERE NOT near),""" for i in range(lines.GROUPS))
+    matched = " UNION ALL ".join(f"SELECT m, first FROM c{i} WHERE near" for i in range(lines.GROUPS))
     return rf"""
  dd AS (SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS doc, * FROM {docs}),
  ln AS (SELECT rid, doc, text, unnest(string_split(text, chr(10))) AS line,
@@ -19,11 +26,10 @@ def deduped(docs: str) -> str:
  mk AS (SELECT rid, doc, text, pos, m, string_split(m, ' ') AS tk FROM (SELECT *,
    regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '),
      '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m FROM ln) WHERE m <> ''),
- fl AS (SELECT len(tk) AS n, tk[1] AS t1, coalesce(tk[2], '') AS t2, coalesce(tk[3], '') AS t3,
-   min(m) AS first FROM mk GROUP BY 1, 2, 3, 4),
- tp AS (SELECT mk.rid, mk.doc, mk.pos, CASE WHEN 100 * len(list_filter(list_zip(tk, string_split(first, ' ')),
-     lambda z: z[1] = z[2])) >= {lines.SIMILAR} * len(tk) THEN first ELSE m END AS template
-  FROM mk JOIN fl ON fl.n = len(tk) AND fl.t1 = tk[1] AND fl.t2 = coalesce(tk[2], '') AND fl.t3 = coalesce(tk[3], '')),
+ g0 AS (SELECT DISTINCT m, tk, {leaf} AS leaf FROM mk),
+ {groups}
+ same AS (SELECT m, first FROM ({matched})),
+ tp AS (SELECT mk.rid, mk.doc, mk.pos, coalesce(same.first, mk.m) AS template FROM mk LEFT JOIN same ON mk.m = same.m),
  ow AS (SELECT template, min(doc) AS owner, max(doc) AS last FROM tp GROUP BY 1 HAVING min(doc) < max(doc)),
  gone AS (SELECT rid, list(pos) AS ps FROM tp JOIN ow USING (template) WHERE owner < doc GROUP BY 1),
  dedup_out AS (SELECT dd.* EXCLUDE (rid, doc) REPLACE (CASE WHEN ps IS NULL THEN text ELSE array_to_string(
@@ -118,7 +124,7 @@ OP5 = rf"""WITH
    CASE WHEN two IN ({_LONG}) THEN regexp_extract(host, '(?:[^.]*\.)?[^.]*\.[^.]*$') ELSE two END AS domain FROM
    (SELECT host, regexp_extract(host, '(?:[^.]*\.)?[^.]*$') AS two, count(bad)::DOUBLE AS n,
      (count(*) FILTER (bad))::DOUBLE AS bad FROM outcomes GROUP BY host)),
- total AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS m FROM hosts),
+ total AS (SELECT (coalesce(sum(bad), 0) + 0.1::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM hosts),
  suf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(total.m) AS pm FROM hosts, total GROUP BY 1),
  {_level('s1', 'suf')},
  dom AS (SELECT domain, sum(hosts.n) AS n, sum(hosts.bad) AS bad,

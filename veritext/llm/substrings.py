@@ -6,9 +6,9 @@ a document with a smaller id are removed; windows are judged on the input.
 * Every window has an anchor, the ``GRAM`` consecutive words in it of least hash: equal windows have
   equal anchors wherever they stand. Anchors are pre-aggregated to the first and last document that
   holds them; only windows whose anchor occurs in two or more documents can repeat.
-* Windows of one anchor occurrence form a passage, and equal passages are pre-aggregated to the first
-  document that holds them. The passages that share an anchor are a reference shard: in order of their
-  documents, each is streamed through the suffix automaton of the earlier ones, whose states know the
+* Windows of one anchor occurrence form a passage, and equal passages are pre-aggregated (by hash) to the
+  first document that holds them. The different passages that share an anchor are a reference shard: in
+  order of their documents, each is streamed through the suffix automaton of the earlier ones, whose states know the
   first document of their words. The matching statistics (longest match at each word, and its state)
   give every window of the passage its first document; then the passage joins the automaton.
 * The windows' first documents go back to all passages of the same words, and from there to the texts.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritext.llm.common import BROADCAST_BYTES, written
-from veritext.llm.wordarrays import Words, mix, split_words, text_batches, texts_of
+from veritext.llm.wordarrays import Words, mix, sequence_hash, split_words, text_batches, texts_of
 
 WINDOW = 13
 GRAM = 5
@@ -167,41 +167,85 @@ def _document_anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc", "version", "text").mapInArrow(run, "doc long, version long, anchor long")
 
 
-def _passages(docs: DataFrame, repeated, window: int) -> DataFrame:
-    """(doc, version, at, anchor, passage): runs of windows of one repeated anchor occurrence; ``at``:
-    first window. ``repeated``: broadcast sorted anchors, or None where docs carry their own."""
-    names = ["doc", "version", "text"] + ([] if repeated else ["anchors"])
+def _collected(anchors_: DataFrame) -> np.ndarray:
+    """The anchors, sorted, on the driver (the caller has checked their size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column(0).to_numpy().tobytes() for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["v"])
+
+    rows = anchors_.select("anchor").mapInArrow(run, "v binary").collect()
+    return np.sort(np.frombuffer(b"".join(r["v"] for r in rows), np.uint64))
+
+
+def _marked(docs: DataFrame, wanted: DataFrame, window: int, anchor_bytes: int):
+    """(documents, broadcast): the wanted anchors as a broadcast sorted array, or, beyond the bound, as a
+    column of each document's own wanted anchors."""
+    if wanted.count() * 8 <= anchor_bytes:
+        known = docs.sparkSession.sparkContext.broadcast(_collected(wanted))
+        return docs.withColumn("anchors", F.lit(None).cast("array<long>")), known
+    held = _document_anchors(docs, window).join(wanted, "anchor")
+    held = held.groupBy("doc", "version").agg(F.collect_set("anchor").alias("anchors"))  # of one document
+    return docs.join(held, ["doc", "version"]), None
+
+
+def _runs(batch: pa.RecordBatch, a: int, b: int, window: int, shared):
+    """(words, first window, last window, anchor, same) of the passages of some documents: runs of windows
+    of one wanted anchor occurrence; ``same`` is the hash of a passage's words."""
+    w = split_words(texts_of(batch.column("text"), a, b))
+    s, at, anchor = anchors(w, window)
+    if shared is not None:
+        known = shared.value
+    else:
+        own = batch.column("anchors").slice(a, b - a).to_pylist()
+        known = np.unique(np.array([y for x in own for y in x or ()], np.int64).view(np.uint64))
+    if len(known):
+        place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+        some = known[place] == anchor
+        s, at, anchor = s[some], at[some], anchor[some]
+    if not len(known) or not len(s):
+        none = np.zeros(0, np.int64)
+        return w, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)]))
+    first, last = s[new], s[np.append(new[1:], len(s)) - 1]
+    return w, first, last, anchor[new], sequence_hash(w.hash, first, last + window)
+
+
+def _passages(docs: DataFrame, shared, window: int) -> DataFrame:
+    """(doc, version, at, n, anchor, same): the passages; ``at``: first window, ``n``: windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, version = batch.column("doc").to_numpy(), batch.column("version").to_numpy()
             for a, b in text_batches(batch.column("text")):
-                w = split_words(texts_of(batch.column("text"), a, b))
-                s, at, anchor = anchors(w, window)
-                if repeated:
-                    known = repeated.value
-                else:
-                    own = [x or [] for x in batch.column("anchors").slice(a, b - a).to_pylist()]
-                    known = np.unique(np.array([y for x in own for y in x], np.int64).view(np.uint64))
-                if not len(known):
-                    continue
-                place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-                some = known[place] == anchor
-                s, at, anchor = s[some], at[some], anchor[some]
-                if not len(s):
-                    continue
-                new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)]))
-                first, last = s[new], s[np.append(new[1:], len(s)) - 1]
+                w, first, last, anchor, same = _runs(batch, a, b, window, shared)
                 of = np.searchsorted(w.first, first, side="right") - 1
-                text = [b" ".join(w.data[i:j].split())
-                        for i, j in zip(w.start[first].tolist(), w.end[last + window - 1].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc[a:b][of]), pa.array(version[a:b][of]),
-                     pa.array((first - w.first[of]).astype(np.int32)), pa.array(anchor[new].view(np.int64)),
-                     pa.array(text, pa.binary()).cast(pa.string())],
-                    names=["doc", "version", "at", "anchor", "passage"])
+                     pa.array((first - w.first[of]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)),
+                     pa.array(anchor.view(np.int64)), pa.array(same.view(np.int64))],
+                    names=["doc", "version", "at", "n", "anchor", "same"])
 
-    return docs.select(*names).mapInArrow(run, "doc long, version long, at int, anchor long, passage string")
+    return docs.mapInArrow(run, "doc long, version long, at int, n int, anchor long, same long")
+
+
+def _wordings(docs: DataFrame, shared, window: int) -> DataFrame:
+    """(anchor, same, passage): the words of the passages of wanted anchors, once per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_batches(batch.column("text")):
+                w, first, last, anchor, same = _runs(batch, a, b, window, shared)
+                order = np.lexsort((same, anchor))
+                change = (np.diff(anchor[order]) != 0) | (np.diff(same[order]) != 0)
+                once = order[np.concatenate([[True], change])] if len(order) else order
+                text = [b" ".join(w.data[i:j].split())
+                        for i, j in zip(w.start[first[once]].tolist(), w.end[last[once] + window - 1].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[once].view(np.int64)), pa.array(same[once].view(np.int64)),
+                     pa.array(text, pa.binary()).cast(pa.string())], names=["anchor", "same", "passage"])
+
+    return docs.mapInArrow(run, "anchor long, same long, passage string")
 
 
 def _first_documents(shards: DataFrame, window: int) -> DataFrame:
@@ -209,9 +253,6 @@ def _first_documents(shards: DataFrame, window: int) -> DataFrame:
     passage, same, lo), dealt and sorted by anchor, then lo."""
 
     def shard(anchor: int, rows: list) -> tuple:
-        if len(rows) == 1:  # one wording: its windows start in its own first document
-            passage, same, lo = rows[0]
-            return [anchor], [same], [[lo] * (passage.count(" ") + 2 - window)]
         automaton, firsts = Automaton(), []
         for passage, _, lo in rows:
             w = passage.split(" ")
@@ -246,22 +287,23 @@ def _firsts(out) -> pa.RecordBatch:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """(doc, version, starts): the windows of each document that also start in an earlier one."""
-    spark = docs.sparkSession
     repeated = _anchor_rows(docs, window).groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     repeated = written(repeated.filter("lo < hi").select("anchor"), "substring-anchors")
-    if repeated.count() * 8 <= anchor_bytes:
-        known = np.sort(repeated.toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
-        found = _passages(docs, spark.sparkContext.broadcast(known), window)
-    else:
-        held = _document_anchors(docs, window).join(repeated, "anchor")
-        held = held.groupBy("doc", "version").agg(F.collect_set("anchor").alias("anchors"))  # of one document
-        found = _passages(docs.join(held, ["doc", "version"]), None, window)
-    found = written(found.withColumn("same", F.xxhash64("passage")), "substring-passages")
-
-    wordings = found.groupBy("anchor", "same", "passage").agg(F.min("doc").alias("lo"))
-    shards = wordings.repartition("anchor").sortWithinPartitions("anchor", "lo", "same")
-    firsts = written(_first_documents(shards, window), "substring-firsts").withColumnsRenamed(
-        {"anchor": "_anchor", "same": "_same"})
+    found = written(_passages(*_marked(docs, repeated, window, anchor_bytes), window), "substring-passages")
+    kinds = written(found.groupBy("anchor", "same").agg(F.min("doc").alias("lo"), F.min("n").alias("n")),
+                    "substring-kinds")
+
+    # anchors with one wording need no automaton: its windows start in its own first document
+    several = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor"),
+                      "substring-shards")
+    texts = _wordings(*_marked(docs, several, window, anchor_bytes), window).distinct()
+    shards = texts.join(kinds.select("anchor", "same", "lo"), ["anchor", "same"])
+    shards = shards.repartition("anchor").sortWithinPartitions("anchor", "lo", "same")
+    matched = written(_first_documents(shards, window), "substring-firsts")
+    alone = kinds.join(several, "anchor", "left_anti").select(
+        "anchor", "same", F.array_repeat("lo", F.col("n")).alias("firsts"))
+    firsts = matched.unionByName(alone).withColumnsRenamed({"anchor": "_anchor", "same": "_same"})
+
     hits = found.select("doc", "version", "at", "anchor", "same").join(
         firsts, (F.col("anchor") == F.col("_anchor")) & (F.col("same") == F.col("_same")))
     starts = F.filter(F.transform("firsts", lambda lo, i: F.when(lo < F.col("doc"), F.col("at") + i)),

@@ -12,7 +12,8 @@ error and never exclude an equal score, so results are exact and ties go to the
 Defined results: a vector that is null, or holds a null or non-finite component, and a row with a null
 id take no part; vectors only meet vectors of their own length (an empty one scores 0); rows that share
 an id are separate candidates, none of them for a query of that id, and each such query row answers for
-itself; components are held in 62 bits; an empty table gives an empty result.
+itself; components of 2**27 and more (x beyond half a million) are held at that bound, so that a score of
+up to 512 components fits a long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ V_BLOCK = 1024
 Q_BLOCK = 256
 #: Share of a block's squared length that the leading rotated coordinates hold.
 LEADING = 0.7
-_LIMIT = float(1 << 62)
+_LIMIT = float(1 << 27)
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:

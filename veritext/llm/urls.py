@@ -90,7 +90,7 @@ def reputation(outcomes: DataFrame, long_suffixes: Sequence[str] = LONG_SUFFIXES
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    overall = ((total["bad"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
+    overall = ((total["bad"] or 0) + 0.1) / ((total["n"] or 0) + 1.0)
 
     def means(children: DataFrame) -> tuple[DataFrame, Column]:
         s = _strength(children)

@@ -30,13 +30,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
     return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]), dtype=np.uint64)
                  for b in (_ODD, inverse))
 
 
+def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run values[start:end]; equal runs have equal hashes wherever they stand."""
+    up, down = _powers(1 << max(16, len(values).bit_length()))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:len(values)], dtype=np.uint64)])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def split_words(texts: list[bytes], lower: bool = False) -> Words:
     """Words between ASCII white space; equal words have equal hashes in every batch."""
     data = b"\n" + b"\n".join(texts) + b"\n"
