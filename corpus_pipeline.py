@@ -40,10 +40,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): ids of each text, and whether they decode to it."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast(
-        "binary"), 256).alias("digest"), "text"), VOCABULARY)
-    back = bpe.decode(coded.drop("offsets"), VOCABULARY)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
+    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", digest, "text"), VOCABULARY)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
 

@@ -294,17 +294,7 @@ def _runs(sizes: Iterator[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, i + 1
 
 
-def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids",
-           offsets_col: str = "offsets") -> DataFrame:
-    """Adds ``ids`` array<int> and ``offsets`` array<int> (first byte of each token in the UTF-8 text).
-
-    ``vocabulary`` is a rank file at the same path on every executor. The text column is dropped.
-    """
-    kept = [f for f in df.schema.fields if f.name not in (text_col, ids_col, offsets_col)]
-    schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType())),
-                           T.StructField(offsets_col, T.ArrayType(T.IntegerType()))])
-    names = [f.name for f in kept]
-
+def _encoder(names: list[str], vocabulary: str, text_col: str, ids_col: str, offsets_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = merger(vocabulary)
         lengths = np.zeros(max(bpe.ranks.values()) + 1, np.int32)
@@ -323,15 +313,10 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
                      pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(ends, offs)],
                     names=[*names, ids_col, offsets_col])
 
-    return df.select(*names, text_col).mapInArrow(run, schema)
-
+    return run
 
-def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """Adds ``decoded`` binary: the bytes that the ids stand for. Null ids decode to nothing."""
-    kept = [f for f in df.schema.fields if f.name != decoded_col]
-    schema = T.StructType([*kept, T.StructField(decoded_col, T.BinaryType())])
-    names = [f.name for f in kept]
 
+def _decoder(names: list[str], vocabulary: str, ids_col: str, decoded_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = token_bytes(vocabulary).__getitem__
         for batch in batches:
@@ -342,7 +327,45 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", decoded_col: st
                     [*(batch.column(n).slice(a, b - a) for n in names), pa.array(decoded, pa.binary())],
                     names=[*names, decoded_col])
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def _encoded(df: DataFrame, text_col: str, ids_col: str, offsets_col: str) -> list[T.StructField]:
+    kept = [f for f in df.schema.fields if f.name not in (text_col, ids_col, offsets_col)]
+    return [*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType())),
+            T.StructField(offsets_col, T.ArrayType(T.IntegerType()))]
+
+
+def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids",
+           offsets_col: str = "offsets") -> DataFrame:
+    """Adds ``ids`` array<int> and ``offsets`` array<int> (first byte of each token in the UTF-8 text).
+
+    ``vocabulary`` is a rank file at the same path on every executor. The text column is dropped.
+    """
+    fields = _encoded(df, text_col, ids_col, offsets_col)
+    names = [f.name for f in fields[:-2]]
+    return df.select(*names, text_col).mapInArrow(
+        _encoder(names, vocabulary, text_col, ids_col, offsets_col), T.StructType(fields))
+
+
+def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """Adds ``decoded`` binary: the bytes that the ids stand for. Null ids decode to nothing."""
+    kept = [f for f in df.schema.fields if f.name != decoded_col]
+    names = [f.name for f in kept]
+    return df.select(*names).mapInArrow(_decoder(names, vocabulary, ids_col, decoded_col),
+                                        T.StructType([*kept, T.StructField(decoded_col, T.BinaryType())]))
+
+
+def encode_decode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids",
+                  offsets_col: str = "offsets", decoded_col: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one Python pass: the ids of a batch are decoded in the worker that made
+    them, which halves the workers that an executor holds."""
+    fields = [f for f in _encoded(df, text_col, ids_col, offsets_col) if f.name != decoded_col]
+    names = [f.name for f in fields[:-2]]
+    encoder = _encoder(names, vocabulary, text_col, ids_col, offsets_col)
+    decoder = _decoder([f.name for f in fields], vocabulary, ids_col, decoded_col)
+    return df.select(*names, text_col).mapInArrow(
+        lambda batches: decoder(encoder(batches)), T.StructType([*fields, T.StructField(decoded_col, T.BinaryType())]))
 
 
 def _rows(lists: pa.ListArray) -> Iterator[np.ndarray]:

@@ -64,7 +64,7 @@ def op6_mixing(spark, sf_dir):
 def op7_byte_bpe(spark, sf_dir):
     """Encode and decode every text; digests of ids and bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    coded = bpe.encode_decode(docs, VOCABULARY)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
