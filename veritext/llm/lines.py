@@ -32,15 +32,23 @@ _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 _LAST = (1 << 63) - 1
 
 
-def masked(line: Column) -> Column:
-    """The line with variable fields generalised and words joined by one space."""
-    spaced = F.regexp_replace(line, WORD_SEPARATORS, " ")
-    bare = F.btrim(spaced, F.lit(" "))
-    return F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, _VARIABLE, FIELD)).otherwise(bare)
+def masked(df: DataFrame, line_col: str) -> DataFrame:
+    """Adds ``m``: the line with variable fields generalised and words joined by one space. The regexes run
+    only on lines that byte searches let through."""
+    line = F.col(line_col)
+    uneven = line.contains("  ")
+    for blank in "\t\x0b\x0c\r":
+        uneven = uneven | line.contains(blank)
+    df = df.withColumn("_even", F.when(uneven, F.regexp_replace(line, WORD_SEPARATORS, " ")).otherwise(line))
+    df = df.withColumn("_even", F.btrim("_even", F.lit(" ")))
+    even = F.col("_even")
+    return df.withColumn("m", F.when(even.rlike("[0-9]"), F.regexp_replace(even, _VARIABLE, FIELD))
+                         .otherwise(even)).drop("_even")
 
 
-def _leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), *(F.coalesce(F.get(tokens, F.lit(i)), F.lit("")) for i in range(DEPTH)))
+def _leaf(m: Column) -> Column:
+    """Number of words and first words of a masked line."""
+    return F.xxhash64(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))), F.substring_index(m, " ", DEPTH))
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,7 +56,7 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return (df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"),
                       F.xxhash64(text_col).alias("version"),
                       F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-            .withColumn("m", masked(F.col("line"))).filter("m <> ''").drop("line"))
+            .transform(masked, "line").drop("line").filter("m <> ''"))
 
 
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,7 +64,7 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the template recurs (else null)."""
     lines = _lines(df, id_col, text_col)
     tokens = F.split(F.col("m"), " ")
-    narrow = written(lines.select("doc", "version", "pos", _leaf(tokens).alias("leaf"),
+    narrow = written(lines.select("doc", "version", "pos", _leaf(F.col("m")).alias("leaf"),
                                   F.xxhash64("m").alias("own")), "lines")
     kinds = written(narrow.groupBy("leaf", "own").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")),
                     "line-kinds")
@@ -64,7 +72,7 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # leaves of two or more different lines: compare with the leaf's first line
     shared = written(kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                      .select(F.col("leaf").alias("_leaf")), "line-leaves")
-    candidates = (lines.withColumn("leaf", _leaf(tokens))
+    candidates = (lines.withColumn("leaf", _leaf(F.col("m")))
                   .join(broadcast_if_small(shared, 8), F.col("leaf") == F.col("_leaf"), "left_semi")
                   .groupBy("leaf", "m").agg(F.lit(1).alias("_")).drop("_"))
     candidates = written(candidates, "line-candidates")
