@@ -1,12 +1,16 @@
 """Line dedup by a log-template tree.
 
 A line's words with digits are variable fields. The tree has a fixed depth: the number of words, then
-the first ``DEPTH`` words. A leaf holds ``GROUPS`` groups at most: its lines are compared word by word
-with its first line (by code points), those that agree at ``SIMILAR`` percent of the places or more share
-that line's template, with the other places generalised, and the rest goes on to the next group. A line
-that fits no group is a template of its own. A
-template that occurs in two or more documents recurs; its lines stay in the first of these documents (by
-id) and are dropped from all others.
+the first ``DEPTH`` words. A leaf's lines are compared word by word with its first line (by code points),
+those that agree at ``SIMILAR`` percent of the places or more share that line's template, with the other
+places generalised, and the rest goes on to the next group, until no line is left. A template that occurs
+in two or more documents recurs; its lines stay in the first of these documents (by id) and are dropped
+from all others.
+
+The first ``GROUPS`` groups of a leaf are led by the first line of the whole leaf, one after the other.
+What is left is blocked by shared words (see ``_blocks``): a line that is the first of all its blocks has
+no earlier line that it could join, so all such lines lead groups in the same round, and each other line is
+compared with one line per block. The groups are those of going on one by one.
 
 The tree is built from mergeable aggregates: templates and leaves are pre-aggregated by hash before any
 shuffle, so a line that is in every document costs one row per task, and texts are not moved for lines
@@ -22,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritext.llm.common import WORD_SEPARATORS, broadcast_if_small, words, written
+from veritext.llm.common import WORD_SEPARATORS, broadcast_if_small, let, words, written
 
 DEPTH = 3
+#: Rounds led by the first line of the whole leaf, before the rest is blocked; no bound on the groups.
 GROUPS = 3
 SIMILAR = 70
 FIELD = "<*>"
@@ -59,11 +64,68 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .transform(masked, "line").drop("line").filter("m <> ''"))
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two lines of one leaf agree at ``SIMILAR`` percent of their places."""
+    x = F.split(a, " ")
+    both = F.zip_with(x, F.split(b, " "), lambda v, w: (v == w).cast("int"))
+    return 100 * F.aggregate(both, F.lit(0), lambda n, same: n + same) >= SIMILAR * F.size(x)
+
+
+def _blocks(leaf: Column, m: Column) -> Column:
+    """Hashes of which any two alike lines of a leaf share one. Behind the words that the whole leaf shares,
+    alike lines differ at ``most`` places at most: of ``most + 1`` sets of places, one is without a difference."""
+    def keys(tokens: Column) -> Column:
+        most = F.floor(F.size(tokens) * (100 - SIMILAR) / 100).cast("int")
+        sets = F.greatest(F.least(most + 1, F.size(tokens) - DEPTH), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), sets - 1), lambda k: F.xxhash64(
+            leaf, k, F.array_join(F.filter(tokens, lambda _, i: (i >= DEPTH) & ((i - DEPTH) % sets == k)), " ")))
+
+    tokens = F.split(m, " ")
+    short = F.size(tokens) - DEPTH <= F.floor(F.size(tokens) * (100 - SIMILAR) / 100)  # all lines are alike
+    return F.when(short, F.array(leaf)).otherwise(let(tokens, keys))
+
+
+def _groups(candidates: DataFrame) -> DataFrame:
+    """(leaf, m, first): the group of each line of (leaf, m) that does not lead one itself.
+
+    A line that has found a group stays, without leading one, while an earlier group may still come.
+    """
+    state, found = candidates.withColumn("first", F.lit(None).cast("string")), None
+    while not state.filter("first IS NULL").isEmpty():
+        keyed = state.withColumn("_key", F.explode(_blocks(F.col("leaf"), F.col("m"))))
+        heads = (keyed.filter("first IS NULL").groupBy("_key").agg(F.min("m").alias("_head"))
+                 .withColumnRenamed("_key", "_k"))
+        met = written(keyed.join(heads, F.col("_key") == F.col("_k"))
+                      .groupBy("leaf", "m", "first", "_head").agg(F.count(F.lit(1)).alias("_")).drop("_"), "line-heads")
+        least = met.groupBy("leaf", "m", "first").agg(F.min("_head").alias("_least"), F.max("_head").alias("_most"))
+        least = written(least, "line-least")
+        leads = least.filter("first IS NULL AND _least = m AND _most = m").select(
+            F.col("leaf").alias("_leaf"), F.col("m").alias("_lead"))
+        leads = written(leads, "line-leads")
+        joined = (met.filter(F.col("_head") < F.coalesce("first", "m"))
+                  .join(leads, (F.col("leaf") == F.col("_leaf")) & (F.col("_head") == F.col("_lead")))
+                  .filter(_alike(F.col("m"), F.col("_head")))
+                  .groupBy(F.col("leaf").alias("_l"), F.col("m").alias("_m")).agg(F.min("_head").alias("_first")))
+        now = (least.join(leads, (F.col("leaf") == F.col("_leaf")) & (F.col("m") == F.col("_lead")), "left_anti")
+               .join(joined, (F.col("leaf") == F.col("_l")) & (F.col("m") == F.col("_m")), "left")
+               .select("leaf", "m", F.coalesce("_first", "first").alias("first"), "_least"))
+        now = written(now, "line-state")
+        waits = F.col("first").isNull() | (F.col("_least") < F.col("first"))
+        settled = now.filter(~waits).select("leaf", "m", "first")
+        found = settled if found is None else found.unionByName(settled)
+        # lines whose blocks have no line left that could lead are in no ``heads``: they go with their group
+        gone = state.filter("first IS NOT NULL").join(least.select(F.col("leaf").alias("_l"), F.col("m").alias("_m")), (
+            F.col("leaf") == F.col("_l")) & (F.col("m") == F.col("_m")), "left_anti").select("leaf", "m", "first")
+        found = found.unionByName(gone)
+        state = now.filter(waits).select("leaf", "m", "first")
+    rest = state.filter("first IS NOT NULL")
+    return rest if found is None else found.unionByName(rest)
+
+
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, version, pos, owner): each line with a word, and the first document of its template where
     the template recurs (else null)."""
     lines = _lines(df, id_col, text_col)
-    tokens = F.split(F.col("m"), " ")
     narrow = written(lines.select("doc", "version", "pos", _leaf(F.col("m")).alias("leaf"),
                                   F.xxhash64("m").alias("own")), "lines")
     kinds = written(narrow.groupBy("leaf", "own").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")),
@@ -79,15 +141,15 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = None
     for _ in range(GROUPS):
         first = candidates.groupBy(F.col("leaf").alias("_leaf")).agg(F.min("m").alias("_first"))
-        both = F.zip_with(tokens, F.split("_first", " "), lambda a, b: (a == b).cast("int"))
-        alike = F.aggregate(both, F.lit(0), lambda n, same: n + same)
         compared = (candidates.join(first, F.col("leaf") == F.col("_leaf")).filter(F.col("m") != F.col("_first"))
-                    .withColumn("_near", 100 * alike >= SIMILAR * F.size(tokens)))
+                    .withColumn("_near", _alike(F.col("m"), F.col("_first"))))
         compared = written(compared.select("leaf", "m", "_first", "_near"), "line-groups")
         found = compared.filter("_near").select(F.xxhash64("m").alias("_own"), F.col("leaf").alias("_in"),
                                                 F.xxhash64("_first").alias("_template"))
         near = found if near is None else near.unionByName(found)
         candidates = compared.filter("NOT _near").select("leaf", "m")
+    near = near.unionByName(_groups(candidates).select(
+        F.xxhash64("m").alias("_own"), F.col("leaf").alias("_in"), F.xxhash64("first").alias("_template")))
 
     placed = kinds.join(near, (F.col("own") == F.col("_own")) & (F.col("leaf") == F.col("_in")), "left").select(
         "leaf", "own", "lo", "hi", F.coalesce("_template", "own").alias("template"))
