@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from veritext.llm import lines
+import pytest
+
+from tests.llm.data import without_repeats
+from veritext.llm import lines, substrings
 
 
 def plain_groups(rows: list[str]) -> dict[str, str]:
@@ -43,3 +46,24 @@ def test_lines_find_their_group_beyond_the_third(spark):
     got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup(
         spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {doc: int(owner[g] < doc) for doc, g in want.items()}
+
+
+@pytest.mark.parametrize("anchor_bytes", [substrings.ANCHOR_BYTES, 0])
+def test_automata_are_bounded(spark, monkeypatch, anchor_bytes):
+    """A phrase in ever different surroundings: no automaton gets more than ``shard`` passages, no window is lost."""
+    rng = random.Random(4)
+    phrase = [f"p{i}" for i in range(9)]
+    around = [[rng.choice("abc") for _ in range(rng.randint(3, 8))] for _ in range(12)]
+    texts = {i: " ".join([*rng.choice(around), *phrase, *rng.choice(around), f"own{i}"]) for i in range(80)}
+    largest, inner = [], substrings._first_documents
+
+    def watched(shards, window):
+        largest.append(max((r["count"] for r in shards.groupBy("anchor").count().collect()), default=0))
+        return inner(shards, window)
+
+    monkeypatch.setattr(substrings, "_first_documents", watched)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup(
+        df, anchor_bytes=anchor_bytes, shard=4).collect()}
+    want = without_repeats(texts)
+    assert got == want and any(n for _, n, _ in want.values()) and max(largest) <= 4

@@ -11,6 +11,9 @@ a document with a smaller id are removed; windows are judged on the input.
   order of their documents, each is streamed through the suffix automaton of the earlier ones, whose states know the
   first document of their words. The matching statistics (longest match at each word, and its state)
   give every window of the passage its first document; then the passage joins the automaton.
+* A shard holds ``SHARD`` passages at most, of 21 words each (a passage has at most 9 windows). An anchor
+  with more wordings has no automaton: the windows of its passages are dealt by anchor and hash of their 13
+  words and pre-aggregated to their first document, so that no task holds a frequent anchor.
 * The windows' first documents go back to all passages of the same words, and from there to the texts.
 
 An automaton of the whole corpus could be broadcast only piece by piece, every document meeting every
@@ -39,6 +42,8 @@ from veritext.llm.wordarrays import Words, mix, sequence_hash, split_words, text
 WINDOW = 13
 GRAM = 5
 ANCHOR_BYTES = 48 << 20
+#: Passages that one automaton is built of; anchors with more are dealt by window.
+SHARD = 1 << 10
 _LAST = (1 << 63) - 1
 
 
@@ -229,6 +234,13 @@ def _passages(docs: DataFrame, shared, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, version long, at int, n int, anchor long, same long")
 
 
+def _once(anchor: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Index of one passage of each wording."""
+    order = np.lexsort((same, anchor))
+    change = (np.diff(anchor[order]) != 0) | (np.diff(same[order]) != 0)
+    return order[np.concatenate([[True], change])] if len(order) else order
+
+
 def _wordings(docs: DataFrame, shared, window: int) -> DataFrame:
     """(anchor, same, passage): the words of the passages of wanted anchors, once per batch."""
 
@@ -236,9 +248,7 @@ def _wordings(docs: DataFrame, shared, window: int) -> DataFrame:
         for batch in batches:
             for a, b in text_batches(batch.column("text")):
                 w, first, last, anchor, same = _runs(batch, a, b, window, shared)
-                order = np.lexsort((same, anchor))
-                change = (np.diff(anchor[order]) != 0) | (np.diff(same[order]) != 0)
-                once = order[np.concatenate([[True], change])] if len(order) else order
+                once = _once(anchor, same)
                 text = [b" ".join(w.data[i:j].split())
                         for i, j in zip(w.start[first[once]].tolist(), w.end[last[once] + window - 1].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -248,6 +258,38 @@ def _wordings(docs: DataFrame, shared, window: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, same long, passage string")
 
 
+def _windows(docs: DataFrame, shared, window: int) -> DataFrame:
+    """(anchor, same, windows): hashes of the windows of the passages of wanted anchors, once per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_batches(batch.column("text")):
+                w, first, last, anchor, same = _runs(batch, a, b, window, shared)
+                once = _once(anchor, same)
+                n = (last - first + 1)[once]
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+                s = np.repeat(first[once] - ends[:-1], n) + np.arange(ends[-1])
+                h = sequence_hash(w.hash, s, s + window) if len(s) else s.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[once].view(np.int64)), pa.array(same[once].view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))],
+                    names=["anchor", "same", "windows"])
+
+    return docs.mapInArrow(run, "anchor long, same long, windows array<long>")
+
+
+def _first_by_window(passages: DataFrame) -> DataFrame:
+    """As ``_first_documents``, from (anchor, same, lo, windows) in any order."""
+    each = passages.select("anchor", "same", "lo", F.posexplode("windows").alias("i", "h"))
+    least = each.groupBy("anchor", "h").agg(F.min("lo").alias("first"), F.count(F.lit(1)).alias("k"))
+    least = written(least.filter("k > 1").select(F.col("anchor").alias("_a"), F.col("h").alias("_h"), "first"),
+                    "substring-least")  # written, so that adaptive execution splits the join
+    met = each.join(least, (F.col("anchor") == F.col("_a")) & (F.col("h") == F.col("_h")), "left")
+    found = F.struct("i", F.coalesce("first", "lo").alias("first"))
+    return met.groupBy("anchor", "same").agg(F.array_sort(F.collect_list(found)).alias("found")).select(
+        "anchor", "same", F.col("found.first").alias("firsts"))
+
+
 def _first_documents(shards: DataFrame, window: int) -> DataFrame:
     """(anchor, same, firsts): the first document of each window of each passage. ``shards``: (anchor,
     passage, same, lo), dealt and sorted by anchor, then lo."""
@@ -285,7 +327,8 @@ def _firsts(out) -> pa.RecordBatch:
         names=["anchor", "same", "firsts"])
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor_bytes: int = ANCHOR_BYTES,
+                     shard: int = SHARD) -> DataFrame:
     """(doc, version, starts): the windows of each document that also start in an earlier one."""
     repeated = _anchor_rows(docs, window).groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     repeated = written(repeated.filter("lo < hi").select("anchor"), "substring-anchors")
@@ -294,13 +337,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor_bytes: int =
                     "substring-kinds")
 
     # anchors with one wording need no automaton: its windows start in its own first document
-    several = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor"),
-                      "substring-shards")
-    texts = _wordings(*_marked(docs, several, window, anchor_bytes), window).distinct()
+    several = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "substring-shards")
+    few, many = (several.filter(F.col("k") <= shard).select("anchor"), several.filter(F.col("k") > shard).select("anchor"))
+    texts = _wordings(*_marked(docs, few, window, anchor_bytes), window).distinct()
     shards = texts.join(kinds.select("anchor", "same", "lo"), ["anchor", "same"])
     shards = shards.repartition("anchor").sortWithinPartitions("anchor", "lo", "same")
     matched = written(_first_documents(shards, window), "substring-firsts")
-    alone = kinds.join(several, "anchor", "left_anti").select(
+    if not many.isEmpty():
+        passages = _windows(*_marked(docs, many, window, anchor_bytes), window).dropDuplicates(["anchor", "same"])
+        passages = written(passages.join(kinds.select("anchor", "same", "lo"), ["anchor", "same"]), "substring-windows")
+        matched = matched.unionByName(written(_first_by_window(passages), "substring-firsts"))
+    alone = kinds.join(several.select("anchor"), "anchor", "left_anti").select(
         "anchor", "same", F.array_repeat("lo", F.col("n")).alias("firsts"))
     firsts = matched.unionByName(alone).withColumnsRenamed({"anchor": "_anchor", "same": "_same"})
 
@@ -313,11 +360,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor_bytes: int =
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-          anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+          anchor_bytes: int = ANCHOR_BYTES, shard: int = SHARD) -> DataFrame:
     """(id, n_words, n_removed, kept, spans): kept words joined by one space, and the removed word ranges
     [from, to) of the input."""
     docs = _documents(df, id_col, text_col)
-    hits = written(repeated_windows(docs, window, anchor_bytes), "substring-hits").withColumnsRenamed(
+    hits = written(repeated_windows(docs, window, anchor_bytes, shard), "substring-hits").withColumnsRenamed(
         {"doc": "_doc", "version": "_version"})
     size = hits.agg(F.sum(24 + 4 * F.size("starts"))).first()[0] or 0
     hits = F.broadcast(hits) if size <= BROADCAST_BYTES else hits
