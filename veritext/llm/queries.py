@@ -5,13 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veritext.llm import bpe, hpylm, langid, lines, mixing, quality, simhash, substrings, topk, urls
+from veritext.llm import (bpe, classifier, hpylm, langid, lexical, lines, mixing, quality, simhash, substrings, topk,
+                          urls, whitening)
 from veritext.llm.common import table
 from veritext.llm.sql import ORACLES  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/"))
+QUALITY_CUT = 0.3
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -89,6 +91,28 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    """32 whitened components of every vector."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_quality_classifier(spark, sf_dir):
+    """Quality of every text, learned from the labels of four of five documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = classifier.classify(docs, labels, _remainder(5) != 0)
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    """The 20 best documents of every benchmark item."""
+    found = lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_language_id, op4_substring_dedup,
                                     op5_url_filters, op6_mixing, op7_byte_bpe, op8_simhash, op9_lm_scoring,
-                                    op10_top_k)}
+                                    op10_top_k, op11_embedding_whitening, op12_quality_classifier, op13_lexical_search)}

@@ -187,4 +187,27 @@ OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(25
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
-ORACLES = {"op1_line_dedup": OP1, "op10_top_k": OP10, "op2_quality_rules": OP2, "op5_url_filters": OP5, "op6_mixing": OP6}
+# -- op13 -------------------------------------------------------------------------------------
+
+
+def _terms(text: str) -> str:
+    return (f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            r"'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+
+
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_terms('text')} AS w FROM documents),
+ size AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+ tf AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY ALL),
+ df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY 1),
+ part AS (SELECT tf.rid, tf.term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.w)::BIGINT * n_docs) // total))) AS part
+  FROM tf JOIN df USING (term) JOIN d USING (rid), size),
+ q AS (SELECT item_id, term, count(*)::BIGINT AS reps FROM (SELECT item_id, unnest({_terms('text')}) AS term
+   FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+ scored AS (SELECT item_id, rid, sum(reps * part)::BIGINT AS score FROM q JOIN part USING (term) GROUP BY ALL),
+ ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank,
+   doc_id, score FROM scored JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+ORACLES = {"op1_line_dedup": OP1, "op10_top_k": OP10, "op13_lexical_search": OP13,
+           "op2_quality_rules": OP2, "op5_url_filters": OP5, "op6_mixing": OP6}
