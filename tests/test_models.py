@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_CHECK
+from veritext.operators import boosting as B
 from veritext.operators import models as MO
 from veritext.operators import split as SP
 from veritext.plans import all_queries as A
+from veritext.plans import catalog_boosting as CB
 from veritext.plans.catalog_matrix import full_features
 
 
@@ -57,7 +59,8 @@ def test_text_candidates_are_chosen_by_f1(spark):
 
 def test_grid_reports_both_folds_and_the_refit(spark):
     rows = A.QUERIES["train_grid"](spark, SF_CHECK).collect()
-    assert sorted(r["param_id"] for r in rows) == [1, 2, 3, 4]
+    assert sorted(r["param_id"] for r in rows) == list(range(1, 17))
+    assert {(r["reg_alpha"], r["reg_lambda"]) for r in rows} == {(0.0, 0.5), (0.0, 1.5), (1.0, 0.5), (1.0, 1.5)}
     best = [r for r in rows if r["is_best"]]
     assert len(best) == 1 and best[0]["mean_test_auc"] == max(r["mean_test_auc"] for r in rows)
     assert 0.0 <= best[0]["test_auc_best"] <= 1.0 and best[0]["num_original_features"] > 9
@@ -71,14 +74,32 @@ def test_early_stopping_uses_fewer_trees(spark):
     assert 1 <= r["trees_used"] < 100 and 0.0 <= r["test_auc"] <= 1.0
 
 
-def test_selected_slots_pass_the_threshold(spark):
+def test_selected_refit_uses_the_best_parameters_and_only_selected_slots(spark):
+    t = CB.tuned(spark, SF_CHECK)
+    best = max(t["summary"].values(), key=lambda r: (r["mean_test_auc"], -r["param_id"]))
+    model = B.load(spark, t["selected"])
+    assert model.settings == t["sets"][best["param_id"] - 1] == B.load(spark, t["tuned"]).settings
+    used = {r["feature"] for r in B.importances(spark.read.parquet(f"{t['selected']}/nodes")).collect()}
+    assert used and used <= set(t["slots"])
+    assert CB.tuned(spark, SF_CHECK) is t  # trained once
+    areas = {r["model"]: r["auc"] for r in A.QUERIES["train_compare"](spark, SF_CHECK).collect()}
+    assert set(areas) == {"baseline", "tuned", "selected"} and min(areas.values()) > 0.5
+    one = A.QUERIES["train_selected"](spark, SF_CHECK).collect()
+    assert {r["feature"] for r in one} == set(t["slots"]) and {r["test_auc"] for r in one} == {areas["selected"]}
+
+
+def test_saved_split_counts_equal_sql_over_the_same_files(spark, tmp_path):
+    import duckdb
+
     d = _separable(spark)
-    model = MO.fit_trees(d, max_iter=3, max_depth=2, seed=42)
+    model = MO.fit_trees(d, max_iter=4, max_depth=3, seed=42)
     names = MO.feature_names(model, d)
-    sel = [n for n, v in MO.gain_importances(model, names) if v >= 0.02]
-    refit = MO.fit_selected(d, sel, names, model, max_iter=3, max_depth=2, seed=42)
-    assert "word_count" in sel and len(sel) < len(names)
-    assert MO.auc_of(refit.transform(d)) > 0.95
+    path = MO.save_model(model, str(tmp_path / "m"))
+    got = dict(tuple(r) for r in MO.saved_split_counts(spark, path, names).collect())
+    want = duckdb.sql(f"SELECT nodeData.split.featureIndex, count(*) FROM '{path}/stages/*GBT*/data/*.parquet' "
+                      "WHERE nodeData.split.featureIndex >= 0 GROUP BY 1").fetchall()
+    assert got == {names[i]: n for i, n in want}
+    assert got == {n: c for n, c in MO.split_counts(model, names) if c}
 
 
 def test_trained_hybrid_is_the_same_in_batch_and_stream(spark, tmp_path):

@@ -37,6 +37,16 @@ AI_THRESHOLD = 0.5
 UNCERTAIN_BELOW = 0.7
 IMPORTANCE_THRESHOLD = 0.020
 
+# --- fixed values: axes of the parameter search (768 sets) ---------------------------------------
+
+SEARCH_AXES = {
+    "n_estimators": [50, 100, 200, 500],
+    "learning_rate": [0.1, 0.3, 0.6, 1.0],
+    "max_depth": [3, 6, 10],
+    "reg_alpha": [0.0, 0.1, 0.5, 1.0],
+    "reg_lambda": [0.1, 0.5, 1.0, 1.5],
+}
+
 # --- fixed values: feature contract of the served tree model (19 names, in order) ---------------
 
 NUMERIC_FEATURES = [
@@ -79,6 +89,7 @@ UNK_ID = 100
 CLS_ID = 101
 SEP_ID = 102
 MAX_SEQ_LEN = 512
+BATCH_SIZE = 8
 
 # --- fixed values: rule-based sentiment (published constants) -----------------------------------
 

@@ -40,7 +40,7 @@ MAX_BINS = 64
 #: Rounds between two writes of the margins.
 STATE_EVERY = 10
 #: Models trained in one pass over the rows.
-TOGETHER = 32
+TOGETHER = 64
 #: A split has to gain more than rounding may show.
 LEAST_GAIN = 1e-6
 _UNIT = float(1 << 32)

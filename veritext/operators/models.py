@@ -12,10 +12,9 @@ import re
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.constants import NUMERIC_FEATURES, TAG_FEATURES, WS_CLASS
@@ -87,47 +86,11 @@ def split_counts(model: PipelineModel, names: list[str]) -> list[tuple[str, int]
     return list(zip(names, counts))
 
 
-def cross_validate(train: DataFrame, grid: dict[str, list], fold_col: str = "fold", num_folds: int = 5,
-                   features: list[str] = BASE_FEATURES, parallelism: int = 4, seed: int = 42):
-    """M3: grid x folds scored by ROC AUC on held-out and training folds, best set refit on all rows.
-
-    ``fold_col`` holds the stratified folds of ``split.fold_assign`` (the reference stratifies).
-    """
-    est = gbt(seed=seed)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(est.getParam(name), values)
-    maps = builder.build()
-    pipe = Pipeline(stages=matrix_stages(features) + [est])
-    ev = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction",
-                                       metricName="areaUnderROC")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        numFolds=num_folds, parallelism=parallelism, seed=seed, collectSubModels=True)
-    model = cv.fit(train)
-    inside = [[ev.evaluate(sub.transform(train.filter(F.col(fold_col) != k))) for k, sub in enumerate(subs)]
-              for subs in zip(*model.subModels)]  # per parameter set, the AUC on each fold's training rows
-    rows = []
-    for i, (pm, mean, std, own) in enumerate(zip(maps, model.avgMetrics, model.stdMetrics, inside)):
-        rows.append((i + 1, {p.name: float(v) for p, v in pm.items()}, float(mean), float(std),
-                     sum(own) / len(own)))
-    return model, rows
-
-
-def tuned_record(rows: list, test_auc: float, num_features: int) -> dict:
-    """S5 for a tuned run: best parameters, their cross-validated score, the refit's held-out AUC."""
-    best = max(rows, key=lambda r: (r[2], -r[0]))
-    return {"best_params": best[1], "best_cv_score": best[2], "test_auc_best": test_auc,
-            "num_original_features": num_features}
-
-
-def fit_selected(train: DataFrame, selected: list[str], all_names: list[str], base: PipelineModel,
-                 **gbt_args) -> PipelineModel:
-    """M4: same matrix, vector sliced to the selected slots, refit with the chosen parameters."""
-    idx = [all_names.index(n) for n in selected]
-    slicer = VectorSlicer(inputCol="features", outputCol="features_sel", indices=idx)
-    est = gbt(**gbt_args).setFeaturesCol("features_sel")
-    stages = list(base.stages[:-1]) + [slicer, est]
-    return Pipeline(stages=stages).fit(train)
+def saved_split_counts(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """A12 from the saved form: (feature, splits) of the tree stage's node rows, those without a split left out."""
+    nodes = spark.read.parquet(f"{path}/stages/*GBTClassifier*/data").select("nodeData.split.featureIndex")
+    slot = F.get(F.array(*(F.lit(n) for n in names)), F.col("featureIndex")).alias("feature")
+    return nodes.filter("featureIndex >= 0").groupBy(slot).agg(F.count(F.lit(1)).alias("splits"))
 
 
 def fit_text(train: DataFrame, text_col: str = "cleaned_text", num_features: int = 1 << 18,

@@ -1,4 +1,5 @@
 """Imports every catalog module so that all queries are registered."""
 
-from veritext.plans import catalog, catalog_lexicon, catalog_matrix, catalog_metrics, catalog_runs, catalog_encode, catalog_models, catalog_stream  # noqa: F401
+from veritext.plans import (catalog, catalog_boosting, catalog_encode, catalog_lexicon, catalog_matrix,  # noqa: F401
+                            catalog_metrics, catalog_models, catalog_runs, catalog_stream)
 from veritext.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritext.constants import CLS_ID, MAX_SEQ_LEN, PAD_ID, SEP_ID, UNK_ID
+from veritext.constants import BATCH_SIZE, CLS_ID, MAX_SEQ_LEN, PAD_ID, SEP_ID, UNK_ID
 from veritext.operators import encode as EN
 from veritext.operators import features as FE
 from veritext.operators import predict as PD
@@ -43,10 +43,10 @@ def q_encode_tokens(spark, sf):
 @query("pad_to_longest", _IDS_SQL + f"""
 SELECT review_id, batch_id, list_resize(seq, n, {PAD_ID}) AS input_ids,
        list_resize(list_transform(seq, lambda x: CAST(1 AS INT)), n, 0) AS attention_mask
-FROM (SELECT *, review_id // 1000 AS batch_id, max(len(seq)) OVER (PARTITION BY review_id // 1000) AS n FROM sq)""")
+FROM (SELECT *, max(len(seq)) OVER (PARTITION BY batch_id) AS n FROM
+      (SELECT *, (row_number() OVER (ORDER BY review_id) - 1) // {BATCH_SIZE} AS batch_id FROM sq))""")
 def q_pad_to_longest(spark, sf):
-    ids = chat_ids(spark, sf).withColumn("batch_id", F.expr("review_id div 1000"))
-    return EN.encode_dynamic(ids, "batch_id")
+    return EN.encode_dynamic(chat_ids(spark, sf))
 
 
 # ---- F1 / F2 / F4 --------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Registered queries, part 7: Spark ML training, selection, tuning, persistence and trained scoring.
+"""Registered queries, part 7: Spark ML training, persistence and trained scoring.
 
 Model outputs have no SQL oracle. Keys whose rows, labels or invariants SQL can state have one for these;
 ``tests/test_models.py`` checks every key's numbers by their properties.
@@ -10,7 +10,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from veritext.constants import IMPORTANCE_THRESHOLD, NUMERIC_FEATURES, TAG_FEATURES
+from veritext.constants import NUMERIC_FEATURES, TAG_FEATURES
 from veritext.operators import features as FE
 from veritext.operators import metrics as ME
 from veritext.operators import models as MO
@@ -20,10 +20,8 @@ from veritext.plans.catalog_matrix import full_features
 from veritext.plans.registry import query
 from veritext.plans.sql import _q, with_views
 from veritext.session import scratch_path
-from veritext.sources import files as FL
 from veritext.sources import tables as TB
 
-SMALL_GRID = {"maxIter": [5, 10], "maxDepth": [2, 3]}
 TEXT_REGS = [0.001, 0.01, 0.1]
 
 _TEST = "substr(md5(CAST(review_id AS VARCHAR) || ':42'), 1, 8) < '33333333'"
@@ -94,56 +92,6 @@ def q_train_gbt_early(spark, sf):
     return spark.createDataFrame([(trees, round(auc, 6))], "trees_used int, test_auc double")
 
 
-@query("train_grid")
-def q_train_grid(spark, sf):
-    """Grid x stratified 5 folds by ROC AUC, with train-fold means; the best set's refit is
-    evaluated on the held-out rows and recorded as run metadata."""
-    train, test = train_test(spark, sf)
-    model, rows = MO.cross_validate(SP.fold_assign(train), SMALL_GRID)
-    auc = MO.auc_of(model.bestModel.transform(test))
-    record = MO.tuned_record(rows, round(auc, 6), len(MO.feature_names(model.bestModel, train)))
-    schema = ("best_params map<string,double>, best_cv_score double, test_auc_best double, "
-              "num_original_features int")
-    path = FL.write_json(spark.createDataFrame([record], schema), scratch_path(spark, "tuned-run"), mode="append")
-    kept = FL.read_json(spark, path, schema)
-    out = [(pid, int(p["maxIter"]), int(p["maxDepth"]), round(m, 6), round(s, 6), round(t, 6),
-            p == record["best_params"]) for pid, p, m, s, t in rows]
-    grid = spark.createDataFrame(out, "param_id int, max_iter int, max_depth int, mean_test_auc double, "
-                                      "std_test_auc double, mean_train_auc double, is_best boolean")
-    held = kept.select("best_cv_score", "test_auc_best", "num_original_features", F.lit(True).alias("is_best"))
-    return grid.join(held, "is_best", "left")
-
-
-@query("train_selected")
-def q_train_selected(spark, sf):
-    """Keep slots with baseline gain importance >= 0.020, refit, evaluate on test."""
-    train, test = train_test(spark, sf)
-    model = baseline(train)
-    names = MO.feature_names(model, train)
-    sel = [n for n, v in MO.gain_importances(model, names) if v >= IMPORTANCE_THRESHOLD]
-    refit = MO.fit_selected(train, sel, names, model, max_iter=100, max_depth=4, seed=42)
-    auc = MO.auc_of(refit.transform(test))
-    return spark.createDataFrame([(n, len(sel), round(auc, 6)) for n in sel],
-                                 "feature string, n_selected int, test_auc double")
-
-
-@query("train_compare")
-def q_train_compare(spark, sf):
-    """M5: baseline, selected refit and tuned model on the same held-out rows."""
-    train, test = train_test(spark, sf)
-    first = baseline(train)
-    names = MO.feature_names(first, train)
-    sel = [n for n, v in MO.gain_importances(first, names) if v >= IMPORTANCE_THRESHOLD]
-    tuned, _ = MO.cross_validate(SP.fold_assign(train, k=3), SMALL_GRID, num_folds=3)
-    models = {"baseline": first, "tuned": tuned.bestModel,
-              "selected": MO.fit_selected(train, sel, names, first, max_iter=100, max_depth=4, seed=42)}
-    made = ("_cat_idx", "_cat_vec", "features", "features_sel", "rawPrediction", "probability", "prediction")
-    scored = test.withColumn("y", F.col("y").cast("int"))
-    for name, model in models.items():
-        scored = MO.positive_probability(model.transform(scored), f"p_{name}").drop(*made)
-    return ME.compare_models(scored, {name: f"p_{name}" for name in models})
-
-
 @query("train_text")
 def q_train_text(spark, sf):
     """M6: text-only classifier on human vs machine turns. Turns split three ways by hash; each candidate
