@@ -48,13 +48,13 @@ def test_model_roundtrip_gives_equal_predictions(spark):
     assert rows and all(r["same"] for r in rows)
 
 
-def test_text_candidates_are_chosen_by_f1(spark):
-    rows = A.QUERIES["train_text"](spark, SF_CHECK).collect()
+def test_text_rounds_stop_and_the_best_is_evaluated(spark):
+    rows = sorted(A.QUERIES["train_text"](spark, SF_CHECK).collect(), key=lambda r: r["step"])
     best = [r for r in rows if r["is_best"]]
-    assert len(rows) == 3 and len(best) == 1
-    assert best[0]["eval_f1"] == max(r["eval_f1"] for r in rows)
+    assert len(best) == 1 and best[0]["eval_f1"] == max(r["eval_f1"] for r in rows)
     assert best[0]["test_f1"] is not None and all(r["test_f1"] is None for r in rows if not r["is_best"])
-    assert all(r["n"] > 0 and r["eval_samples_per_second"] > 0 for r in rows)
+    assert len(rows) == 30 or rows[-1]["step"] - best[0]["step"] >= 2
+    assert all(r["n"] > 0 for r in rows)
 
 
 def test_grid_reports_both_folds_and_the_refit(spark):

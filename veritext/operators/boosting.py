@@ -29,6 +29,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +44,7 @@ STATE_EVERY = 10
 TOGETHER = 64
 #: A split has to gain more than rounding may show.
 LEAST_GAIN = 1e-6
+_CELL = ["model", "node", "feature", "bin", "g", "h"]
 _UNIT = float(1 << 32)
 
 
@@ -248,12 +250,17 @@ def _cells(state: DataFrame, width: int, fresh: list[list[Tree]], growing: list[
     """(model, node, feature, bin, g, h): sums over the training rows of each open node."""
     numeric = width - 1
 
+    def merged(parts: list[tuple]) -> list[tuple]:
+        frame = pd.DataFrame({c: np.concatenate(v) for c, v in zip(_CELL, zip(*parts))})
+        frame = frame.groupby(_CELL[:4], sort=False, as_index=False).sum()
+        return [tuple(frame[c].to_numpy() for c in _CELL)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
             bins, y = _rows(batch.column(0), width), batch.column(1).to_numpy(zero_copy_only=False)
             fold = batch.column(2).to_numpy(zero_copy_only=False)
             margins = np.frombuffer(b"".join(batch.column(3).to_pylist())).reshape(len(y), len(growing))
-            out: list[tuple] = []
             for model, grown in enumerate(growing):
                 if grown is None:
                     continue
@@ -276,12 +283,14 @@ def _cells(state: DataFrame, width: int, fresh: list[list[Tree]], growing: list[
                                 np.full(size, f, np.int32), ((key & 0xFFFFFFFF) - 1).astype(np.int32),
                                 np.bincount(at, g, size).astype(np.int64), np.bincount(at, h, size).astype(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)],
-                                                 names=["model", "node", "feature", "bin", "g", "h"])
+                out = merged(out)  # what a task holds grows with its cells, not with its rows
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[0]], names=_CELL)
 
     parts = state.mapInArrow(run, "model int, node int, feature int, bin int, g long, h long")
     exact = [(F.sum(F.col(v).cast("decimal(20,0)")).cast("double") / _UNIT).alias(v) for v in "gh"]
-    return parts.groupBy("model", "node", "feature", "bin").agg(*exact)
+    # dealt as the windows of ``candidates`` need them, so that the cells move once
+    return parts.repartition("model", "node", "feature").groupBy(*_CELL[:4]).agg(*exact)
 
 
 def _advanced(state: DataFrame, width: int, fresh: list[list[Tree]]) -> DataFrame:
@@ -350,7 +359,7 @@ def _fit(base: DataFrame, space: Space, jobs: list[tuple[Settings, int | None]])
             if tree is not None:
                 done[model].append(tree)
                 fresh[model].append(tree)
-        if max(map(len, fresh)) >= STATE_EVERY:
+        if max(map(len, fresh)) >= STATE_EVERY and any(len(d) < s.n_estimators for d, s in zip(done, settings)):
             state, fresh = _advanced(state, width, fresh), [[] for _ in jobs]
     return [Ensemble(space, s, trees) for s, trees in zip(settings, done)]
 

@@ -6,23 +6,23 @@ Model outputs have no SQL oracle. Keys whose rows, labels or invariants SQL can
 
 from __future__ import annotations
 
-import time
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from veritext.constants import NUMERIC_FEATURES, TAG_FEATURES
+from veritext.constants import NUMERIC_FEATURES, TAG_FEATURES, WS_CLASS_RE2
 from veritext.operators import features as FE
 from veritext.operators import metrics as ME
 from veritext.operators import models as MO
 from veritext.operators import scoring as SC
 from veritext.operators import split as SP
+from veritext.operators import textmodel as TM
 from veritext.plans.catalog_matrix import full_features
 from veritext.plans.registry import query
-from veritext.plans.sql import _q, with_views
+from veritext.plans.sql import _q, clean_sql, with_views
 from veritext.session import scratch_path
 from veritext.sources import tables as TB
 
-TEXT_REGS = [0.001, 0.01, 0.1]
 
 _TEST = "substr(md5(CAST(review_id AS VARCHAR) || ':42'), 1, 8) < '33333333'"
 _HELD = with_views("reviews_docs") + f"""
@@ -92,35 +92,84 @@ def q_train_gbt_early(spark, sf):
     return spark.createDataFrame([(trees, round(auc, 6))], "trees_used int, test_auc double")
 
 
-@query("train_text")
-def q_train_text(spark, sf):
-    """M6: text-only classifier on human vs machine turns. Turns split three ways by hash; each candidate
-    has one evaluation record on the validation rows; the best by F1 is evaluated on the test rows."""
+def text_rows(spark, sf):
+    """Chat turns split three ways by hash, words hashed to slots, written once."""
     chat = FE.label_map(TB.reviews_chat(spark, sf)).filter(F.col("y").isNotNull())
     chat = SP.split_exact(chat, strata=["y"])  # before the clean-up: the cut is found on keys and labels
     chat = FE.with_clean_text(chat).filter(F.col("cleaned_text") != "")
     val = F.substring(SP.seeded_hash(seed=7), 1, 8) < F.lit(SP.TEST_HASH_CUT)
-    part = F.when(F.col("split") == "test", F.lit("test")).when(val, F.lit("validation")).otherwise(F.lit("train"))
-    rows = MO.cut_lineage(chat.select("review_id", F.col("y").cast("double").alias("y"), "cleaned_text",
-                                      part.alias("part")))
-
-    def evaluated(model, name):
-        began = time.perf_counter()
-        scored = model.transform(rows.filter(F.col("part") == name))
-        pred = scored.withColumn("pred", F.col("prediction").cast("int")).withColumn("y", F.col("y").cast("int"))
-        m = ME.binary_metrics(pred).first()
-        return m, m["n"] / (time.perf_counter() - began)
-
-    out = []
-    models = {reg: MO.fit_text(rows.filter(F.col("part") == "train"), reg=reg) for reg in TEXT_REGS}
-    for reg, model in models.items():
-        m, speed = evaluated(model, "validation")
-        out.append([reg, m["accuracy"], m["f1"], int(m["n"]), round(speed, 1)])
-    best = max(out, key=lambda r: (r[2], -r[0]))[0]
-    test, _ = evaluated(models[best], "test")
-    done = [(*r, r[0] == best, test["f1"] if r[0] == best else None) for r in out]
-    return spark.createDataFrame(done, "reg double, eval_accuracy double, eval_f1 double, n int, "
-                                       "eval_samples_per_second double, is_best boolean, test_f1 double")
+    part = (F.when(F.col("split") == "test", F.lit(TM.TEST)).when(val, F.lit(TM.VALIDATION)).otherwise(F.lit(TM.TRAIN)))
+    return TM.prepared(chat.withColumn("part", part))
+
+
+LOG = ("epoch double, step int, loss double, eval_accuracy double, eval_precision double, eval_recall double, "
+       "eval_f1 double, eval_loss double, n int")
+
+
+@query("train_text")
+def q_train_text(spark, sf):
+    """M6: text-only classifier on human vs machine turns, trained in rounds: one record per round on the
+    validation rows, two rounds without gain stop it, and the best round's saved weights are evaluated on
+    the test rows."""
+    rows = text_rows(spark, sf)
+    log, path = TM.fit_rounds(rows)
+    best = TM.best_round(log)
+    test = TM.evaluate(TM.load_round(spark, path, best), rows).select(
+        F.lit(best).alias("step"), F.col("f1").alias("test_f1"), F.col("n").alias("test_n"))
+    return spark.createDataFrame(log, LOG).join(test, "step", "left").withColumn("is_best", F.col("step") == best)
+
+
+_TEXT_SQL = with_views("reviews_chat") + f"""
+, chat AS (SELECT review_id, CASE label WHEN 'OR' THEN 1 WHEN 'CG' THEN 0 END AS y, text_ FROM reviews_chat
+  WHERE label IN ('OR', 'CG')),
+cut AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(review_id AS VARCHAR) || ':42'), review_id)
+   <= ceil(0.2 * count(*) OVER (PARTITION BY y)) AS test FROM chat),
+txt AS (SELECT review_id, y, list_filter(regexp_split_to_array({clean_sql('text_')}, '[{WS_CLASS_RE2}]+'), lambda x: x <> '') AS w,
+   CASE WHEN test THEN 'test' WHEN substr(md5(CAST(review_id AS VARCHAR) || ':7'), 1, 8) < '33333333' THEN 'validation'
+    ELSE 'train' END AS part FROM cut WHERE {clean_sql('text_')} <> ''),
+oc AS (SELECT review_id, y, part, root, CAST(('0x' || substr(md5(x), 1, 8))::BIGINT % {TM.SLOTS} AS INT) AS slot
+  FROM (SELECT review_id, y, part, sqrt(len(w)) AS root, unnest(w) AS x FROM txt)),
+sz AS (SELECT count(*)::DOUBLE AS n FROM txt WHERE part = 'train'),
+idf AS (SELECT slot, ln((n + 1) / (count(DISTINCT review_id) + 1)) AS idf FROM oc, sz WHERE part = 'train' GROUP BY slot, n),
+gr AS (SELECT slot, sum((0.5::DOUBLE - y) / root) * idf / n AS g, idf FROM oc JOIN idf USING (slot), sz WHERE part = 'train'
+  GROUP BY slot, idf, n)
+"""
+
+
+@query("text_gradient", _TEXT_SQL + "SELECT slot, round(idf, 6) AS idf, round(g, 6) AS gradient FROM gr WHERE abs(g) > 1e-9")
+def q_text_gradient(spark, sf):
+    """M6: the first gradient of the training, by slot."""
+    rows = text_rows(spark, sf)
+    model = TM.TextModel(TM.slot_weights(rows.filter(F.col("part") == TM.TRAIN)), np.zeros(TM.SLOTS))
+    g, _, _ = TM.gradient(rows, model)
+    at = np.flatnonzero(np.abs(g) > 1e-9)
+    frame = pd.DataFrame({"slot": at.astype("int32"), "idf": model.idf[at], "gradient": g[at]})
+    return spark.createDataFrame(frame, "slot int, idf double, gradient double").select(
+        "slot", F.round("idf", 6).alias("idf"), F.round("gradient", 6).alias("gradient"))
+
+
+_STEP = TM.Rounds()
+
+
+@query("text_first_round", _TEXT_SQL + f"""
+, wt AS (SELECT slot, -{_STEP.learning_rate}::DOUBLE * g / (abs(g) + {_STEP.eps!r}::DOUBLE) * idf AS wi FROM gr),
+bias AS (SELECT -{_STEP.learning_rate}::DOUBLE * g / (abs(g) + {_STEP.eps!r}::DOUBLE) AS b
+  FROM (SELECT sum(0.5::DOUBLE - y) / count(*) AS g FROM txt WHERE part = 'train')),
+sc AS (SELECT t.review_id, t.y, coalesce(m.m, 0.0::DOUBLE) + b AS m FROM txt t LEFT JOIN (SELECT review_id, sum(wi / root) AS m
+   FROM oc JOIN wt USING (slot) WHERE part = 'validation' GROUP BY 1) m USING (review_id), bias WHERE part = 'validation'),
+cf AS (SELECT count(*) FILTER (m > 0 AND y = 1)::DOUBLE AS tp, count(*) FILTER (m > 0 AND y = 0)::DOUBLE AS fp,
+  count(*) FILTER (m <= 0 AND y = 1)::DOUBLE AS fn, count(*) AS n,
+  avg(ln(1 + exp(CASE WHEN y = 1 THEN -m ELSE m END))) AS loss,
+  count(*) FILTER ((m > 0) = (y = 1))::DOUBLE AS good FROM sc)
+SELECT 1 AS step, round(good / n, 6) AS eval_accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS eval_precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS eval_recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS eval_f1, round(loss, 6) AS eval_loss,
+  CAST(n AS INT) AS n FROM cf""")
+def q_text_first_round(spark, sf):
+    """M6: the record of the first round, evaluated from its weights."""
+    log, _ = TM.fit_rounds(text_rows(spark, sf), TM.Rounds(max_rounds=1))
+    return spark.createDataFrame(log, LOG).select("step", "eval_accuracy", "eval_precision", "eval_recall", "eval_f1",
+                                                  "eval_loss", "n")
 
 
 @query("model_roundtrip", _HELD + "SELECT review_id, true AS same FROM held")
