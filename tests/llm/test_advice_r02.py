@@ -10,20 +10,16 @@ from tests.llm.data import without_repeats
 from veritext.llm import lines, substrings
 
 
-def plain_groups(rows: list[str]) -> dict[str, str]:
-    """First line of each line's group: the lines of one leaf in order, each against all groups so far."""
-    leads: list[str] = []
-    out = {}
-    for m in sorted(rows):
-        t = m.split(" ")
-        out[m] = next((a for a in leads if 100 * sum(x == y for x, y in zip(t, a.split(" "))) >= lines.SIMILAR * len(t)), m)
-        if out[m] == m:
-            leads.append(m)
-    return out
-
-
-def test_lines_find_their_group_beyond_the_third(spark):
-    """Leaves of many groups, with lines that have earlier and later groups in reach."""
+def firsts(rows: list[tuple[int, str]]) -> dict[str, int]:
+    """First document of any alike line, per line of one leaf."""
+    split = [(doc, m, m.split(" ")) for doc, m in rows]
+    return {m: min(d for d, _, u in split if len(u) == len(t)
+                   and 100 * sum(x == y for x, y in zip(t, u)) >= lines.SIMILAR * len(t)) for _, m, t in split}
+
+
+@pytest.mark.parametrize("small", [lines.SMALL, 8, 2])
+def test_every_line_finds_its_first_alike_line(spark, small):
+    """Leaves of many templates; small nodes force them to grow place by place."""
     rng = random.Random(2)
     rows, want = [], {}
     for n in (4, 5, 6, 8, 10, 13, 25):
@@ -35,17 +31,38 @@ def test_lines_find_their_group_beyond_the_third(spark):
                 for _ in range(rng.randint(0, n * 3 // 10)):
                     t[rng.randrange(n - 3)] = rng.choice("abcdef")
                 leaf.add(" ".join(["in", "this", f"leaf{'x' * n}", *t]))
-        groups = plain_groups(sorted(leaf))
-        assert n < 6 or len(set(groups.values())) > 2 * lines.GROUPS
-        for m in rng.sample(sorted(leaf), len(leaf)):
-            rows.append((len(rows) + 1, m))
-            want[len(rows)] = (n, groups[m])
-    owner: dict = {}
-    for doc in sorted(want):
-        owner.setdefault(want[doc], doc)
+        some = [(len(rows) + i, m) for i, m in enumerate(rng.sample(sorted(leaf), len(leaf)), 1)]
+        rows += some
+        first = firsts(some)
+        want.update({doc: int(first[m] < doc) for doc, m in some})
+    got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), small=small).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_rounds_do_not_grow_with_the_lines_of_a_frame(spark, monkeypatch):
+    """3000 lines of one frame, no two alike, and 3000 alike ones: few rounds, right results."""
+    names, inner = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: names.append(name) or inner(df, name))
+    rows = [(i, f"the price of w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} is "
+                f"v{chr(97 + i // 676)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}") for i in range(3000)]
+    rows += [(3000 + i, f"Dear reader and friend n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}, " + "we write to you " * 30)
+             for i in range(3000)]
     got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup(
         spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert got == {doc: int(owner[g] < doc) for doc, g in want.items()}
+    assert got == {i: int(i > 3000) if i >= 3000 else 0 for i in range(6000)}
+    assert names.count("line-nodes") <= 8
+
+
+def test_long_lines_are_masked_in_linear_time(spark):
+    import time
+
+    rows = [(1, "1 " + "x" * 1_000_000), (2, "2 " + "x" * 1_000_000), (3, "a1 " * 300_000), (4, "\n".join(["q r s t"] * 200_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["dropped_lines"], len(r["text"])) for r in lines.dedup(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == {1: (0, 1_000_002), 2: (1, 0), 3: (0, 900_000), 4: (0, 1_599_999)}
 
 
 @pytest.mark.parametrize("anchor_bytes", [substrings.ANCHOR_BYTES, 0])

@@ -1,45 +1,48 @@
 """Line dedup by a log-template tree.
 
-A line's words with digits are variable fields. The tree has a fixed depth: the number of words, then
-the first ``DEPTH`` words. A leaf's lines are compared word by word with its first line (by code points),
-those that agree at ``SIMILAR`` percent of the places or more share that line's template, with the other
-places generalised, and the rest goes on to the next group, until no line is left. A template that occurs
-in two or more documents recurs; its lines stay in the first of these documents (by id) and are dropped
-from all others.
-
-The first ``GROUPS`` groups of a leaf are led by the first line of the whole leaf, one after the other.
-What is left is blocked by shared words (see ``_blocks``): a line that is the first of all its blocks has
-no earlier line that it could join, so all such lines lead groups in the same round, and each other line is
-compared with one line per block. The groups are those of going on one by one.
-
-The tree is built from mergeable aggregates: templates and leaves are pre-aggregated by hash before any
-shuffle, so a line that is in every document costs one row per task, and texts are not moved for lines
-that are alone in their leaf.
-
-Defined results: a null text stays null; lines without a word are kept; rows with one id are one
-document, so copies of a row drop nothing from each other; null ids come after all others and are one
-document; an empty table gives an empty result; other columns pass through unchanged.
+A line's words with digits are variable fields. The tree has a fixed depth: the number of words, then the
+first ``DEPTH`` words. Two lines of a leaf that agree at ``SIMILAR`` percent of their places or more share a
+template, with the other places generalised. A line whose template occurs in an earlier document (by id) is
+dropped; so a recurring template's lines stay in the first document that has it.
+
+The first document of each line's templates is found without comparing all pairs. Lines are counted into
+leaves by hash, pre-aggregated before any shuffle, so a line that is in every document costs one row per
+task, and the text of a line moves only if its leaf holds another one. A leaf of up to ``SMALL`` different
+lines is compared within one row. A larger one grows further nodes, one place at a time, at the place with
+the most different words: a line goes to the node of its word there, and to the node "any word", which takes
+one of the places that may differ. Alike lines always meet in a node, since they go to the same one wherever
+they agree and to "any word" where they differ. A node is done when it is small, or when the places that
+still vary are no more than may differ (then all its lines are alike); a node out of places that may differ
+has no "any word". So the number of rounds depends on the words of a line, not on the number of lines.
+
+Defined results: a null text stays null; lines without a word are kept; rows with one id are one document,
+so copies of a row drop nothing from each other; null ids come after all others and are one document; an
+empty table gives an empty result; long texts and long lines are handled whole, in time proportional to
+their length; all other columns pass through unchanged, whatever their names (``count_col`` replaces a
+column of its name).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritext.llm.common import WORD_SEPARATORS, broadcast_if_small, let, words, written
+from veritext.llm.common import WORD_SEPARATORS, broadcast_if_small, let, written
 
 DEPTH = 3
-#: Rounds led by the first line of the whole leaf, before the rest is blocked; no bound on the groups.
-GROUPS = 3
 SIMILAR = 70
+#: Different lines of a node that are compared within one row.
+SMALL = 64
 FIELD = "<*>"
-_VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+_DIGITS = "0123456789"
 _LAST = (1 << 63) - 1
 
 
 def masked(df: DataFrame, line_col: str) -> DataFrame:
-    """Adds ``m``: the line with variable fields generalised and words joined by one space. The regexes run
-    only on lines that byte searches let through."""
+    """Adds ``m``: the line with variable fields generalised and words joined by one space. Byte searches let
+    most lines pass as they are; the work on the others is linear in their length."""
     line = F.col(line_col)
     uneven = line.contains("  ")
     for blank in "\t\x0b\x0c\r":
@@ -47,7 +50,8 @@ def masked(df: DataFrame, line_col: str) -> DataFrame:
     df = df.withColumn("_even", F.when(uneven, F.regexp_replace(line, WORD_SEPARATORS, " ")).otherwise(line))
     df = df.withColumn("_even", F.btrim("_even", F.lit(" ")))
     even = F.col("_even")
-    return df.withColumn("m", F.when(even.rlike("[0-9]"), F.regexp_replace(even, _VARIABLE, FIELD))
+    fields = F.transform(F.split(even, " "), lambda w: F.when(F.translate(w, _DIGITS, "") == w, w).otherwise(FIELD))
+    return df.withColumn("m", F.when(F.translate(even, _DIGITS, "") != even, F.array_join(fields, " "))
                          .otherwise(even)).drop("_even")
 
 
@@ -58,123 +62,102 @@ def _leaf(m: Column) -> Column:
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, version, pos, m): the masked lines that have a word."""
-    return (df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"),
-                      F.xxhash64(text_col).alias("version"),
-                      F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    keyed = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"),
+                      F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    # the keys come first: beside the explode they would be taken from the whole text once per line
+    return (keyed.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
             .transform(masked, "line").drop("line").filter("m <> ''"))
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Whether two lines of one leaf agree at ``SIMILAR`` percent of their places."""
-    x = F.split(a, " ")
-    both = F.zip_with(x, F.split(b, " "), lambda v, w: (v == w).cast("int"))
-    return 100 * F.aggregate(both, F.lit(0), lambda n, same: n + same) >= SIMILAR * F.size(x)
-
-
-def _blocks(leaf: Column, m: Column) -> Column:
-    """Hashes of which any two alike lines of a leaf share one. Behind the words that the whole leaf shares,
-    alike lines differ at ``most`` places at most: of ``most + 1`` sets of places, one is without a difference."""
-    def keys(tokens: Column) -> Column:
-        most = F.floor(F.size(tokens) * (100 - SIMILAR) / 100).cast("int")
-        sets = F.greatest(F.least(most + 1, F.size(tokens) - DEPTH), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), sets - 1), lambda k: F.xxhash64(
-            leaf, k, F.array_join(F.filter(tokens, lambda _, i: (i >= DEPTH) & ((i - DEPTH) % sets == k)), " ")))
-
-    tokens = F.split(m, " ")
-    short = F.size(tokens) - DEPTH <= F.floor(F.size(tokens) * (100 - SIMILAR) / 100)  # all lines are alike
-    return F.when(short, F.array(leaf)).otherwise(let(tokens, keys))
-
-
-def _groups(candidates: DataFrame) -> DataFrame:
-    """(leaf, m, first): the group of each line of (leaf, m) that does not lead one itself.
-
-    A line that has found a group stays, without leading one, while an earlier group may still come.
-    """
-    state, found = candidates.withColumn("first", F.lit(None).cast("string")), None
-    while not state.filter("first IS NULL").isEmpty():
-        keyed = state.withColumn("_key", F.explode(_blocks(F.col("leaf"), F.col("m"))))
-        heads = (keyed.filter("first IS NULL").groupBy("_key").agg(F.min("m").alias("_head"))
-                 .withColumnRenamed("_key", "_k"))
-        met = written(keyed.join(heads, F.col("_key") == F.col("_k"))
-                      .groupBy("leaf", "m", "first", "_head").agg(F.count(F.lit(1)).alias("_")).drop("_"), "line-heads")
-        least = met.groupBy("leaf", "m", "first").agg(F.min("_head").alias("_least"), F.max("_head").alias("_most"))
-        least = written(least, "line-least")
-        leads = least.filter("first IS NULL AND _least = m AND _most = m").select(
-            F.col("leaf").alias("_leaf"), F.col("m").alias("_lead"))
-        leads = written(leads, "line-leads")
-        joined = (met.filter(F.col("_head") < F.coalesce("first", "m"))
-                  .join(leads, (F.col("leaf") == F.col("_leaf")) & (F.col("_head") == F.col("_lead")))
-                  .filter(_alike(F.col("m"), F.col("_head")))
-                  .groupBy(F.col("leaf").alias("_l"), F.col("m").alias("_m")).agg(F.min("_head").alias("_first")))
-        now = (least.join(leads, (F.col("leaf") == F.col("_leaf")) & (F.col("m") == F.col("_lead")), "left_anti")
-               .join(joined, (F.col("leaf") == F.col("_l")) & (F.col("m") == F.col("_m")), "left")
-               .select("leaf", "m", F.coalesce("_first", "first").alias("first"), "_least"))
-        now = written(now, "line-state")
-        waits = F.col("first").isNull() | (F.col("_least") < F.col("first"))
-        settled = now.filter(~waits).select("leaf", "m", "first")
-        found = settled if found is None else found.unionByName(settled)
-        # lines whose blocks have no line left that could lead are in no ``heads``: they go with their group
-        gone = state.filter("first IS NOT NULL").join(least.select(F.col("leaf").alias("_l"), F.col("m").alias("_m")), (
-            F.col("leaf") == F.col("_l")) & (F.col("m") == F.col("_m")), "left_anti").select("leaf", "m", "first")
-        found = found.unionByName(gone)
-        state = now.filter(waits).select("leaf", "m", "first")
-    rest = state.filter("first IS NOT NULL")
-    return rest if found is None else found.unionByName(rest)
-
-
-def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, version, pos, owner): each line with a word, and the first document of its template where
-    the template recurs (else null)."""
-    lines = _lines(df, id_col, text_col)
-    narrow = written(lines.select("doc", "version", "pos", _leaf(F.col("m")).alias("leaf"),
-                                  F.xxhash64("m").alias("own")), "lines")
-    kinds = written(narrow.groupBy("leaf", "own").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")),
-                    "line-kinds")
-
-    # leaves of two or more different lines: compare with the leaf's first line
-    shared = written(kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-                     .select(F.col("leaf").alias("_leaf")), "line-leaves")
-    candidates = (lines.withColumn("leaf", _leaf(F.col("m")))
-                  .join(broadcast_if_small(shared, 8), F.col("leaf") == F.col("_leaf"), "left_semi")
-                  .groupBy("leaf", "m").agg(F.lit(1).alias("_")).drop("_"))
-    candidates = written(candidates, "line-candidates")
-    near = None
-    for _ in range(GROUPS):
-        first = candidates.groupBy(F.col("leaf").alias("_leaf")).agg(F.min("m").alias("_first"))
-        compared = (candidates.join(first, F.col("leaf") == F.col("_leaf")).filter(F.col("m") != F.col("_first"))
-                    .withColumn("_near", _alike(F.col("m"), F.col("_first"))))
-        compared = written(compared.select("leaf", "m", "_first", "_near"), "line-groups")
-        found = compared.filter("_near").select(F.xxhash64("m").alias("_own"), F.col("leaf").alias("_in"),
-                                                F.xxhash64("_first").alias("_template"))
-        near = found if near is None else near.unionByName(found)
-        candidates = compared.filter("NOT _near").select("leaf", "m")
-    near = near.unionByName(_groups(candidates).select(
-        F.xxhash64("m").alias("_own"), F.col("leaf").alias("_in"), F.xxhash64("first").alias("_template")))
-
-    placed = kinds.join(near, (F.col("own") == F.col("_own")) & (F.col("leaf") == F.col("_in")), "left").select(
-        "leaf", "own", "lo", "hi", F.coalesce("_template", "own").alias("template"))
-    spans = placed.groupBy("leaf", "template").agg(F.min("lo").alias("owner"), F.max("hi").alias("last"))
-    spans = spans.filter("owner < last").select(F.col("leaf").alias("_l"), F.col("template").alias("_t"), "owner")
-    recurring = placed.join(spans, (F.col("leaf") == F.col("_l")) & (F.col("template") == F.col("_t"))).select(
-        F.col("leaf").alias("_l"), F.col("own").alias("_o"), "owner")
-    return narrow.join(recurring, (F.col("leaf") == F.col("_l")) & (F.col("own") == F.col("_o")), "left").select(
-        "doc", "version", "pos", "owner")
+def _near(members: Column) -> Column:
+    """Per member of a node (own, words, may, lo), the least ``lo`` of the members it is alike."""
+    def differ(x: Column, y: Column) -> Column:
+        unlike = F.zip_with(x["words"], y["words"], lambda a, b: (~a.eqNullSafe(b)).cast("int"))
+        return F.aggregate(unlike, F.lit(0), lambda n, one: n + one)
+
+    return F.transform(members, lambda x: F.struct(x["own"].alias("own"), F.array_min(F.transform(
+        F.filter(members, lambda y: (y["lo"] <= x["lo"]) & (differ(x, y) <= x["may"])), lambda y: y["lo"])).alias("first")))
+
+
+def _firsts(candidates: DataFrame, small: int) -> DataFrame:
+    """(own, first): the first document of any alike line, for the lines (node, own, words, may, lo) of a leaf.
+    ``may``: places at which alike lines of the node may differ; a place of value null is done with."""
+    found, state = [], written(candidates, "line-nodes")
+    while True:
+        counts = state.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        large = written(counts.filter(F.col("n") > small).select(F.col("node").alias("_large")), "line-large")
+        at_large = F.col("node") == F.col("_large")
+        rest = state.join(broadcast_if_small(large, 16), at_large, "left_anti")
+        nodes = rest.groupBy("node").agg(F.collect_list(F.struct("own", "words", "may", "lo")).alias("_members"))
+        compared = nodes.filter(F.size("_members") > 1).select(F.explode(let(F.col("_members"), _near)).alias("_r"))
+        found.append(written(compared.select("_r.own", "_r.first"), "line-firsts"))  # at most ``small`` members each
+        if large.isEmpty():
+            break
+        full = written(state.join(broadcast_if_small(large, 16), at_large, "left_semi"), "line-full")
+        places = (full.select("node", "may", F.posexplode("words").alias("place", "word")).groupBy("node", "place")
+                  .agg(F.max("may").alias("may"), (F.min("word") < F.max("word")).alias("varies"),
+                       F.approx_count_distinct("word").alias("kinds")))
+        shapes = written(places.groupBy(F.col("node").alias("_node")).agg(
+            F.max("may").alias("_may"), F.count_if("varies").alias("_varying"),
+            F.max_by("place", F.struct("varies", "kinds", -F.col("place"))).alias("_place")), "line-shapes")
+        done = shapes.filter("_varying <= _may").select("_node")
+        alike = full.join(broadcast_if_small(done, 16), F.col("node") == F.col("_node")).drop("_node")
+        least = alike.groupBy(F.col("node").alias("_n")).agg(F.min("lo").alias("first"))
+        found.append(written(alike.join(broadcast_if_small(least, 24), F.col("node") == F.col("_n")).select(
+            "own", "first"), "line-alike"))
+        split = shapes.filter("_varying > _may").select("_node", "_place")
+        at = full.join(broadcast_if_small(split, 24), F.col("node") == F.col("_node"))
+        word = F.get("words", F.col("_place"))
+        done_with = F.transform("words", lambda w, i: F.when(i != F.col("_place"), w))
+        exact = F.struct(F.xxhash64("node", "_place", word).alias("node"), F.col("words").alias("words"), F.col("may").alias("may"))
+        either = F.struct(F.xxhash64("node", F.lit(-1), F.col("_place")).alias("node"), done_with.alias("words"),
+                          (F.col("may") - 1).alias("may"))
+        grown = F.when(F.col("may") > 0, F.array(exact, either)).otherwise(F.array(exact))
+        state = written(at.select("own", "lo", F.explode(grown).alias("_g")).select(
+            "_g.node", "own", "_g.words", "_g.may", "lo"), "line-nodes")
+    return reduce(DataFrame.unionByName, found).groupBy("own").agg(F.min("first").alias("first"))
+
+
+def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
+    """(doc, version, pos, first): each line of a recurring template, and the first document that has it."""
+    own = F.xxhash64("m", F.lit(1))
+    lines = written(_lines(df, id_col, text_col).select("doc", "version", "pos", _leaf(F.col("m")).alias("leaf"),
+                                                       own.alias("own"), "m"), "lines")  # the texts are read once
+    kinds = written(lines.groupBy("leaf", "own").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), "line-kinds")
+
+    # only leaves of two or more different lines, from two or more documents, can generalise
+    shared = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    shared = written(shared.filter("n > 1 AND lo < hi").select(F.col("leaf").alias("_leaf")), "line-leaves")
+    texts = (lines.select("leaf", "own", "m", "doc").join(broadcast_if_small(shared, 8), F.col("leaf") == F.col("_leaf"), "left_semi")
+             .groupBy("leaf", "own", "m").agg(F.min("doc").alias("lo")))
+    words = F.split("m", " ")
+    firsts = _firsts(texts.select(F.col("leaf").alias("node"), "own", words.alias("words"),
+                                  F.floor(F.size(words) * (100 - SIMILAR) / 100).cast("int").alias("may"), "lo"), small)
+
+    placed = kinds.join(firsts.withColumnRenamed("own", "_own"), F.col("own") == F.col("_own"), "left")
+    recurring = placed.select(F.col("own").alias("_o"), "hi", F.least("lo", F.col("first")).alias("first"))
+    recurring = recurring.filter("first < hi").drop("hi")
+    return lines.select("doc", "version", "pos", "own").join(recurring, F.col("own") == F.col("_o")).select(
+        "doc", "version", "pos", "first")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          count_col: str | None = "dropped_lines") -> DataFrame:
+          count_col: str | None = "dropped_lines", small: int = SMALL) -> DataFrame:
     """``df`` with recurring lines dropped from the text, and their number (int) in ``count_col``."""
-    gone = (templates(df, id_col, text_col).filter(F.col("owner") < F.col("doc"))
-            .groupBy("doc", "version").agg(F.collect_set("pos").alias("_gone"))  # at most a document's lines
-            .withColumnsRenamed({"doc": "_doc", "version": "_version"}))
+    gone = (templates(df.select(id_col, text_col), id_col, text_col, small).filter(F.col("first") < F.col("doc"))
+            .groupBy("doc", "version").agg(F.collect_set("pos").alias("gone")))  # at most a document's lines
     gone = written(gone, "line-dropped")
-    keyed = df.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(
-        "_of", F.xxhash64(text_col))
-    out = keyed.join(gone, (F.col("_key") == F.col("_doc")) & (F.col("_of") == F.col("_version")), "left")
-    at = F.map_from_arrays("_gone", F.array_repeat(F.lit(True), F.size("_gone")))
-    kept = F.filter(F.split(text_col, "\n"), lambda line, i: F.element_at(F.col("_at"), i).isNull())
-    rest = [c for c in df.columns if c not in (text_col, count_col)]
-    out = out.withColumn("_at", at)
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    count = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
-    return out.select(*rest, text.alias(text_col), *([count.alias(count_col)] if count_col else []))
+    row = F.col("row")
+    keyed = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"))  # no name of the input is in the way
+    keyed = keyed.select("row", F.coalesce(row[id_col].cast("long"), F.lit(_LAST)).alias("of"),
+                         F.xxhash64(row[text_col]).alias("text_hash"))
+    out = keyed.join(gone, (F.col("of") == F.col("doc")) & (F.col("text_hash") == F.col("version")), "left")
+
+    def left_over(pieces: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), "\n")
+
+    text = F.when(F.col("gone").isNull(), row[text_col]).otherwise(let(F.split(row[text_col], "\n"), left_over))
+    count = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return out.select(*(row[c].alias(c) for c in df.columns if c not in (text_col, count_col)), text.alias(text_col),
+                      *([count.alias(count_col)] if count_col else []))

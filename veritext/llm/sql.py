@@ -13,12 +13,8 @@ def deduped(docs: str) -> str:
     """CTEs that end in ``dedup_out``: the columns of ``docs``, text without the dropped lines, and
     dropped_lines."""
     leaf = "[len(tk)::VARCHAR, tk[1], coalesce(tk[2], ''), coalesce(tk[3], '')]"
-    near = ("100 * len(list_filter(list_zip(tk, string_split(first, ' ')), lambda z: z[1] = z[2])) "
-            f">= {lines.SIMILAR} * len(tk)")
-    groups = " ".join(
-        f"""c{i} AS (SELECT g{i}.*, first, {near} AS near FROM g{i} JOIN (SELECT leaf, min(m) AS first FROM g{i} GROUP BY 1)
-   USING (leaf)), g{i + 1} AS (SELECT m, tk, leaf FROM c{i} WHERE NOT near),""" for i in range(lines.GROUPS))
-    matched = " UNION ALL ".join(f"SELECT m, first FROM c{i} WHERE near" for i in range(lines.GROUPS))
+    near = ("100 * len(list_filter(list_zip(a.tk, b.tk), lambda z: z[1] = z[2])) "
+            f">= {lines.SIMILAR} * len(a.tk)")
     return rf"""
  dd AS (SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS doc, * FROM {docs}),
  ln AS (SELECT rid, doc, text, unnest(string_split(text, chr(10))) AS line,
@@ -26,12 +22,9 @@ def deduped(docs: str) -> str:
  mk AS (SELECT rid, doc, text, pos, m, string_split(m, ' ') AS tk FROM (SELECT *,
    regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '),
      '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m FROM ln) WHERE m <> ''),
- g0 AS (SELECT DISTINCT m, tk, {leaf} AS leaf FROM mk),
- {groups}
- same AS (SELECT m, first FROM ({matched})),
- tp AS (SELECT mk.rid, mk.doc, mk.pos, coalesce(same.first, mk.m) AS template FROM mk LEFT JOIN same ON mk.m = same.m),
- ow AS (SELECT template, min(doc) AS owner, max(doc) AS last FROM tp GROUP BY 1 HAVING min(doc) < max(doc)),
- gone AS (SELECT rid, list(pos) AS ps FROM tp JOIN ow USING (template) WHERE owner < doc GROUP BY 1),
+ g0 AS (SELECT m, tk, {leaf} AS leaf, min(doc) AS lo FROM mk GROUP BY m, tk),
+ fr AS (SELECT a.m, min(b.lo) AS first FROM g0 a JOIN g0 b ON a.leaf = b.leaf AND b.lo <= a.lo AND {near} GROUP BY 1),
+ gone AS (SELECT rid, list(pos) AS ps FROM mk JOIN fr USING (m) WHERE first < doc GROUP BY 1),
  dedup_out AS (SELECT dd.* EXCLUDE (rid, doc) REPLACE (CASE WHEN ps IS NULL THEN text ELSE array_to_string(
     list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(ps, i)), chr(10)) END AS text),
    coalesce(len(ps), 0)::BIGINT AS dropped_lines FROM dd LEFT JOIN gone USING (rid))"""
