@@ -8,12 +8,13 @@ dropped; so a recurring template's lines stay in the first document that has it.
 The first document of each line's templates is found without comparing all pairs. Lines are counted into
 leaves by hash, pre-aggregated before any shuffle, so a line that is in every document costs one row per
 task, and the text of a line moves only if its leaf holds another one. A leaf of up to ``SMALL`` different
-lines is compared within one row. A larger one grows further nodes, one place at a time, at the place with
-the most different words: a line goes to the node of its word there, and to the node "any word", which takes
-one of the places that may differ. Alike lines always meet in a node, since they go to the same one wherever
-they agree and to "any word" where they differ. A node is done when it is small, or when the places that
-still vary are no more than may differ (then all its lines are alike); a node out of places that may differ
-has no "any word". So the number of rounds depends on the words of a line, not on the number of lines.
+lines is compared within one row. In a larger one, all lines are compared with the ``SMALL`` of the earliest
+documents, which settles the families of near copies; if lines are left that are like none of these, the node
+grows, one place at a time, at the place with the most different words: a line goes to the node of its word
+there, and to the node "any word", which takes one of the places that may differ. Alike lines always meet in
+a node, since they go to the same one wherever they agree and to "any word" where they differ; a node out of
+places that may differ has no "any word", and one where no line is left to settle ends. So the number of
+rounds depends on the words of a line, not on the number of lines.
 
 Defined results: a null text stays null; lines without a word are kept; rows with one id are one document,
 so copies of a row drop nothing from each other; null ids come after all others and are one document; an
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritext.llm.common import WORD_SEPARATORS, broadcast_if_small, let, written
@@ -69,52 +70,60 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .transform(masked, "line").drop("line").filter("m <> ''"))
 
 
-def _near(members: Column) -> Column:
-    """Per member of a node (own, words, may, lo), the least ``lo`` of the members it is alike."""
-    def differ(x: Column, y: Column) -> Column:
+def _first_alike(x: Column, members: Column) -> Column:
+    """The least ``lo`` of the members (words, lo) that differ from ``x`` (words, may) at no more places than
+    may differ; null without such."""
+    def differ(y: Column) -> Column:
         unlike = F.zip_with(x["words"], y["words"], lambda a, b: (~a.eqNullSafe(b)).cast("int"))
         return F.aggregate(unlike, F.lit(0), lambda n, one: n + one)
 
-    return F.transform(members, lambda x: F.struct(x["own"].alias("own"), F.array_min(F.transform(
-        F.filter(members, lambda y: (y["lo"] <= x["lo"]) & (differ(x, y) <= x["may"])), lambda y: y["lo"])).alias("first")))
+    return F.array_min(F.transform(F.filter(members, lambda y: differ(y) <= x["may"]), lambda y: y["lo"]))
 
 
 def _firsts(candidates: DataFrame, small: int) -> DataFrame:
     """(own, first): the first document of any alike line, for the lines (node, own, words, may, lo) of a leaf.
     ``may``: places at which alike lines of the node may differ; a place of value null is done with."""
-    found, state = [], written(candidates, "line-nodes")
+    found, state = [], written(candidates.withColumn("seeks", F.lit(True)), "line-nodes")
     while True:
-        counts = state.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        large = written(counts.filter(F.col("n") > small).select(F.col("node").alias("_large")), "line-large")
+        counts = state.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("seeks").alias("sought"))
+        large = written(counts.filter(F.col("n") > small).select(F.col("node").alias("_large"), "sought"), "line-large")
         at_large = F.col("node") == F.col("_large")
-        rest = state.join(broadcast_if_small(large, 16), at_large, "left_anti")
-        nodes = rest.groupBy("node").agg(F.collect_list(F.struct("own", "words", "may", "lo")).alias("_members"))
-        compared = nodes.filter(F.size("_members") > 1).select(F.explode(let(F.col("_members"), _near)).alias("_r"))
-        found.append(written(compared.select("_r.own", "_r.first"), "line-firsts"))  # at most ``small`` members each
-        if large.isEmpty():
+        rest = state.join(broadcast_if_small(large, 17), at_large, "left_anti")
+        nodes = rest.groupBy("node").agg(F.collect_list(F.struct("own", "words", "may", "lo", "seeks")).alias("members"))
+        compared = nodes.filter(F.size("members") > 1).select(F.explode(F.transform(  # at most ``small`` members each
+            F.filter("members", lambda x: x["seeks"]),
+            lambda x: F.struct(x["own"].alias("own"), _first_alike(x, F.col("members")).alias("first")))).alias("r"))
+        found.append(written(compared.select("r.own", "r.first"), "line-firsts"))
+        live = large.filter("sought").select("_large")
+        if live.isEmpty():
             break
-        full = written(state.join(broadcast_if_small(large, 16), at_large, "left_semi"), "line-full")
-        places = (full.select("node", "may", F.posexplode("words").alias("place", "word")).groupBy("node", "place")
-                  .agg(F.max("may").alias("may"), (F.min("word") < F.max("word")).alias("varies"),
-                       F.approx_count_distinct("word").alias("kinds")))
-        shapes = written(places.groupBy(F.col("node").alias("_node")).agg(
-            F.max("may").alias("_may"), F.count_if("varies").alias("_varying"),
-            F.max_by("place", F.struct("varies", "kinds", -F.col("place"))).alias("_place")), "line-shapes")
-        done = shapes.filter("_varying <= _may").select("_node")
-        alike = full.join(broadcast_if_small(done, 16), F.col("node") == F.col("_node")).drop("_node")
-        least = alike.groupBy(F.col("node").alias("_n")).agg(F.min("lo").alias("first"))
-        found.append(written(alike.join(broadcast_if_small(least, 24), F.col("node") == F.col("_n")).select(
-            "own", "first"), "line-alike"))
-        split = shapes.filter("_varying > _may").select("_node", "_place")
-        at = full.join(broadcast_if_small(split, 24), F.col("node") == F.col("_node"))
-        word = F.get("words", F.col("_place"))
-        done_with = F.transform("words", lambda w, i: F.when(i != F.col("_place"), w))
-        exact = F.struct(F.xxhash64("node", "_place", word).alias("node"), F.col("words").alias("words"), F.col("may").alias("may"))
-        either = F.struct(F.xxhash64("node", F.lit(-1), F.col("_place")).alias("node"), done_with.alias("words"),
+        full = written(state.join(broadcast_if_small(live, 16), at_large, "left_semi"), "line-full")
+        early = F.row_number().over(Window.partitionBy("node").orderBy("lo", "own"))
+        heads = full.select("node", "words", "lo", early.alias("rank")).filter(F.col("rank") <= small).groupBy(
+            F.col("node").alias("_node")).agg(F.collect_list(F.struct("words", "lo")).alias("heads"))
+        tried = full.filter("seeks").join(heads, F.col("node") == F.col("_node")).select("node", "own", _first_alike(
+            F.struct("words", "may"), F.col("heads")).alias("first"))
+        tried = written(tried, "line-tried")
+        found.append(tried.filter("first IS NOT NULL").select("own", "first"))
+        still = tried.filter("first IS NULL").select(F.col("node").alias("_n"), F.col("own").alias("_o"))
+        open_ = written(still.groupBy(F.col("_n").alias("_open")).agg(F.count(F.lit(1)).alias("_lines")), "line-open")
+        if open_.isEmpty():
+            break
+        full = full.drop("seeks").join(broadcast_if_small(open_, 24), F.col("node") == F.col("_open"))
+        places = (full.select("node", F.posexplode("words").alias("place", "word")).groupBy("node", "place")
+                  .agg((F.min("word") < F.max("word")).alias("varies"), F.approx_count_distinct("word").alias("kinds")))
+        split = written(places.filter("varies").groupBy(F.col("node").alias("_node")).agg(
+            F.max_by("place", F.struct("kinds", -F.col("place"))).alias("place")), "line-places")
+        at = full.join(broadcast_if_small(split, 24), F.col("node") == F.col("_node")).join(
+            still, (F.col("node") == F.col("_n")) & (F.col("own") == F.col("_o")), "left")
+        done_with = F.transform("words", lambda w, i: F.when(i != F.col("place"), w))
+        exact = F.struct(F.xxhash64("node", "place", F.get("words", F.col("place"))).alias("node"), F.col("words").alias("words"),
+                         F.col("may").alias("may"))
+        either = F.struct(F.xxhash64("node", F.lit(-1), F.col("place")).alias("node"), done_with.alias("words"),
                           (F.col("may") - 1).alias("may"))
         grown = F.when(F.col("may") > 0, F.array(exact, either)).otherwise(F.array(exact))
-        state = written(at.select("own", "lo", F.explode(grown).alias("_g")).select(
-            "_g.node", "own", "_g.words", "_g.may", "lo"), "line-nodes")
+        state = written(at.select("own", "lo", F.col("_o").isNotNull().alias("seeks"), F.explode(grown).alias("g")).select(
+            "g.node", "own", "g.words", "g.may", "lo", "seeks"), "line-nodes")
     return reduce(DataFrame.unionByName, found).groupBy("own").agg(F.min("first").alias("first"))
 
 
