@@ -65,8 +65,8 @@ def test_long_lines_are_masked_in_linear_time(spark):
     assert got == {1: (0, 1_000_002), 2: (1, 0), 3: (0, 900_000), 4: (0, 1_599_999)}
 
 
-@pytest.mark.parametrize("anchor_bytes", [substrings.ANCHOR_BYTES, 0])
-def test_automata_are_bounded(spark, monkeypatch, anchor_bytes):
+@pytest.mark.parametrize("bits", [substrings.ANCHOR_BITS, 15, 3])  # a full bitmap lets all through
+def test_automata_are_bounded(spark, monkeypatch, bits):
     """A phrase in ever different surroundings: no automaton gets more than ``shard`` passages, no window is lost."""
     rng = random.Random(4)
     phrase = [f"p{i}" for i in range(9)]
@@ -81,6 +81,6 @@ def test_automata_are_bounded(spark, monkeypatch, anchor_bytes):
     monkeypatch.setattr(substrings, "_first_documents", watched)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup(
-        df, anchor_bytes=anchor_bytes, shard=4).collect()}
+        df, bits=bits, shard=4).collect()}
     want = without_repeats(texts)
     assert got == want and any(n for _, n, _ in want.values()) and max(largest) <= 4

@@ -70,10 +70,10 @@ def test_language(spark):
     assert langid.identify(empty_docs(spark), langid.fit(docs)).collect() == []
 
 
-@pytest.mark.parametrize("anchor_bytes", [substrings.ANCHOR_BYTES, 0])
-def test_substrings(spark, anchor_bytes):
+@pytest.mark.parametrize("bits", [substrings.ANCHOR_BITS, 15, 3])  # a full bitmap lets all through
+def test_substrings(spark, bits):
     rows = edge_rows()
-    got = substrings.dedup(edge_docs(spark), anchor_bytes=anchor_bytes).collect()
+    got = substrings.dedup(edge_docs(spark), bits=bits).collect()
     assert len(got) == N
     texts = {r[0]: r[1] for r in rows if r[0] is not None and r[0] != 13}
     want = without_repeats(texts)
@@ -168,12 +168,19 @@ def test_language_model(spark):
 def test_top_k(spark):
     v = [(1, [0.5, 0.5], 0), (1, [0.5, 0.5], 0), (2, [0.5, 0.5], 0), (3, None, 0), (4, [0.1, None], 0), (5, [float("nan"), 1.0], 0),
          (6, [float("inf"), 1.0], 0), (7, [-0.5, 0.25], 0), (8, [], 0), (9, [1.0], 0), (None, [0.5, 0.5], 0), (10, [0.5, 0.5], 0),
-         (11, [1e30, 0.0], 0)]
-    df = spark.createDataFrame([(*r, "x") for r in v], "vec_id long, embedding array<float>, label int, score string")
-    got = topk.top_k(df, F.col("id").isin(1, 9, 10), k=2).collect()
-    ten = [(r["rank"], r["vec_id"]) for r in got if r["query_id"] == 10]
-    assert sorted(ten) == [(1, 11), (2, 1)]  # ties go to the smaller id
-    assert all(r["vec_id"] != r["query_id"] for r in got) and not [r for r in got if r["query_id"] == 9]
+         (11, [1e30, 0.0], 0), (12, [1e14, 0.0], 0), (12, [-1e14, 1.0], 0)]
+    df = spark.createDataFrame([(*r, "x") for r in v], "vec_id long, embedding array<double>, label int, score string")
+    got = topk.top_k(df, F.col("id").isin(1, 9, 10, 12), k=2).collect()
+    ten = [(r["rank"], r["vec_id"], int(r["score"])) for r in got if r["query_id"] == 10]
+    assert sorted(ten) == [(1, 12, 128 * int(256e14)), (2, 1, 2 * 128 * 128)]  # ties go to the smaller id
+    # rows of one id are candidates for each other, a row never for itself
+    one = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == 1)
+    assert one == [(1, 12), (1, 12), (2, 1), (2, 1)]
+    twelve = sorted((r["rank"], r["vec_id"], int(r["score"])) for r in got if r["query_id"] == 12)
+    # the two rows of id 12 are far apart; of the others, the second one's best is 7
+    assert twelve == [(1, 1, 128 * int(256e14)), (1, 7, 128 * int(256e14) + 256 * 64), (2, 1, -128 * int(256e14) + 256 * 128),
+                      (2, 1, 128 * int(256e14))]
+    assert not [r for r in got if r["query_id"] == 9]
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).collect() == []
 
 

@@ -44,3 +44,25 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Broadcast hint for a written table of rows of at most ``row_bytes``; beyond BROADCAST_BYTES the
     join stays a shuffle join, whose skew adaptive execution splits."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+#: Bits of one piece of a bitmap, as Spark's bitmap functions make them.
+PIECE_BITS = 1 << 15
+
+
+def bitmap(df: DataFrame, bit_col: str, bits: int) -> DataFrame:
+    """(bucket, map): a bitmap of the numbers of ``bit_col`` (0 to 2**bits - 1), in pieces of 4 KB: whatever the
+    rows, at most 2**(bits - 15) pieces."""
+    return df.groupBy(F.expr(f"{bit_col} div {PIECE_BITS}").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col(bit_col) % PIECE_BITS).alias("map"))
+
+
+def bit_is_set(df: DataFrame, pieces: DataFrame, bit_col: str, out: str) -> DataFrame:
+    """``df`` with ``out``: whether the bit of ``bit_col`` is set in a bitmap of fixed size, which is broadcast."""
+    piece = pieces.select(F.col("bucket").alias("_bucket"), F.col("map").alias("_map"))
+    place = F.col(bit_col) % PIECE_BITS
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.expr(f"({bit_col} % {PIECE_BITS}) div 8") + 1).cast("int"), F.lit(1))), 16, 10)
+    flag = F.expr("shiftright(_byte, _shift)").bitwiseAND(F.lit(1)) == 1
+    joined = df.join(F.broadcast(piece), F.expr(f"{bit_col} div {PIECE_BITS}") == F.col("_bucket"), "left")
+    joined = joined.withColumn("_byte", byte.cast("int")).withColumn("_shift", (place % 8).cast("int"))
+    return joined.withColumn(out, F.coalesce(flag, F.lit(False))).drop("_bucket", "_map", "_byte", "_shift")

@@ -3,14 +3,16 @@
 Per language, letter 3-grams (a word is padded by a space on each side) are counted over all training
 texts into a hashed table of fixed size. A document is a mixture: each of its words comes from one
 language, with the likelihood of its n-grams; expectation-maximisation estimates the languages'
-proportions. The language set is the best of the nested sets of the 1, 2, ... ``MOST_LANGUAGES``
-languages of largest share by penalised likelihood (BIC); the prediction is the largest share in it.
+proportions. The language set is chosen among the nested sets of the 1, 2, ... languages of largest share:
+it grows, up to all that were learned, as long as the penalised likelihood (BIC) rises; the prediction is the
+largest share in it.
 
 Only texts and labels of training rows are learned from, only texts are predicted from.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text when
 there is nothing to learn from; ties go to the smaller language name; repeated rows are predicted alike;
-an empty table gives an empty result; other columns pass through, clashing output columns are replaced.
+an empty table gives an empty result; long texts are read whole, a text at a time; other columns pass
+through, clashing output columns are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from veritext.llm.bpe import ENDS, LETTER, E, L, R, V, class_table
 #: Buckets of the n-gram tables: half a megabyte of counts per language.
 BUCKETS = 1 << 17
 SMOOTHING = 0.05
-MOST_LANGUAGES = 3
 ROUNDS = 8
 PENALTY = 3.0
 BATCH_CHARS = 500_000
@@ -125,13 +126,20 @@ def mixtures(texts: list[str], logs: np.ndarray) -> np.ndarray:
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best_value, best = np.full(len(some), -np.inf), np.zeros_like(share)
-    for size in range(1, min(MOST_LANGUAGES, len(logs)) + 1):
-        inside = np.where(rank < size, np.maximum(share, 1e-6), 0.0)
+    rising = np.arange(len(some))  # texts whose set still grows
+    for size in range(1, len(logs) + 1):
+        inside = np.where(rank[rising] < size, np.maximum(share[rising], 1e-6), 0.0)
         inside /= inside.sum(axis=1, keepdims=True)
-        fitted, value = _expect(like, inside, first, words, ROUNDS // 2 if size > 1 else 0)
-        value = value - PENALTY * (size - 1) * np.log(words + 1)
-        better = value > best_value
-        best_value[better], best[better] = value[better], fitted[better]
+        held = np.isin(np.repeat(np.arange(len(some)), words), rising)
+        n = words[rising]
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        fitted, value = _expect(like[held], inside, starts, n, ROUNDS // 2 if size > 1 else 0)
+        value = value - PENALTY * (size - 1) * np.log(n + 1)
+        better = value > best_value[rising]
+        rising = rising[better]
+        if not len(rising):
+            break
+        best_value[rising], best[rising] = value[better], fitted[better]
     out[some] = best
     return out
 

@@ -4,12 +4,15 @@ Each document's measures are counted into mergeable quantile sketches: histogram
 the two leading digits of a value (so every quantile is known to a tenth of its value or better), one
 per language, source and measure. Sketches merge by adding counts, so a (language, source) with few
 documents uses its language's sketch, and a small language the whole corpus's. The upper and lower
-fence of each measure follow from the sketch's quartiles; the fences are joined back to the documents,
-and a document beyond any fence goes. A fixed base rule (too few words, or too repetitive) applies too.
+fence of each measure follow from two of the sketch's quantiles alone (``FENCES``), with no fixed width or
+floor: where nearly all documents of a group have no symbols, few symbols are too many. The fences are joined
+back to the documents, and a document beyond any fence goes. A fixed base rule (too few words, or too
+repetitive) applies too.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and sources
 are groups of their own; repeated rows count as often as they occur and are judged alike; an empty table
-gives an empty result; other columns may have any name, only the named ones are read.
+gives an empty result; long texts are judged whole; other columns may have any name, only the named ones are
+read.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Documents that a group's own sketch needs; below, the next wider sketch is used.
 MIN_GROUP = 200
-#: Fences lie this many quartile distances beyond the quartiles, and at least SLACK away from them
-#: (measures are per thousand words or characters), so that a uniform group rejects nobody by a hair.
-REACH = 4
-SLACK = {"word_len": 1500, "symbols": 90, "dup_lines": 500}
+#: Per measure: two quantiles of the sketch, in percent, and how many times their distance the fences lie
+#: beyond them. Word lengths spread on both sides; symbols and repeated lines are absent from most documents,
+#: so their fences start further out.
+FENCES = {"word_len": (25, 75, 8), "symbols": (50, 90, 4), "dup_lines": (50, 99, 1)}
 
 
 def _repeat_words(w: Column) -> Column:
@@ -108,7 +111,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     by_lang = sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     whole = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
 
-    def quartiles(s: DataFrame, keys: list[str]) -> DataFrame:
+    def spec(i: int) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for m, f in FENCES.items() for x in (m, f[i]))), F.col("measure"))
+
+    def quantiles(s: DataFrame, keys: list[str]) -> DataFrame:
         # a sketch has about 90 buckets per power of ten: these windows hold buckets, not documents
         upto = Window.partitionBy(*keys, "measure").orderBy("bucket")
         every = Window.partitionBy(*keys, "measure")
@@ -116,14 +122,14 @@ def fences(sketch: DataFrame) -> DataFrame:
                           F.sum("n").over(every).alias("docs"))
         return ranked.groupBy(*keys, "measure").agg(
             F.max("docs").alias("docs"),
-            F.min(F.when(4 * F.col("_upto") >= F.col("docs"), F.col("bucket"))).alias("q1"),
-            F.min(F.when(4 * F.col("_upto") >= 3 * F.col("docs"), F.col("bucket"))).alias("q3"))
+            *(F.min(F.when(100 * F.col("_upto") >= spec(i) * F.col("docs"), F.col("bucket"))).alias(q)
+              for i, q in enumerate(("q1", "q3"))))
 
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(by_lang, ["lang"]).select(
+    own = quantiles(sketch, ["lang", "source"])
+    lang = quantiles(by_lang, ["lang"]).select(
         F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"),
         *(F.col(c).alias(f"l_{c}") for c in ("docs", "q1", "q3")))
-    every = quartiles(whole, []).select(F.col("measure").alias("a_measure"),
+    every = quantiles(whole, []).select(F.col("measure").alias("a_measure"),
                                         *(F.col(c).alias(f"a_{c}") for c in ("q1", "q3")))
     j = (own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")))
          .join(every, F.col("measure") == F.col("a_measure")))
@@ -132,12 +138,11 @@ def fences(sketch: DataFrame) -> DataFrame:
         return (F.when(F.col("docs") >= MIN_GROUP, F.col(q))
                 .when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}")))
 
-    slack = F.element_at(F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv)), F.col("measure"))
-    reach = F.greatest(REACH * (pick("q3") - pick("q1")), slack)
+    reach = spec(2) * (pick("q3") - pick("q1"))
     fence = j.select("lang", "source", "measure", (pick("q1") - reach).alias("low"), (pick("q3") + reach).alias("high"))
     return fence.groupBy("lang", "source").agg(
         *(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}")
-          for m in SLACK for side in ("low", "high")))
+          for m in FENCES for side in ("low", "high")))
 
 
 def judge(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
@@ -160,8 +165,13 @@ def judge(df: DataFrame, lang_col: str = "lang", source_col: str = "source", tex
 def accepted(df: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source",
              text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that pass. Rows are matched by id and hash of the text."""
-    rows = df.withColumn("_version", F.xxhash64(lang_col, source_col, text_col))
-    good = judge(rows, lang_col, source_col, text_col, keep=(id_col, "_version")).filter("kept")
-    good = good.select(F.col(id_col).alias("_id"), F.col("_version").alias("_v"))
-    return rows.join(good, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")),
-                     "left_semi").select(*df.columns)
+    row = F.col("row")
+    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"))  # no name of the input is in the way
+    version = F.xxhash64(row[lang_col], row[source_col], row[text_col])
+    rows = rows.select("row", row[id_col].alias("id"), version.alias("version"), row[lang_col].alias("lang"),
+                       row[source_col].alias("source"), row[text_col].alias("text"))
+    good = judge(rows, "lang", "source", "text", keep=("id", "version")).filter("kept").select(
+        F.col("id").alias("_id"), F.col("version").alias("_v"))
+    kept = rows.select("row", "id", "version").join(
+        good, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_v")), "left_semi")
+    return kept.select(*(row[c].alias(c) for c in df.columns))

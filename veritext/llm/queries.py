@@ -53,7 +53,8 @@ def op5_url_filters(spark, sf_dir):
     """Explicit rules, else the empirical-Bayes reputation of the host."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = urls.judge(pages, table(spark, sf_dir, "labels"), URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "host_labelled", "host_bad",
+                         F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_rate_low", 6).alias("bad_rate_low"))
 
 
 def op6_mixing(spark, sf_dir):
@@ -88,7 +89,8 @@ def op9_lm_scoring(spark, sf_dir):
 
 def op10_top_k(spark, sf_dir):
     """The 5 best inner products of every 50th vector against all others."""
-    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+    best = topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+    return best.withColumn("score", F.expr("try_cast(score AS BIGINT)"))
 
 
 def op11_embedding_whitening(spark, sf_dir):

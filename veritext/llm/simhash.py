@@ -16,8 +16,8 @@ Fingerprints within ``max_bits`` differing bits are linked; connected documents
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows and ids keep a row each; a
-component whose ids are all null has a null id; an empty table gives an empty result. Of the other
-columns only the named ones are read.
+component whose ids are all null has a null id; an empty table gives an empty result; a long text is read
+whole, eight bytes per word. Of the other columns only the named ones are read.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     else:
         grams = map(b" ".join, zip(*(w[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], np.uint64)
+    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at:at + (1 << 16)]
@@ -294,13 +294,18 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     max_bits: int = MAX_BITS) -> DataFrame:
     """One row of ``df`` per component: the one of smallest id (a null id comes last, then by the hash of
     the text)."""
-    rows = df.withColumn("_version", F.xxhash64(text_col))
-    docs = written(fingerprints(rows.select(id_col, "_version", text_col), text_col, shingle), "simhash-fingerprints")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_version"))
+    row = F.col("row")
+    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"))  # no name of the input is in the way
+    rows = rows.select("row", row[id_col].alias("id"), F.xxhash64(row[text_col]).alias("version"), row[text_col].alias("text"))
+    docs = written(fingerprints(rows.select("id", "version", "text"), "text", shingle), "simhash-fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "version"))
     placed = _placed(docs, max_bits)
     best = docs.groupBy("fp").agg(first.alias("m")).join(placed, F.col("fp") == F.col("_fp"))
-    best = best.groupBy("_root").agg(F.min("m").alias("m")).select(F.col("m.id").alias("_id"), F.col("m._version").alias("_v"))
-    best = written(best, "simhash-representatives")
-    kept = rows.join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left_semi")
-    # equal rows are one document
-    return kept.dropDuplicates([id_col, "_version"]).select(*df.columns)
+    best = best.groupBy("_root").agg(F.min("m").alias("m")).select(F.col("m.id").alias("_id"), F.col("m.version").alias("_v"))
+    times = docs.groupBy(F.col("id").alias("_i"), F.col("version").alias("_w")).agg(F.count(F.lit(1)).alias("times"))
+    best = written(best.join(times, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_v") == F.col("_w"))).select(
+        "_id", "_v", "times"), "simhash-representatives")
+    kept = rows.select("row", "id", "version").join(best, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_v")))
+    # equal rows are one document; only such rows are moved again
+    once = kept.filter("times = 1").unionByName(kept.filter("times > 1").dropDuplicates(["id", "version"]))
+    return once.select(*(row[c].alias(c) for c in df.columns))

@@ -36,6 +36,10 @@ SELECT doc_id, dropped_lines, length(text)::BIGINT AS n_chars, sha256(text) AS t
 # -- op2 --------------------------------------------------------------------------------------
 
 
+def _share(i: int) -> str:
+    return f"(CASE measure {' '.join(f'WHEN {chr(39)}{m}{chr(39)} THEN {f[i]}' for m, f in quality.FENCES.items())} END)"
+
+
 def quality_measured(docs: str, text: str = "text") -> str:
     """doc_id, lang, source and the measures of ``docs``."""
     return rf"""
@@ -64,15 +68,15 @@ def quality_measured(docs: str, text: str = "text") -> str:
    ON word_len, symbols, dup_lines INTO NAME measure VALUE v),
  sketch AS (SELECT lang, source, measure, v - v % (10 ** greatest(length(v::VARCHAR) - 2, 0))::BIGINT AS b,
    count(*) AS n FROM long GROUP BY ALL),
- q_own AS (SELECT lang, source, measure, max(d) AS d, min(b) FILTER (4 * u >= d) AS q1, min(b) FILTER (4 * u >= 3 * d) AS q3
+ q_own AS (SELECT lang, source, measure, max(d) AS d, min(b) FILTER (100 * u >= {_share(0)} * d) AS q1, min(b) FILTER (100 * u >= {_share(1)} * d) AS q3
   FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) AS u,
     sum(n) OVER (PARTITION BY lang, source, measure) AS d FROM sketch) GROUP BY ALL),
  s_lang AS (SELECT lang, measure, b, sum(n) AS n FROM sketch GROUP BY ALL),
- q_lang AS (SELECT lang, measure, max(d) AS d, min(b) FILTER (4 * u >= d) AS q1, min(b) FILTER (4 * u >= 3 * d) AS q3
+ q_lang AS (SELECT lang, measure, max(d) AS d, min(b) FILTER (100 * u >= {_share(0)} * d) AS q1, min(b) FILTER (100 * u >= {_share(1)} * d) AS q3
   FROM (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY b) AS u,
     sum(n) OVER (PARTITION BY lang, measure) AS d FROM s_lang) GROUP BY ALL),
  s_all AS (SELECT measure, b, sum(n) AS n FROM s_lang GROUP BY ALL),
- q_all AS (SELECT measure, min(b) FILTER (4 * u >= d) AS q1, min(b) FILTER (4 * u >= 3 * d) AS q3
+ q_all AS (SELECT measure, min(b) FILTER (100 * u >= {_share(0)} * d) AS q1, min(b) FILTER (100 * u >= {_share(1)} * d) AS q3
   FROM (SELECT *, sum(n) OVER (PARTITION BY measure ORDER BY b) AS u,
     sum(n) OVER (PARTITION BY measure) AS d FROM s_all) GROUP BY ALL),
  picked AS (SELECT o.lang, o.source, o.measure,
@@ -80,8 +84,7 @@ def quality_measured(docs: str, text: str = "text") -> str:
    CASE WHEN o.d >= {quality.MIN_GROUP} THEN o.q3 WHEN l.d >= {quality.MIN_GROUP} THEN l.q3 ELSE a.q3 END AS q3
   FROM q_own o JOIN q_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure
   JOIN q_all a ON o.measure = a.measure),
- fence AS (SELECT *, greatest({quality.REACH} * (q3 - q1), CASE measure
-   {' '.join(f"WHEN '{m}' THEN {v}" for m, v in quality.SLACK.items())} END) AS reach FROM picked),
+ fence AS (SELECT *, {_share(2)} * (q3 - q1) AS reach FROM picked),
  outside AS (SELECT DISTINCT long.rid FROM long JOIN fence f ON long.measure = f.measure
    AND long.lang IS NOT DISTINCT FROM f.lang AND long.source IS NOT DISTINCT FROM f.source
   WHERE v < q1 - reach OR v > q3 + reach),
@@ -94,7 +97,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 # -- op5 --------------------------------------------------------------------------------------
 
-_LONG = ", ".join(f"'{s}'" for s in urls.LONG_SUFFIXES)
+_KINDS = ", ".join(f"'{s}'" for s in urls.SECOND_LEVEL)
+_LONG = f"(regexp_matches(two, '^[^.]*[.][a-z][a-z]$') AND string_split(two, '.')[1] IN ({_KINDS}))"
 _LOW, _HIGH = urls.STRENGTH
 
 
@@ -113,8 +117,8 @@ OP5 = rf"""WITH
  known AS (SELECT doc_id, bool_or(toxic = 1 OR quality = 0) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
  outcomes AS (SELECT host, known.bad FROM parsed LEFT JOIN known
    ON TRY_CAST(nullif(regexp_extract(path, '([0-9]{{1,18}})(?:\.[A-Za-z]+)?/?$', 1), '') AS BIGINT) = known.doc_id),
- hosts AS (SELECT *, CASE WHEN two IN ({_LONG}) THEN two ELSE regexp_extract(host, '[^.]*$') END AS suffix,
-   CASE WHEN two IN ({_LONG}) THEN regexp_extract(host, '(?:[^.]*\.)?[^.]*\.[^.]*$') ELSE two END AS domain FROM
+ hosts AS (SELECT *, CASE WHEN {_LONG} THEN two ELSE regexp_extract(host, '[^.]*$') END AS suffix,
+   CASE WHEN {_LONG} THEN regexp_extract(host, '(?:[^.]*\.)?[^.]*\.[^.]*$') ELSE two END AS domain FROM
    (SELECT host, regexp_extract(host, '(?:[^.]*\.)?[^.]*$') AS two, count(bad)::DOUBLE AS n,
      (count(*) FILTER (bad))::DOUBLE AS bad FROM outcomes GROUP BY host)),
  total AS (SELECT (coalesce(sum(bad), 0) + 0.1::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM hosts),
@@ -127,13 +131,14 @@ OP5 = rf"""WITH
  hp AS (SELECT host, hosts.n, hosts.bad, (dom.bad + s2.s * dom.pm) / (dom.n + s2.s) AS pm
    FROM hosts JOIN dom USING (domain), s2),
  {_level('s3', 'hp')},
- post AS (SELECT host, (bad + s3.s * pm) / (n + s3.s) AS mean, n + s3.s AS w FROM hp, s3),
+ post AS (SELECT host, (bad + s3.s * pm) / (n + s3.s) AS mean, n + s3.s AS w, n, bad FROM hp, s3),
  judged AS (SELECT page_id, host, path, CASE
    {' '.join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for r in ('www.example.com/en/', 'example.com/en/', 'net/es/', 'net/fr/', 'com/'))}
-   END AS rule, mean - {urls.Z} * sqrt(mean * (1 - mean) / (w + 1)) AS low FROM parsed JOIN post USING (host))
-SELECT page_id, host, path, rule, CASE rule WHEN 'www.example.com/en/' THEN 'allow' WHEN 'example.com/en/' THEN 'block'
+   END AS rule, mean - {urls.Z} * sqrt(mean * (1 - mean) / (w + 1)) AS low, mean, n, bad FROM parsed JOIN post USING (host))
+SELECT page_id, host, path, rule, n::BIGINT AS host_labelled, bad::BIGINT AS host_bad, round(mean, 6) AS bad_rate,
+  round(low, 6) AS bad_rate_low, CASE rule WHEN 'www.example.com/en/' THEN 'allow' WHEN 'example.com/en/' THEN 'block'
   WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block' WHEN 'com/' THEN 'allow'
-  ELSE CASE WHEN low > {urls.MAX_BAD} THEN 'block' ELSE 'allow' END END AS verdict FROM judged"""
+  ELSE CASE WHEN low > total.m THEN 'block' ELSE 'allow' END END AS verdict FROM judged, total"""
 
 # -- op6 --------------------------------------------------------------------------------------
 
@@ -141,8 +146,8 @@ SELECT page_id, host, path, rule, CASE rule WHEN 'www.example.com/en/' THEN 'all
 def mixed(docs: str, size: str, most: int = mixing.MOST_REPEATS) -> str:
     """CTEs that end in ``mix_out``: the columns of ``docs`` with size, source_size, target, copies."""
     return rf"""
- sized AS (SELECT *, {size} AS size,
-   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM {docs}),
+ sized AS (SELECT *, row_number() OVER () AS place, {size} AS size,
+   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM {docs}),
  src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
  w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source COLLATE "binary") - 1) % 3 + 1 AS wt,
    source_size * {most} AS cap FROM src),
@@ -155,13 +160,13 @@ def mixed(docs: str, size: str, most: int = mixing.MOST_REPEATS) -> str:
    FROM lv, common),
  parts AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), {most}) ELSE 0 END AS reps FROM goal),
  budgets AS (SELECT *, target - reps * source_size AS budget FROM parts),
- byh AS (SELECT source, h, sum(size) AS s FROM sized GROUP BY ALL),
- run AS (SELECT *, sum(s) OVER (PARTITION BY source ORDER BY h) - s AS before FROM byh),
- cuts AS (SELECT run.source, CASE WHEN s - (budget - before) < budget - before THEN h + 1 ELSE h END AS cut
+ run AS (SELECT source, h, place, size AS s, sum(size) OVER (PARTITION BY source ORDER BY h, place ROWS UNBOUNDED PRECEDING)
+   - size AS before FROM sized),
+ cuts AS (SELECT run.source, h AS cut, CASE WHEN s - (budget - before) < budget - before THEN place + 1 ELSE place END AS cut_place
    FROM run JOIN budgets ON run.source IS NOT DISTINCT FROM budgets.source
    WHERE before <= budget AND before + s > budget),
  mix_out AS (SELECT sized.*, source_size, target,
-   least(reps + CASE WHEN h < coalesce(cut, 0) THEN 1 ELSE 0 END, {most})::BIGINT AS copies
+   least(reps + CASE WHEN h < coalesce(cut, 0) OR (h = cut AND place < cut_place) THEN 1 ELSE 0 END, {most})::BIGINT AS copies
   FROM sized JOIN budgets b ON sized.source IS NOT DISTINCT FROM b.source
   LEFT JOIN cuts c ON sized.source IS NOT DISTINCT FROM c.source)"""
 
@@ -171,13 +176,13 @@ SELECT doc_id, size, source_size, target, size * copies AS taken FROM mix_out"""
 
 # -- op10 -------------------------------------------------------------------------------------
 
-OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+OP10 = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
- pairs AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+ pairs AS (SELECT q.rid, q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM q JOIN v ON q.rid <> v.rid AND len(q.e) = len(v.e)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 # -- op13 -------------------------------------------------------------------------------------

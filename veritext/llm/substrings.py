@@ -17,13 +17,15 @@ a document with a smaller id are removed; windows are judged on the input.
 * The windows' first documents go back to all passages of the same words, and from there to the texts.
 
 An automaton of the whole corpus could be broadcast only piece by piece, every document meeting every
-piece; dealing passages and automata by anchor needs one pass instead. What is broadcast is counted
-first: the anchors that repeat, up to ``ANCHOR_BYTES``, and the spans found; beyond the bound both are
-shuffle joins, with the same results.
+piece; dealing passages and automata by anchor needs one pass instead. What is broadcast has a fixed size:
+the anchors that repeat as a bitmap of 2**``ANCHOR_BITS`` bits (one plan at every size: a bit that another
+anchor set lets a passage through that the later joins drop again), and the documents with hits as one of
+2**``HIT_BITS``, so that only their texts are moved to meet their spans.
 
 Defined results: a null or empty text has no words; rows with one id are one document, so copies of a row
 remove nothing from each other; null ids come after all others and are one document; an empty table
-gives an empty result. Only the named columns are read.
+gives an empty result; long texts are read whole, in time proportional to their length. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -36,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritext.llm.common import BROADCAST_BYTES, written
+from veritext.llm.common import bit_is_set, bitmap, written
 from veritext.llm.wordarrays import Words, mix, sequence_hash, split_words, text_batches, texts_of
 
 WINDOW = 13
 GRAM = 5
-ANCHOR_BYTES = 48 << 20
+#: Bits of the bitmaps that are broadcast: 32 MB of anchors, 4 MB of documents with hits.
+ANCHOR_BITS = 28
+HIT_BITS = 25
 #: Passages that one automaton is built of; anchors with more are dealt by window.
 SHARD = 1 << 10
 _LAST = (1 << 63) - 1
@@ -153,45 +157,14 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "anchor long, lo long, hi long")
 
 
-def _document_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, version, anchor), each once per document and batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, version = batch.column("doc").to_numpy(), batch.column("version").to_numpy()
-            for a, b in text_batches(batch.column("text")):
-                w = split_words(texts_of(batch.column("text"), a, b))
-                s, _, anchor = anchors(w, window)
-                of = np.searchsorted(w.first, s, side="right") - 1
-                pair = np.unique(np.stack([of.astype(np.uint64), anchor]), axis=1) if len(s) else np.zeros((2, 0), np.uint64)
-                at = pair[0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[a:b][at]), pa.array(version[a:b][at]), pa.array(pair[1].view(np.int64))],
-                    names=["doc", "version", "anchor"])
-
-    return docs.select("doc", "version", "text").mapInArrow(run, "doc long, version long, anchor long")
-
-
-def _collected(anchors_: DataFrame) -> np.ndarray:
-    """The anchors, sorted, on the driver (the caller has checked their size)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b.column(0).to_numpy().tobytes() for b in batches]
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["v"])
-
-    rows = anchors_.select("anchor").mapInArrow(run, "v binary").collect()
-    return np.sort(np.frombuffer(b"".join(r["v"] for r in rows), np.uint64))
-
-
-def _marked(docs: DataFrame, wanted: DataFrame, window: int, anchor_bytes: int):
-    """(documents, broadcast): the wanted anchors as a broadcast sorted array, or, beyond the bound, as a
-    column of each document's own wanted anchors."""
-    if wanted.count() * 8 <= anchor_bytes:
-        known = docs.sparkSession.sparkContext.broadcast(_collected(wanted))
-        return docs.withColumn("anchors", F.lit(None).cast("array<long>")), known
-    held = _document_anchors(docs, window).join(wanted, "anchor")
-    held = held.groupBy("doc", "version").agg(F.collect_set("anchor").alias("anchors"))  # of one document
-    return docs.join(held, ["doc", "version"]), None
+def _known(wanted: DataFrame, bits: int):
+    """The leading ``bits`` bits of the wanted anchors, as a broadcast bitmap of fixed size."""
+    rows = bitmap(wanted.select(F.shiftrightunsigned("anchor", 64 - bits).alias("bit")), "bit", bits).collect()
+    flags = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:  # at most 2**bits / 2**15 rows of 4 KB
+        piece = np.frombuffer(r["map"], np.uint8)[:len(flags)]
+        flags[r["bucket"] * 4096:r["bucket"] * 4096 + len(piece)] = piece
+    return wanted.sparkSession.sparkContext.broadcast(flags)
 
 
 def _runs(batch: pa.RecordBatch, a: int, b: int, window: int, shared):
@@ -199,16 +172,11 @@ def _runs(batch: pa.RecordBatch, a: int, b: int, window: int, shared):
     of one wanted anchor occurrence; ``same`` is the hash of a passage's words."""
     w = split_words(texts_of(batch.column("text"), a, b))
     s, at, anchor = anchors(w, window)
-    if shared is not None:
-        known = shared.value
-    else:
-        own = batch.column("anchors").slice(a, b - a).to_pylist()
-        known = np.unique(np.array([y for x in own for y in x or ()], np.int64).view(np.uint64))
-    if len(known):
-        place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-        some = known[place] == anchor
-        s, at, anchor = s[some], at[some], anchor[some]
-    if not len(known) or not len(s):
+    flags = shared.value
+    bit = anchor >> np.uint64(64 - (len(flags).bit_length() + 2))
+    some = flags[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
+    s, at, anchor = s[some], at[some], anchor[some]
+    if not len(s):
         none = np.zeros(0, np.int64)
         return w, none, none, none.astype(np.uint64), none.astype(np.uint64)
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)]))
@@ -327,63 +295,77 @@ def _firsts(out) -> pa.RecordBatch:
         names=["anchor", "same", "firsts"])
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor_bytes: int = ANCHOR_BYTES,
-                     shard: int = SHARD) -> DataFrame:
-    """(doc, version, starts): the windows of each document that also start in an earlier one."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int = ANCHOR_BITS, shard: int = SHARD) -> DataFrame:
+    """(doc, version, spans): runs (first, last) of the windows of each document that also start in an earlier
+    one."""
     repeated = _anchor_rows(docs, window).groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     repeated = written(repeated.filter("lo < hi").select("anchor"), "substring-anchors")
-    found = written(_passages(*_marked(docs, repeated, window, anchor_bytes), window), "substring-passages")
-    kinds = written(found.groupBy("anchor", "same").agg(F.min("doc").alias("lo"), F.min("n").alias("n")),
-                    "substring-kinds")
+    found = written(_passages(docs, _known(repeated, bits), window), "substring-passages")
+    kinds = written(found.groupBy("anchor", "same").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"),
+                                                       F.min("n").alias("n")), "substring-kinds")
 
     # anchors with one wording need no automaton: its windows start in its own first document
     several = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "substring-shards")
     few, many = (several.filter(F.col("k") <= shard).select("anchor"), several.filter(F.col("k") > shard).select("anchor"))
-    texts = _wordings(*_marked(docs, few, window, anchor_bytes), window).distinct()
-    shards = texts.join(kinds.select("anchor", "same", "lo"), ["anchor", "same"])
+    texts = _wordings(docs, _known(few, bits), window).dropDuplicates(["anchor", "same"])
+    shards = texts.join(kinds.join(few, "anchor").select("anchor", "same", "lo"), ["anchor", "same"])
     shards = shards.repartition("anchor").sortWithinPartitions("anchor", "lo", "same")
     matched = written(_first_documents(shards, window), "substring-firsts")
     if not many.isEmpty():
-        passages = _windows(*_marked(docs, many, window, anchor_bytes), window).dropDuplicates(["anchor", "same"])
-        passages = written(passages.join(kinds.select("anchor", "same", "lo"), ["anchor", "same"]), "substring-windows")
+        passages = _windows(docs, _known(many, bits), window).dropDuplicates(["anchor", "same"])
+        held = kinds.join(many, "anchor").select("anchor", "same", "lo")
+        passages = written(passages.join(held, ["anchor", "same"]), "substring-windows")
         matched = matched.unionByName(written(_first_by_window(passages), "substring-firsts"))
-    alone = kinds.join(several.select("anchor"), "anchor", "left_anti").select(
-        "anchor", "same", F.array_repeat("lo", F.col("n")).alias("firsts"))
-    firsts = matched.unionByName(alone).withColumnsRenamed({"anchor": "_anchor", "same": "_same"})
-
-    hits = found.select("doc", "version", "at", "anchor", "same").join(
-        firsts, (F.col("anchor") == F.col("_anchor")) & (F.col("same") == F.col("_same")))
-    starts = F.filter(F.transform("firsts", lambda lo, i: F.when(lo < F.col("doc"), F.col("at") + i)),
-                      lambda s: s.isNotNull())
-    hits = hits.select("doc", "version", starts.alias("starts")).filter(F.size("starts") > 0)
-    return hits.groupBy("doc", "version").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    # a wording of one document, none of whose windows is in an earlier one, has no hit anywhere
+    matched = matched.withColumnsRenamed({"same": "_same", "anchor": "_anchor"})
+    firsts = kinds.join(matched, (F.col("same") == F.col("_same")) & (F.col("anchor") == F.col("_anchor")), "left").select(
+        F.col("same").alias("_same"), "lo", "hi", "firsts")
+    firsts = firsts.filter((F.col("lo") < F.col("hi")) | F.exists("firsts", lambda x: x < F.col("lo"))).drop("hi")
+
+    # equal words have equal anchors, so the hash of the words alone is the key
+    hits = found.select("doc", "version", "at", "n", "same").join(firsts, F.col("same") == F.col("_same"))
+    whole = F.array(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last")))
+    each = F.transform("firsts", lambda x, i: F.when(x < F.col("doc"), F.struct(
+        (F.col("at") + i).alias("first"), (F.col("at") + i).alias("last"))))
+    runs = F.when(F.col("lo") < F.col("doc"), whole).otherwise(F.filter(each, lambda r: r.isNotNull()))
+    hits = hits.select("doc", "version", F.explode(runs).alias("run")).select("doc", "version", "run.first", "run.last")
+    return hits.groupBy("doc", "version").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-          anchor_bytes: int = ANCHOR_BYTES, shard: int = SHARD) -> DataFrame:
+          bits: int = ANCHOR_BITS, shard: int = SHARD) -> DataFrame:
     """(id, n_words, n_removed, kept, spans): kept words joined by one space, and the removed word ranges
     [from, to) of the input."""
     docs = _documents(df, id_col, text_col)
-    hits = written(repeated_windows(docs, window, anchor_bytes, shard), "substring-hits").withColumnsRenamed(
+    hits = written(repeated_windows(docs, window, bits, shard), "substring-hits").withColumnsRenamed(
         {"doc": "_doc", "version": "_version"})
-    size = hits.agg(F.sum(24 + 4 * F.size("starts"))).first()[0] or 0
-    hits = F.broadcast(hits) if size <= BROADCAST_BYTES else hits
     keyed = df.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"),
                       F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"))
-    joined = keyed.join(hits, (F.col("doc") == F.col("_doc")) & (F.col("version") == F.col("_version")), "left")
+    # texts without a hit stay where they are
+    def bit(doc: str, version: str):
+        return F.shiftrightunsigned(F.xxhash64(doc, version), 64 - HIT_BITS)
+
+    hit_docs = written(bitmap(hits.select(bit("_doc", "_version").alias("bit")), "bit", HIT_BITS), "substring-bitmap")
+    marked = bit_is_set(keyed.withColumn("_bit", bit("doc", "version")), hit_docs, "_bit", "_hit")
+    moved = marked.filter("_hit").join(hits, (F.col("doc") == F.col("_doc")) & (F.col("version") == F.col("_version")), "left")
+    columns = [F.col(id_col), F.col("text"), F.col("spans")]
+    joined = moved.select(*columns).unionByName(
+        marked.filter("NOT _hit").select(*columns[:2], F.lit(None).cast(hits.schema["spans"].dataType).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_batches(batch.column("text")):
                 n_words, n_removed, kept, spans = [], [], [], []
-                starts = batch.column("starts").slice(a, b - a)
-                for text, at in zip(texts_of(batch.column("text"), a, b), starts):
+                runs = batch.column("spans").slice(a, b - a)
+                for text, at in zip(texts_of(batch.column("text"), a, b), runs):
                     w = text.split()
                     ranges = []
                     if at.is_valid:
-                        s = np.sort(at.values.to_numpy(zero_copy_only=False).astype(np.int64))
-                        cut = np.flatnonzero(np.diff(s) > window) + 1
-                        ranges = [[int(x[0]), int(x[-1]) + window] for x in np.split(s, cut)]
+                        for first, last in sorted(zip(*(at.values.field(i).to_pylist() for i in range(2)))):
+                            if ranges and first <= ranges[-1][1]:
+                                ranges[-1][1] = max(ranges[-1][1], last + window)
+                            else:
+                                ranges.append([first, last + window])
                     left, done = [], 0
                     for i, j in ranges:
                         left.extend(w[done:i])
@@ -402,4 +384,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     schema = T.StructType([df.schema[id_col], T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
                            T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    return joined.select(id_col, "text", "starts").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)

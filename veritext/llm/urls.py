@@ -4,11 +4,17 @@ Labelled page outcomes (bad or not) are counted by host and rolled up to the reg
 suffix and the whole. Each level's rate is shrunk towards its parent's posterior mean by a beta prior
 whose strength is fitted to the spread between siblings (method of moments); a host without labels has
 its domain's rate, and so on up. A host is blocked when the lower bound of its posterior bad rate, the
-mean less ``z`` standard deviations, passes ``max_bad``. Explicit rules come before the model.
+mean less ``z`` standard deviations, lies above the overall rate (or above ``max_bad``, where one is given).
+Explicit rules come before the model.
+
+A host's suffix is its last label, or its last two where the last is a country's (two letters) and the one
+before is of the kind under which countries register (``SECOND_LEVEL``), or where the two are named in
+``long_suffixes``; the registered domain is the suffix and one label more.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is judged
 by the overall rate; a page without label adds nothing; repeated rows count as often as they occur; with
-no labels at all nothing is blocked. A hot host is only ever pre-aggregated or joined, never grouped.
+no labels at all nothing is blocked; urls of any length are read whole; only the named columns are read, so
+others may have any name. A hot host is only ever pre-aggregated or joined, never grouped.
 """
 
 from __future__ import annotations
@@ -20,10 +26,10 @@ from pyspark.sql import functions as F
 
 from veritext.llm.common import ascii_lower, written
 
-#: Suffixes of two labels under which domains are registered (a parameter; extend as needed).
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
-Z = 2.0
-MAX_BAD = 0.3
+#: Labels that stand for a kind of registrant before a country's label.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "ltd", "mil", "ne", "net", "nom", "or",
+                "org", "plc", "sch")
+Z = 1.0
 #: Range in which a fitted prior strength (in pages) is held.
 STRENGTH = (2.0, 200.0)
 BAD = "bad"
@@ -42,14 +48,18 @@ def path_number(path: Column) -> Column:
     return F.regexp_extract(path, r"([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1).try_cast("bigint")
 
 
-def suffix_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
+def _long(host: Column, long_suffixes: Sequence[str]) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*long_suffixes), two).otherwise(F.substring_index(host, ".", -1))
+    kind, country = F.substring_index(two, ".", 1), F.substring_index(two, ".", -1)
+    return (kind.isin(*SECOND_LEVEL) & country.rlike("^[a-z]{2}$") & two.contains(".")) | two.isin(*long_suffixes)
 
 
-def domain_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*long_suffixes), F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_of(host: Column, long_suffixes: Sequence[str] = ()) -> Column:
+    return F.when(_long(host, long_suffixes), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+
+
+def domain_of(host: Column, long_suffixes: Sequence[str] = ()) -> Column:
+    return F.when(_long(host, long_suffixes), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -77,8 +87,8 @@ def _strength(children: DataFrame) -> float:
     return min(max(row["pairs"] / row["excess"] - 1.0, low), high)
 
 
-def reputation(outcomes: DataFrame, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
-    """(host, n, bad, mean, sd): the posterior of the bad rate per host.
+def reputation(outcomes: DataFrame, long_suffixes: Sequence[str] = ()) -> tuple[DataFrame, float]:
+    """(host, n, bad, mean, sd), the posterior of the bad rate per host; and the overall rate.
 
     ``outcomes``: (host, bad), one row per page; ``bad`` is null where the page has no label. Only the
     overall rate and three prior strengths come to the driver.
@@ -105,14 +115,14 @@ def reputation(outcomes: DataFrame, long_suffixes: Sequence[str] = LONG_SUFFIXES
     a = F.col("bad") + s * F.col("parent_mean")
     all_ = F.col("n") + s
     mean = a / all_
-    return low.select("host", "n", "bad", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (all_ + 1)).alias("sd"))
+    return low.select("host", "n", "bad", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (all_ + 1)).alias("sd")), overall
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), url_col: str = "url",
           page_col: str = "page_id", label_col: str = "doc_id", shows: Column | None = None,
-          bad: Column | None = None, z: float = Z, max_bad: float = MAX_BAD,
-          long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
-    """(page, host, path, rule, verdict, host_labelled, bad_rate_low) per row of ``pages``.
+          bad: Column | None = None, z: float = Z, max_bad: float | None = None,
+          long_suffixes: Sequence[str] = ()) -> DataFrame:
+    """(page, host, path, rule, verdict, host_labelled, host_bad, bad_rate, bad_rate_low) per row of ``pages``.
 
     ``shows``: the id, over the columns host and path, by which ``labels`` names the outcome of a page
     (by default the number that the path ends in). Several labels of an id count as one, bad if any is.
@@ -125,11 +135,14 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     shows = shows if shows is not None else path_number(F.col("path"))
     outcomes = parsed.select("host", shows.alias("_shows"))
     outcomes = outcomes.join(known, F.col("_shows") == F.col("_page"), "left").select("host", BAD)
-    rated = reputation(outcomes, long_suffixes).select(
-        F.col("host").alias("_host"), F.col("n").alias("host_labelled"),
-        (F.col("mean") - z * F.col("sd")).alias("bad_rate_low"))
+    hosts, overall = reputation(outcomes, long_suffixes)
+    limit = overall if max_bad is None else max_bad
+    rated = hosts.select(
+        F.col("host").alias("_host"), F.col("n").alias("host_labelled"), F.col("bad").alias("host_bad"),
+        F.col("mean").alias("bad_rate"), (F.col("mean") - z * F.col("sd")).alias("bad_rate_low"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    model = F.when(F.col("bad_rate_low") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
+    model = F.when(F.col("bad_rate_low") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return (parsed.join(rated, F.col("host") == F.col("_host"), "left")
             .select(F.col(page_col), "host", "path", rule.alias("rule"),
-                    F.coalesce(verdict, model).alias("verdict"), "host_labelled", "bad_rate_low"))
+                    F.coalesce(verdict, model).alias("verdict"), "host_labelled", "host_bad", "bad_rate",
+                    "bad_rate_low"))
