@@ -80,6 +80,14 @@ def _first_position(toks: Column, words: list[str]) -> Column:
     return F.coalesce(F.array_position(F.transform(toks, lambda t: t.isin(*words)), True), F.lit(0))
 
 
+def compound(s: Column, hits: Column, n_excl: Column) -> Column:
+    """The sum of a review's valences, raised by exclamation marks and brought into -1..1; 0.0 without a hit."""
+    amp = F.least(n_excl, F.lit(EXCLAMATION_MAX)) * EXCLAMATION_INCREMENT
+    s = F.when(s > 0, s + amp).when(s < 0, s - amp).otherwise(s)
+    return F.when(hits == 0, F.lit(0.0)).otherwise(
+        F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + NORMALIZATION_ALPHA))), 4))
+
+
 def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
                    negations: list[str] = (), boosters: dict[str, float] | None = None,
                    contrast: list[str] = ("but",), tag_lexicon: DataFrame | None = None,
@@ -143,13 +151,8 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame | None = None,
         F.count(F.col("valence")).alias("_hits"),
         *[F.count_if(F.col("_tag") == t).cast("bigint").alias(t) for t in TAG_FEATURES],
     )
-    s = F.col("_s")
-    amp = F.least(F.col("n_excl"), F.lit(EXCLAMATION_MAX)) * EXCLAMATION_INCREMENT
-    s = F.when(s > 0, s + amp).when(s < 0, s - amp).otherwise(s)
-    compound = F.when(F.col("_hits") == 0, F.lit(0.0)).otherwise(
-        F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0),
-                s / F.sqrt(s * s + NORMALIZATION_ALPHA))), 4))
-    return agg.select("review_id", *keep, compound.alias("sentiment_score"), *TAG_FEATURES)
+    score = compound(F.col("_s"), F.col("_hits"), F.col("n_excl"))
+    return agg.select("review_id", *keep, score.alias("sentiment_score"), *TAG_FEATURES)
 
 
 def sentiment(df: DataFrame, lexicon: DataFrame, negations=(), boosters=None, contrast=("but",),

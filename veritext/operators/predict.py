@@ -3,17 +3,20 @@
 * ``apply_plugin``: a user's pandas function over a column as a scalar ``pandas_udf``;
 * ``map_batches``: a batched table function as ``mapInPandas``;
 * ``batch_predict``: a preloaded model per Python worker via ``predict_batch_udf``: the model
-  factory runs once per worker process and is reused for every batch (the reference's cached model).
+  factory runs once per worker process and is reused for every batch; ``shipped_factory`` loads a saved one.
 """
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +74,28 @@ def numpy_logistic_factory(weights=LOGISTIC_WEIGHTS, bias=LOGISTIC_BIAS):
     return make_predict_fn
 
 
+def save_weights(spark: SparkSession, path: str, weights=LOGISTIC_WEIGHTS, bias=LOGISTIC_BIAS) -> str:
+    """S7 for a Python model: its numbers as one JSON row in the shared folder."""
+    spark.createDataFrame([(list(weights), float(bias))], "weights array<double>, bias double").coalesce(1).write.mode(
+        "overwrite").json(path)
+    return path
+
+
+def shipped_factory(spark: SparkSession, path: str):
+    """A factory whose model is read from a saved folder. The folder is an artifact of the session, copied
+    to each executor once; each Python worker loads it once, when it makes its predict function."""
+    spark.sparkContext.addFile(path, recursive=True)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+
+    def make_predict_fn():
+        folder = SparkFiles.get(name)
+        part = next(f for f in sorted(os.listdir(folder)) if f.startswith("part-"))
+        with open(os.path.join(folder, part), encoding="utf-8") as f:
+            saved = json.loads(f.readline())
+        return numpy_logistic_factory(saved["weights"], saved["bias"])()
+    return make_predict_fn
+
+
 def batch_predict(df: DataFrame, inputs: list[str], make_predict_fn=None, batch_size: int = 1024,
                   out: str = "probability") -> DataFrame:
     """``out`` = ARRAY<DOUBLE> probability pair from a per-worker model over Arrow batches."""

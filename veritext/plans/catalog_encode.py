@@ -10,6 +10,7 @@ from veritext.operators import features as FE
 from veritext.operators import predict as PD
 from veritext.plans.registry import query
 from veritext.plans.sql import _q, clean_sql, tokens_sql, with_views
+from veritext.session import scratch_path
 from veritext.sources import fixtures as FX
 from veritext.sources import tables as TB
 
@@ -78,6 +79,8 @@ FROM (SELECT review_id, 1.0 / (1.0 + exp(-(
         + CAST({PD.LOGISTIC_BIAS!r} AS DOUBLE)))) AS p
       FROM features_docs)""")
 def q_batch_predict(spark, sf):
+    """The model's weights are saved, shipped and loaded by each worker."""
     f = TB.documents_unlabelled(spark, sf).transform(FE.text_features)
-    out = PD.batch_predict(f, ["char_length", "word_count", "punctuation_ct"])
+    model = PD.shipped_factory(spark, PD.save_weights(spark, scratch_path(spark, "logistic-model")))
+    out = PD.batch_predict(f, ["char_length", "word_count", "punctuation_ct"], model)
     return out.select("review_id", F.transform("probability", lambda x: F.round(x, 6)).alias("probability"))

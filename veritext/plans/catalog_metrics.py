@@ -9,6 +9,7 @@ from veritext.operators import features as FE
 from veritext.operators import metrics as ME
 from veritext.operators import scoring as SC
 from veritext.operators import split as SP
+from veritext.operators import usermetrics as UM
 from veritext.plans.registry import query
 from veritext.plans.sql import with_views
 from veritext.sources import tables as TB
@@ -177,6 +178,33 @@ def q_score_hybrid(spark, sf):
                     F.round("confidence", 7).alias("confidence"), "is_uncertain")
 
 
+@query("join_scores", _ST + _HYB + """
+SELECT review_id, label_tree, label_text, round(final_score, 7) AS final_score, final_label FROM h""")
+def q_join_scores(spark, sf):
+    """The two models' scores as two tables, joined by review and blended."""
+    scores = score_docs(spark, sf)
+    tree = scores.select("review_id", "p_tree")
+    text = scores.select("review_id", "p_text")
+    h = SC.hybrid(SC.join_model_scores(tree, text))
+    return h.select("review_id", "label_tree", "label_text", F.round("final_score", 7).alias("final_score"), "final_label")
+
+
+@query("custom_metric", _ST + f"""
+, f AS (SELECT y, p_tree AS p, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(review_id AS VARCHAR) || ':42'),
+   review_id) - 1) % 5 AS INT) AS fold FROM score_table WHERE y IS NOT NULL),
+c AS (SELECT fold, avg((p - y) * (p - y)) AS brier, (count(*) FILTER (p > 0.5 AND y = 1))::DOUBLE AS tp,
+   (count(*) FILTER (p > 0.5 AND y = 0))::DOUBLE AS fp, (count(*) FILTER (p <= 0.5 AND y = 1))::DOUBLE AS fn,
+   (count(*) FILTER (p <= 0.5 AND y = 0))::DOUBLE AS tn FROM f GROUP BY 1)
+SELECT fold, 'brier' AS metric, round(brier, 6) AS value FROM c UNION ALL
+SELECT fold, 'mcc', round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0.0), 6)
+FROM c""")
+def q_custom_metric(spark, sf):
+    """a metric of the user's own, per fold."""
+    rows = SP.fold_assign(score_docs(spark, sf).filter(F.col("y").isNotNull()).select("review_id", "y", "p_tree"))
+    return UM.evaluate(rows, UM.BrierAndCorrelation(), "fold", p="p_tree").select(
+        "fold", "metric", F.round("value", 6).alias("value"))
+
+
 @query("confidence_pct", _ST + _HYB + """
 SELECT review_id, printf('%.2f%%', confidence * 100.0) AS confidence_pct FROM h""")
 def q_confidence_pct(spark, sf):

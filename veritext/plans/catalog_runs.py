@@ -20,6 +20,7 @@ from veritext.plans.sql_lexicon import full_features_prefix
 from veritext.schemas import CONTRACT, RUN_LOG, RUN_METRICS
 from veritext.session import scratch_path
 from veritext.sources import files as FL
+from veritext.sources import infer as IN
 from veritext.sources import tables as TB
 
 _H = "md5(CAST(review_id AS VARCHAR) || ':42')"
@@ -50,6 +51,61 @@ def q_csv_roundtrip(spark, sf):
     return FL.read_csv(spark, path, PROCESSED)
 
 
+@query("sink_by_category", with_views("reviews_docs") + """
+SELECT review_id, category, CASE WHEN category = 'src3' THEN rating + 10 ELSE rating END AS rating FROM reviews_docs""")
+def q_sink_by_category(spark, sf):
+    """S3: the default sink, one folder per category; a re-run replaces one category and no other."""
+    docs = TB.documents_unlabelled(spark, sf).select("review_id", "category", "rating")
+    path = FL.write_reviews(docs, scratch_path(spark, "reviews-by-category"))
+    one = docs.filter(F.col("category") == "src3").withColumn("rating", F.col("rating") + 10)
+    FL.replace_categories(one, path)
+    return spark.read.schema(docs.schema).parquet(path).select("review_id", "category", "rating")
+
+
+# A broken file: every 17th record has a field too many, every 19th lacks one.
+INFERRED = ["id", "length", "share", "long_text", "note", "nothing"]
+_BROKEN = {"too_many": 17, "too_few": 19}
+_RECORD_SQL = """
+, rec AS (SELECT review_id AS id, review_id % 17 = 0 AS too_many, review_id % 19 = 0 AS too_few,
+   review_id::VARCHAR AS a, CASE WHEN review_id % 5 = 0 THEN '' ELSE length(text_)::VARCHAR END AS b,
+   (review_id % 8)::VARCHAR || '.5' AS c, CASE WHEN length(text_) > 500 THEN 'true' ELSE 'false' END AS d,
+   CASE WHEN review_id % 2 = 0 THEN review_id::VARCHAR ELSE coalesce(category, 'none') END AS e FROM reviews_docs),
+line AS (SELECT *, a || ',' || b || ',' || c || ',' || d || CASE WHEN too_few THEN '' ELSE ',' || e END ||
+   CASE WHEN too_many THEN ',' || ',more' ELSE ',' END AS record FROM rec),
+"""
+
+
+@query("csv_inferred", with_views("reviews_docs") + _RECORD_SQL + """
+good AS (SELECT * FROM line WHERE too_many = too_few)
+SELECT 'reject' AS kind, record AS name, 'malformed' AS value FROM line WHERE too_many <> too_few UNION ALL
+SELECT 'type', name, CASE WHEN n = 0 THEN 'string' WHEN longs = n THEN 'bigint' WHEN doubles = n THEN 'double'
+   WHEN booleans = n THEN 'boolean' ELSE 'string' END FROM
+ (SELECT name, count(*) FILTER (v <> '') AS n, count(*) FILTER (v <> '' AND try_cast(v AS BIGINT) IS NOT NULL AND v NOT LIKE '%.%') AS longs,
+   count(*) FILTER (v <> '' AND try_cast(v AS DOUBLE) IS NOT NULL) AS doubles, count(*) FILTER (v IN ('true', 'false')) AS booleans
+  FROM (SELECT 'id' AS name, a AS v FROM good UNION ALL SELECT 'length', b FROM good UNION ALL SELECT 'share', c FROM good
+   UNION ALL SELECT 'long_text', d FROM good UNION ALL SELECT 'note', CASE WHEN too_few THEN '' ELSE e END FROM good
+   UNION ALL SELECT 'nothing', CASE WHEN too_few THEN 'more' ELSE '' END FROM good) GROUP BY 1)
+UNION ALL SELECT 'rows', 'typed', count(*)::VARCHAR FROM good""")
+def q_csv_inferred(spark, sf):
+    """Types from all rows of a file of unknown types, malformed records apart."""
+    docs = TB.documents_unlabelled(spark, sf)
+    i = F.col("review_id")
+    few, many = i % _BROKEN["too_few"] == 0, i % _BROKEN["too_many"] == 0
+    note = F.when(i % 2 == 0, i.cast("string")).otherwise(F.coalesce("category", F.lit("none")))
+    record = F.concat(
+        i.cast("string"), F.lit(","), F.when(i % 5 == 0, "").otherwise(F.length("text_").cast("string")), F.lit(","),
+        (i % 8).cast("string"), F.lit(".5,"), F.when(F.length("text_") > 500, "true").otherwise("false"),
+        F.when(few, "").otherwise(F.concat(F.lit(","), note)), F.when(many, ",,more").otherwise(","))
+    path = scratch_path(spark, "unknown-csv")
+    docs.filter(F.col("text_").isNotNull()).select(record.alias("value")).write.text(path)
+    typed, rejects = IN.read_csv_inferred(spark, path, INFERRED, header=False)
+    types = spark.createDataFrame([("type", f.name, f.dataType.simpleString()) for f in typed.schema],
+                                  "kind string, name string, value string")
+    n = typed.agg(F.lit("rows").alias("kind"), F.lit("typed").alias("name"), F.count(F.lit(1)).cast("string").alias("value"))
+    bad = rejects.select(F.lit("reject").alias("kind"), F.col("record").alias("name"), F.col("reject_reason").alias("value"))
+    return types.unionByName(bad).unionByName(n)
+
+
 # latin-1 read of UTF-8 bytes: every byte becomes the code point of the same value
 _HEXV = "(instr('0123456789ABCDEF', substr(h, {i}, 1)) - 1)"
 _LATIN1_SQL = (with_views("reviews_chat") + """

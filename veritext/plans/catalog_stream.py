@@ -1,4 +1,4 @@
-"""Registered queries, part 8: stream scoring."""
+"""Registered queries, part 9: stream scoring."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from veritext.plans.sql_lexicon import lexicon_ctes
 from veritext.schemas import REVIEW_COLUMNS
 from veritext.session import scratch_path
 from veritext.sources import tables as TB
+from veritext.streaming import native as NT
 from veritext.streaming import scoring as ST
 
 
@@ -41,3 +42,15 @@ def q_score_stream(spark, sf):
     q = ST.start_scoring(spark, src, sink, rejects, ckpt, lexicon_params(spark))
     q.awaitTermination()
     return ST.read_scored(spark, sink)
+
+
+@query("score_stream_native", _STREAM_SQL)
+def q_score_stream_native(spark, sf):
+    """The plan on the stream itself; a second run with every file delivered again adds no row."""
+    src = stage_arrivals(spark, sf)
+    sink, ckpt = (scratch_path(spark, n) for n in ("scored", "stream-ckpt"))
+    params = lexicon_params(spark)
+    NT.start(spark, src, sink, ckpt, params).awaitTermination()
+    spark.read.parquet(src).write.mode("append").parquet(src)  # all deliveries come again, in new files
+    NT.start(spark, src, sink, ckpt, params).awaitTermination()
+    return NT.read(spark, sink)[0]

@@ -1,6 +1,6 @@
 """File sources and sinks (S1-S5, S11): CSV with declared schema and charset, JSON contract and
-run tables. Writers go to shared storage (``spark.checkpoint.dir`` on a cluster); readers never
-infer a schema.
+run tables. Writers go to shared storage (``spark.checkpoint.dir`` on a cluster); readers have a declared
+schema (``veritext.sources.infer`` reads CSV of unknown types).
 """
 
 from __future__ import annotations
@@ -39,6 +39,12 @@ def write_reviews(df: DataFrame, path: str, partition_by: str | None = "category
     return path
 
 
+def replace_categories(df: DataFrame, path: str, partition_by: str = "category") -> str:
+    """Writes the partitions that ``df`` has rows of, and leaves all others of the folder as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    return path
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """JSON lines (one record per row)."""
     df.write.mode(mode).json(path)
