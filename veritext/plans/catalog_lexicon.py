@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veritext.operators import features as FE
 from veritext.operators import lexicon as LX
+from veritext.operators import tagger as TG
 from veritext.plans.registry import query
 from veritext.plans.sql import tokens_sql, with_views
 from veritext.plans.sql_lexicon import lexicon_ctes
@@ -44,3 +45,10 @@ def q_sentiment(spark, sf):
 def q_pos_counts(spark, sf):
     p = lexicon_params(spark)
     return LX.pos_counts(cleaned_docs(spark, sf), p["tag_lexicon"], p["suffix_rules"])
+
+
+@query("hmm_tags")
+def q_hmm_tags(spark, sf):
+    """H13 / J4 by context: word classes of every review by a hidden Markov model of all reviews."""
+    p = lexicon_params(spark)
+    return TG.tagged(cleaned_docs(spark, sf), p["tag_lexicon"], p["suffix_rules"])
