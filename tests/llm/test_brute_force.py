@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -171,19 +173,88 @@ def test_model_beats_its_base_on_held_out_texts(spark):
     assert r["model"] > r["base"] + 0.1
 
 
-def test_model_probabilities_sum_to_one(spark):
-    """After each context, all known words and the unknown one have probability 1 together."""
-    from veritext.llm import hpylm
+def test_base_score_is_its_formula(spark):
+    """base_score, n_known and train_tokens of every document, from plain counts."""
+    docs = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [None]
+            for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    learn = {i for i in docs if zlib.crc32(str(i).encode()) % 5 != 1}
+    count = Counter(w for i in learn for w in docs[i])
+    n, v = sum(count.values()), len(count)
+    for r in QUERIES["op9_lm_scoring"](spark, SF_SMALL).collect():
+        words = docs[r["doc_id"]]
+        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in count for w in words), n)
+        assert r["held_out"] == (r["doc_id"] not in learn) and abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
+
+
+def plain_mixture(text, logs):
+    """Shares by loops: EM from equal shares, then nested sets while the penalised likelihood rises."""
+    from veritext.llm import langid as LI
+
+    bucket, word, _ = LI.grams([text])
+    ends = [*word[1:].tolist(), len(bucket)]
+    rows = []
+    for a, b in zip(word.tolist(), ends):
+        score = [float(sum(np.float64(t[k]) for k in bucket[a:b])) for t in logs]
+        rows.append([math.exp(max(s - max(score), -60.0)) for s in score])
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            parts = [[x * s for x, s in zip(r, share)] for r in rows]
+            share = [sum(p[j] / sum(p) for p in parts) / len(rows) for j in range(len(share))]
+        return share, sum(math.log(sum(x * s for x, s in zip(r, share))) for r in rows)
+
+    n = len(logs)
+    if not rows:
+        return [0.0] * n
+    share, _ = em([1 / n] * n, LI.ROUNDS)
+    order = sorted(range(n), key=lambda j: (-share[j], j))
+    best, chosen = -math.inf, [0.0] * n
+    for size in range(1, n + 1):
+        inside = [max(share[j], 1e-6) if j in order[:size] else 0.0 for j in range(n)]
+        inside = [x / sum(inside) for x in inside]
+        fitted, value = em(inside, LI.ROUNDS // 2 if size > 1 else 0)
+        value -= LI.PENALTY * (size - 1) * math.log(len(rows) + 1)
+        if value <= best:
+            break
+        best, chosen = value, fitted
+    return chosen
+
+
+def test_language_mixtures_equal_a_plain_version(spark):
+    from veritext.llm import langid
 
-    train = [(i, " ".join(random.Random(i).choices("abcdefgh", k=30))) for i in range(20)]
-    known = [(100 + k, w) for k, w in enumerate("abcdefgh")] + [(200, ""), (201, "zzz")]
-    df = spark.createDataFrame(train + known, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in hpylm.score(df, F.col("doc_id") < 100).collect()}
-    # a text of one word w scores log P(w | start) + log P(end | w); the empty text log P(end | start)
-    pairs = spark.createDataFrame(train + [(1000 + i, f"{a} {b}") for i, (a, b) in enumerate(
-        (a, b) for a in "abcdefgh" for b in [*"abcdefgh", "zzz"])] + known, "doc_id long, text string")
-    two = {r["doc_id"]: r["score"] for r in hpylm.score(pairs, F.col("doc_id") < 100).collect()}
-    assert abs(got[200] - two[200]) < 1e-9 and all(v < 0 for v in two.values())
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").filter("length(text) > 700")
+    langs, logs = langid.fit(docs)
+    one = {x: docs.filter(F.col("lang") == x).orderBy("doc_id").first()["text"][:700] for x in langs}
+    texts = [*one.values(), " ".join(one.values()), one[langs[0]] + " " + one[langs[-1]], "", "12 !!", "the", one[langs[1]][:40]]
+    got = langid.mixtures(texts, logs)
+    for t, share in zip(texts, got):
+        assert np.allclose(share, plain_mixture(t, logs), atol=1e-6)
+    assert len(langs) == 4 and (got[4] > 0.1).all()  # all four languages of the text that holds them
+
+
+def test_offsets_cut_the_text_into_its_tokens(spark):
+    ranks = {v: k for k, v in bpe.read_ranks(P.VOCABULARY).items()}
+    docs = spark.createDataFrame([(1, "Hello wörld 😀 123\n\n don't"), (2, ""), (3, "日本語 " * 50)], "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    for r in bpe.encode(docs, P.VOCABULARY).collect():
+        text, at = texts[r["doc_id"]], list(r["offsets"])
+        ends = [*at[1:], len(text)]
+        assert [text[a:b] for a, b in zip(at, ends)] == [ranks[i] for i in r["ids"]]
+
+
+def test_mix_of_repeated_rows_meets_its_target(spark):
+    """A third of a source is one row, another third one id with different texts."""
+    from veritext.llm import mixing
+
+    rows = [(7, "same words here", "a")] * 300 + [(8, f"some words {i}", "a") for i in range(300)] + [
+        (None, f"other words {i}", "a") for i in range(300)] + [(i, "b words " * 3, "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"),
+                                               F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= r["most"] for r in got)
+    assert mixing.mixed_rows(df).count() == mixing.mix(df).agg(F.sum("copies")).first()[0]
 
 
 def test_pipeline_equals_a_plain_version(spark):
