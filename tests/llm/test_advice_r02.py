@@ -17,8 +17,8 @@ def firsts(rows: list[tuple[int, str]]) -> dict[str, int]:
                    and 100 * sum(x == y for x, y in zip(t, u)) >= lines.SIMILAR * len(t)) for _, m, t in split}
 
 
-@pytest.mark.parametrize("small", [lines.SMALL, 8, 2])
-def test_every_line_finds_its_first_alike_line(spark, small):
+@pytest.mark.parametrize("small,medium", [(lines.SMALL, lines.MEDIUM), (8, 60), (8, 8)])
+def test_every_line_finds_its_first_alike_line(spark, small, medium):
     """Leaves of many templates; small nodes force them to grow place by place."""
     rng = random.Random(2)
     rows, want = [], {}
@@ -36,7 +36,7 @@ def test_every_line_finds_its_first_alike_line(spark, small):
         first = firsts(some)
         want.update({doc: int(first[m] < doc) for doc, m in some})
     got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup(
-        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), small=small).collect()}
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), small=small, medium=medium).collect()}
     assert got == want and 0 < sum(want.values()) < len(want)
 
 

@@ -9,12 +9,13 @@ The first document of each line's templates is found without comparing all pairs
 leaves by hash, pre-aggregated before any shuffle, so a line that is in every document costs one row per
 task, and the text of a line moves only if its leaf holds another one. A leaf of up to ``SMALL`` different
 lines is compared within one row. In a larger one, all lines are compared with the ``SMALL`` of the earliest
-documents, which settles the families of near copies; if lines are left that are like none of these, the node
-grows, one place at a time, at the place with the most different words: a line goes to the node of its word
-there, and to the node "any word", which takes one of the places that may differ. Alike lines always meet in
-a node, since they go to the same one wherever they agree and to "any word" where they differ; a node out of
-places that may differ has no "any word", and one where no line is left to settle ends. So the number of
-rounds depends on the words of a line, not on the number of lines.
+documents, which settles the families of near copies. Lines that are like none of these are compared with all
+lines of their node, ``SMALL`` per row, if there are up to ``MEDIUM`` of them. A larger node grows, one place
+at a time, at the place with the most different words: a line goes to the node of its word there, and to the
+node "any word", which takes one of the places that may differ. Alike lines always meet in a node, since they
+go to the same one wherever they agree and to "any word" where they differ; a node out of places that may
+differ has no "any word", and one where no line is left to settle ends. So the number of rounds depends on
+the words of a line, not on the number of lines.
 
 Defined results: a null text stays null; lines without a word are kept; rows with one id are one document,
 so copies of a row drop nothing from each other; null ids come after all others and are one document; an
@@ -36,6 +37,8 @@ DEPTH = 3
 SIMILAR = 70
 #: Different lines of a node that are compared within one row.
 SMALL = 64
+#: Different lines of a node up to which its unsettled lines are compared with all of them.
+MEDIUM = 4096
 FIELD = "<*>"
 _DIGITS = "0123456789"
 _LAST = (1 << 63) - 1
@@ -80,13 +83,13 @@ def _first_alike(x: Column, members: Column) -> Column:
     return F.array_min(F.transform(F.filter(members, lambda y: differ(y) <= x["may"]), lambda y: y["lo"]))
 
 
-def _firsts(candidates: DataFrame, small: int) -> DataFrame:
+def _firsts(candidates: DataFrame, small: int, medium: int) -> DataFrame:
     """(own, first): the first document of any alike line, for the lines (node, own, words, may, lo) of a leaf.
     ``may``: places at which alike lines of the node may differ; a place of value null is done with."""
     found, state = [], written(candidates.withColumn("seeks", F.lit(True)), "line-nodes")
     while True:
         counts = state.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("seeks").alias("sought"))
-        large = written(counts.filter(F.col("n") > small).select(F.col("node").alias("_large"), "sought"), "line-large")
+        large = written(counts.filter(F.col("n") > small).select(F.col("node").alias("_large"), "sought", "n"), "line-large")
         at_large = F.col("node") == F.col("_large")
         rest = state.join(broadcast_if_small(large, 17), at_large, "left_anti")
         nodes = rest.groupBy("node").agg(F.collect_list(F.struct("own", "words", "may", "lo", "seeks")).alias("members"))
@@ -94,22 +97,31 @@ def _firsts(candidates: DataFrame, small: int) -> DataFrame:
             F.filter("members", lambda x: x["seeks"]),
             lambda x: F.struct(x["own"].alias("own"), _first_alike(x, F.col("members")).alias("first")))).alias("r"))
         found.append(written(compared.select("r.own", "r.first"), "line-firsts"))
-        live = large.filter("sought").select("_large")
+        live = large.filter("sought").select("_large", "n")
         if live.isEmpty():
             break
-        full = written(state.join(broadcast_if_small(live, 16), at_large, "left_semi"), "line-full")
-        early = F.row_number().over(Window.partitionBy("node").orderBy("lo", "own"))
-        heads = full.select("node", "words", "lo", early.alias("rank")).filter(F.col("rank") <= small).groupBy(
-            F.col("node").alias("_node")).agg(F.collect_list(F.struct("words", "lo")).alias("heads"))
+        full = written(state.join(broadcast_if_small(live, 24), at_large).drop("_large"), "line-full")
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("lo", "own"))
+        ranked = full.select("node", "words", "lo", "n", rank.alias("rank"))
+        member = F.collect_list(F.struct("words", "lo"))
+        heads = ranked.filter(F.col("rank") <= small).groupBy(F.col("node").alias("_node")).agg(member.alias("heads"))
         tried = full.filter("seeks").join(heads, F.col("node") == F.col("_node")).select("node", "own", _first_alike(
             F.struct("words", "may"), F.col("heads")).alias("first"))
         tried = written(tried, "line-tried")
         found.append(tried.filter("first IS NOT NULL").select("own", "first"))
         still = tried.filter("first IS NULL").select(F.col("node").alias("_n"), F.col("own").alias("_o"))
-        open_ = written(still.groupBy(F.col("_n").alias("_open")).agg(F.count(F.lit(1)).alias("_lines")), "line-open")
+        left = written(full.join(still, (F.col("node") == F.col("_n")) & (F.col("own") == F.col("_o")), "left_semi"), "line-left")
+        if left.isEmpty():
+            break
+        pieces = ranked.filter(F.col("n") <= medium).groupBy(
+            F.col("node").alias("_node"), F.floor(F.col("rank") / small).alias("_piece")).agg(member.alias("members"))
+        found.append(written(left.join(pieces, F.col("node") == F.col("_node")).select("own", _first_alike(
+            F.struct("words", "may"), F.col("members")).alias("first")).filter("first IS NOT NULL"), "line-pieces"))
+        open_ = written(left.filter(F.col("n") > medium).groupBy(F.col("node").alias("_open")).agg(
+            F.count(F.lit(1)).alias("_lines")), "line-open")
         if open_.isEmpty():
             break
-        full = full.drop("seeks").join(broadcast_if_small(open_, 24), F.col("node") == F.col("_open"))
+        full = full.drop("seeks", "n").join(broadcast_if_small(open_, 24), F.col("node") == F.col("_open"))
         places = (full.select("node", F.posexplode("words").alias("place", "word")).groupBy("node", "place")
                   .agg((F.min("word") < F.max("word")).alias("varies"), F.approx_count_distinct("word").alias("kinds")))
         split = written(places.filter("varies").groupBy(F.col("node").alias("_node")).agg(
@@ -127,7 +139,8 @@ def _firsts(candidates: DataFrame, small: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("own").agg(F.min("first").alias("first"))
 
 
-def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
+def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL,
+              medium: int = MEDIUM) -> DataFrame:
     """(doc, version, pos, first): each line of a recurring template, and the first document that has it."""
     own = F.xxhash64("m", F.lit(1))
     lines = written(_lines(df, id_col, text_col).select("doc", "version", "pos", _leaf(F.col("m")).alias("leaf"),
@@ -141,7 +154,7 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
              .groupBy("leaf", "own", "m").agg(F.min("doc").alias("lo")))
     words = F.split("m", " ")
     firsts = _firsts(texts.select(F.col("leaf").alias("node"), "own", words.alias("words"),
-                                  F.floor(F.size(words) * (100 - SIMILAR) / 100).cast("int").alias("may"), "lo"), small)
+                                  F.floor(F.size(words) * (100 - SIMILAR) / 100).cast("int").alias("may"), "lo"), small, medium)
 
     placed = kinds.join(firsts.withColumnRenamed("own", "_own"), F.col("own") == F.col("_own"), "left")
     recurring = placed.select(F.col("own").alias("_o"), "hi", F.least("lo", F.col("first")).alias("first"))
@@ -151,9 +164,9 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          count_col: str | None = "dropped_lines", small: int = SMALL) -> DataFrame:
+          count_col: str | None = "dropped_lines", small: int = SMALL, medium: int = MEDIUM) -> DataFrame:
     """``df`` with recurring lines dropped from the text, and their number (int) in ``count_col``."""
-    gone = (templates(df.select(id_col, text_col), id_col, text_col, small).filter(F.col("first") < F.col("doc"))
+    gone = (templates(df.select(id_col, text_col), id_col, text_col, small, medium).filter(F.col("first") < F.col("doc"))
             .groupBy("doc", "version").agg(F.collect_set("pos").alias("gone")))  # at most a document's lines
     gone = written(gone, "line-dropped")
     row = F.col("row")
