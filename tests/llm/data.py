@@ -16,7 +16,7 @@ DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text"
                          "size", "h", "fp", "ids", "kept", "doc", "version", "key", "anchor", "copies", "score",
                          "n_words", "_w", "target", "leaf", "shares", "dropped_lines", "decoded", "_key", "_doc",
                          "_source", "_id", "_version", "_copies", "row", "of", "id", "h2", "tie", "cut", "times", "gone",
-                         "stats", "trains", "spans", "_bit"))])
+                         "stats", "trains", "spans", "_bit", "left_text", "left_count"))])
 EXTRA = len(DOCS.fields) - 5
 
 PROSE = ("the quick brown fox jumps over the lazy dog while the other animals watch from the far side of the "

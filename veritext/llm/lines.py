@@ -181,5 +181,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = F.when(F.col("gone").isNull(), row[text_col]).otherwise(let(F.split(row[text_col], "\n"), left_over))
     count = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
-    return out.select(*(row[c].alias(c) for c in df.columns if c not in (text_col, count_col)), text.alias(text_col),
-                      *([count.alias(count_col)] if count_col else []))
+    out = out.select("row", text.alias("left_text"), count.alias("left_count"))  # before names of the input come back
+    return out.select(*(row[c].alias(c) for c in df.columns if c not in (text_col, count_col)),
+                      F.col("left_text").alias(text_col), *([F.col("left_count").alias(count_col)] if count_col else []))
