@@ -38,6 +38,8 @@ Q_BLOCK = 2048
 SLICE = 256
 #: Share of a block's squared length that the leading rotated coordinates hold.
 LEADING = 0.7
+#: One pair in so many left by the bounds: from there on one matrix product scores them, below it each pair alone.
+DENSE = 16
 _LIMIT = float(1 << 62)
 
 
@@ -117,7 +119,7 @@ def rotation(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def block_scores(q: np.ndarray, v: np.ndarray, q_norm: np.ndarray, v_norm: np.ndarray, least: np.ndarray,
                  turned: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, exact score) of every pair that may reach ``least`` of its query; ``v`` by
+    """(query row, vector row, exact score) of every pair that reaches ``least`` of its query (less a margin); ``v`` by
     descending length, ``turned`` its rotation."""
     margin = 1e-9 * q_norm * (v_norm[0] if len(v_norm) else 0.0) + 1e-6
     reach = least - margin  # bounds below this cannot tie or beat the k-th best
@@ -136,11 +138,17 @@ def block_scores(q: np.ndarray, v: np.ndarray, q_norm: np.ndarray, v_norm: np.nd
         bound = np.zeros((len(q), most))
     able = (bound >= reach[:, None]) & (np.arange(most)[None, :] < counts[:, None])
     i, j = np.nonzero(able)
-    kind = np.int64 if int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(dim, 1) < 1 << 62 else object
-    scores = np.empty(len(i), kind)
-    for at in range(0, len(i), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        scores[part] = (q[i[part]].astype(kind) * v[j[part]].astype(kind)).sum(axis=1)
+    largest = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(dim, 1)
+    if largest < 1 << 53 and DENSE * len(i) > able.size:  # every sum is a whole number that a double holds
+        scores = (q.astype(np.float64) @ v[:most].astype(np.float64).T)[i, j].astype(np.int64)
+    else:
+        kind = np.int64 if largest < 1 << 62 else object
+        scores = np.empty(len(i), kind)
+        for at in range(0, len(i), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            scores[part] = (q[i[part]].astype(kind) * v[j[part]].astype(kind)).sum(axis=1)
+    enough = scores.astype(np.float64) >= reach[i]
+    i, j, scores = i[enough], j[enough], scores[enough]
     return i, j, scores
 
 
