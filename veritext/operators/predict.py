@@ -9,7 +9,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,15 +81,16 @@ def save_weights(spark: SparkSession, path: str, weights=LOGISTIC_WEIGHTS, bias=
 
 
 def shipped_factory(spark: SparkSession, path: str):
-    """A factory whose model is read from a saved folder. The folder is an artifact of the session, copied
-    to each executor once; each Python worker loads it once, when it makes its predict function."""
-    spark.sparkContext.addFile(path, recursive=True)
-    name = path.rstrip("/").rsplit("/", 1)[-1]
+    """A factory whose model is read from a saved folder. Its part file is a file of the session, copied
+    to each executor once; each Python worker loads it once, when it makes its predict function.
+
+    The file is shipped, not the folder: Spark ships no local folder from a cluster's driver."""
+    part = spark.read.text(path).select("_metadata.file_path").first()[0]
+    spark.sparkContext.addFile(part)
+    name = part.rsplit("/", 1)[-1]  # has an id of its own, so that no two models share a name
 
     def make_predict_fn():
-        folder = SparkFiles.get(name)
-        part = next(f for f in sorted(os.listdir(folder)) if f.startswith("part-"))
-        with open(os.path.join(folder, part), encoding="utf-8") as f:
+        with open(SparkFiles.get(name), encoding="utf-8") as f:
             saved = json.loads(f.readline())
         return numpy_logistic_factory(saved["weights"], saved["bias"])()
     return make_predict_fn
