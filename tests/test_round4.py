@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 from pyspark import SparkContext
 
+from veritext.llm import hpylm
 from veritext.operators import predict as PD
 from veritext.session import scratch_path
 
@@ -23,3 +25,20 @@ def test_a_model_ships_where_folders_do_not(spark, monkeypatch):
     made = PD.shipped_factory(spark, PD.save_weights(spark, scratch_path(spark, "a model"), (0.0, 0.0, 0.1), 0.0))
     got = {r["id"]: r["probability"][1] for r in PD.batch_predict(df, ["a", "b", "c"], made).collect()}
     assert got[2] == 0.5 and 0.5 < got[1] < 0.6
+
+
+def test_customers_are_seated_one_by_one():
+    rng = np.random.default_rng(4)
+    customers = np.concatenate([[1, 2, 3, 2000], rng.integers(1, 300, 40)]).astype(float)
+    strength = np.exp(rng.uniform(-5, 8, len(customers)))
+    keys = rng.integers(0, 1 << 60, len(customers)).astype(np.uint64)
+    for d in (0.1, 0.5, 0.95):
+        want = []
+        for n, a, seed in zip(customers, strength, hpylm._seed(keys, np.uint64(3))):
+            t = 1
+            for j in range(1, int(n)):
+                t += hpylm._uniform(np.array([seed]), np.array([j]))[0] < a / (a + j - d * t)
+            want.append(t)
+        assert hpylm.seat(customers, strength, d, keys, np.uint64(3)).tolist() == want
+    # all at once or in any parts: the same
+    assert hpylm.seat(customers[7:], strength[7:], 0.95, keys[7:], np.uint64(3)).tolist() == want[7:]
