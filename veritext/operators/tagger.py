@@ -14,16 +14,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritext.constants import TAG_FEATURES
 from veritext.functions import text as T
 from veritext.operators.lexicon import suffix_tag
-from veritext.operators.textmodel import word_slots
 from veritext.session import scratch_path
 
 TAGS = (*TAG_FEATURES, "OTHER")
@@ -32,7 +33,9 @@ ROUNDS = 5
 #: Prior counts: of a word's listed class, of its suffix's class, and of any class.
 LISTED, SUFFIXED, ANY = 50.0, 5.0, 0.05
 #: Rows of texts that are worked on at once, by their words.
-BATCH_WORDS = 200_000
+BATCH_WORDS = 1_000_000
+#: Words of a text that are followed in one go; a long text is cut, exactly, into pieces of so many.
+PIECE = 256
 
 
 @dataclass
@@ -92,36 +95,87 @@ def _aligned(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def expected(texts: list[np.ndarray], m: Markov) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions over some texts, and their log likelihood."""
+    """Expected starts, transitions and emissions over some texts, and their log likelihood.
+
+    The recursions run over the pieces of all texts at once: what happens between a piece's ends is a matrix
+    over the classes, found for all pieces together, so that the steps taken one after another do not grow
+    with the longest text but for one per piece."""
     n, slots = m.emit.shape
     _, lengths, flat, first = _aligned(texts)
-    start, move, emit, like = np.zeros(n), np.zeros((n, n)), np.zeros((slots, n)), 0.0
+    start, move, emit, like = np.zeros(n), np.zeros((n, n)), np.zeros((n, slots)), 0.0
     if not len(lengths):
-        return start, move, emit.T, like
-    seen = m.emit.T[flat]
+        return start, move, emit, like
+    # the pieces of all texts: first word, words, and whether a text starts there
+    pieces = -(-lengths // PIECE)
+    of = np.repeat(np.arange(len(lengths)), pieces)
+    head = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+    nth = np.arange(len(of)) - head[of]
+    begin = first[of] + nth * PIECE
+    words = np.minimum(lengths[of] - nth * PIECE, PIECE)
+    order = np.argsort(-words, kind="stable")
+    begin, words = begin[order], words[order]
+    spot = np.empty(len(order), np.int64)
+    spot[order] = np.arange(len(order))  # where a text's pieces stand
+    opening = (nth == 0)[order]
+    running = np.searchsorted(-words, -np.arange(int(words[0])), side="left")  # pieces longer than each place
+    # words by their place in their piece: those at one place stand together, pieces in order
+    offset = np.concatenate([[0], np.cumsum(running)])
+    piece = np.repeat(np.arange(len(words)), words)
+    nth_word = np.arange(len(flat)) - np.repeat(np.cumsum(words) - words, words)
+    slot = np.empty(len(flat), np.int64)
+    slot[offset[nth_word] + piece] = flat[begin[piece] + nth_word]
+    seen = m.emit.T[slot]
+    steps = [(k, int(live), slice(offset[k], offset[k + 1])) for k, live in enumerate(running)]
+    # what a piece does to any classes before it, but for a factor
+    through = np.broadcast_to(np.eye(n), (len(words), n, n)).copy()
+    for k, live, at in steps if pieces[0] > 1 else ():
+        step = (through[:live].reshape(-1, n) @ m.move).reshape(live, n, n)
+        if k == 0:
+            step[opening[:live]] = np.eye(n)
+        step *= seen[at][:, None]
+        if k % 8 == 7 or live < len(words):
+            step /= step.sum(axis=(1, 2), keepdims=True)
+        through[:live] = step
+    through /= through.sum(axis=(1, 2), keepdims=True)
+    # classes before and after each piece, from piece to piece of a text
+    enter, leave = np.empty((len(words), n)), np.ones((len(words), n))
+    enter[spot[head]] = m.start
+    most = int(pieces[0])  # the longest text is the first
+    for k in range(1, most):
+        at = head[:np.searchsorted(-pieces, -k, side="left")] + k
+        now = np.einsum("ri,rij->rj", enter[spot[at - 1]], through[spot[at - 1]])
+        enter[spot[at]] = now / now.sum(axis=1, keepdims=True)
+    for k in range(most - 2, -1, -1):
+        at = head[:np.searchsorted(-pieces, -(k + 1), side="left")] + k
+        now = np.einsum("rij,rj->ri", through[spot[at + 1]], leave[spot[at + 1]])
+        leave[spot[at]] = now / now.sum(axis=1, keepdims=True)
     forward, scale = np.empty((len(flat), n)), np.empty(len(flat))
-    longest = int(lengths[0])
-    running = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts longer than each place
-    for k in range(longest):
-        at = first[:running[k]] + k
-        now = (m.start if k == 0 else forward[at - 1] @ m.move) * seen[at]
+    for k, live, at in steps:
+        now = (enter[:live] if k == 0 else forward[offset[k - 1]:offset[k - 1] + live]) @ m.move
+        if k == 0:
+            now[opening[:live]] = m.start
+        now *= seen[at]
         scale[at] = now.sum(axis=1)
         forward[at] = now / scale[at][:, None]
     like = float(np.log(scale).sum())
-    back = np.ones((len(lengths), n))
-    for k in range(longest - 1, -1, -1):
-        live = running[k]
-        at = first[:live] + k
+    shares, back = np.empty((len(flat), n)), leave
+    for k, live, at in reversed(steps):
         share = forward[at] * back[:live]
-        share /= share.sum(axis=1, keepdims=True)
-        np.add.at(emit, flat[at], share)
+        total = share.sum(axis=1, keepdims=True)
+        shares[at] = share / total
+        ahead = seen[at] * back[:live]
         if k == 0:
-            start += share.sum(axis=0)
+            before, some = enter[:live], ~opening[:live]
+            start += shares[at][~some].sum(axis=0)
         else:
-            ahead = seen[at] * back[:live] / scale[at][:, None]
-            move += m.move * (forward[at - 1].T @ ahead)
-            back[:live] = ahead @ m.move.T
-    return start, move, emit.T, like
+            before, some = forward[offset[k - 1]:offset[k - 1] + live], slice(None)
+        # the pairs of neighbours add to one
+        pair = ahead / (scale[at][:, None] * total)
+        move += m.move * (before[some].T @ pair[some])
+        behind = ahead @ m.move.T
+        back[:live] = behind / behind.sum(axis=1, keepdims=True)
+    emit = np.stack([np.bincount(slot, shares[:, c], slots) for c in range(n)])
+    return start, move, emit, like
 
 
 def best_path(texts: list[np.ndarray], m: Markov) -> list[np.ndarray]:
@@ -145,12 +199,13 @@ def best_path(texts: list[np.ndarray], m: Markov) -> list[np.ndarray]:
             ways = best[:live, :, None] + move[None]
             came[at] = ways.argmax(axis=1)
             best[:live] = ways.max(axis=1) + emit[flat[at]]
-    for row, (i, size, a) in enumerate(zip(order, lengths, first)):
-        path, now = np.empty(size, np.int8), int(best[row].argmax())
-        for k in range(size - 1, -1, -1):
-            path[k] = now
-            now = came[a + k, now]
-        out[i] = path
+    path, now = np.empty(len(flat), np.int8), best.argmax(axis=1)
+    for k in range(longest - 1, -1, -1):
+        at = first[:running[k]] + k
+        path[at] = now[:running[k]]
+        now[:running[k]] = came[at, now[:running[k]]]
+    for i, size, a in zip(order, lengths, first):
+        out[i] = path[a:a + size]
     return out
 
 
@@ -185,10 +240,24 @@ def fit(rows: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> tuple[Marko
     return m, log
 
 
+def slots_of(words: str, slots: int) -> Column:
+    """``textmodel.word_slots`` of an array of words; a batch hashes each of its distinct words once."""
+    @F.arrow_udf("array<int>")
+    def hashed(column: pa.Array) -> pa.Array:
+        column = column.cast(pa.large_list(pa.large_string()))
+        found = column.flatten().dictionary_encode()
+        slot = [int(md5(w.encode()).hexdigest()[:8], 16) % slots for w in found.dictionary.to_pylist()]
+        each = pa.array(slot, pa.int32()).take(found.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each, mask=column.is_null())
+
+    return hashed(words)
+
+
 def prepared(df: DataFrame, text_col: str = "cleaned_text", slots: int = SLOTS) -> DataFrame:
     """(review_id, words, slots), written: the words are hashed once for all rounds."""
     rows = df.select("review_id", T.tokens(text_col).alias("words"))
-    rows = rows.select("review_id", "words", word_slots(F.array_join("words", " "), slots).alias("slots"))
+    rows = rows.select("review_id", "words", slots_of("words", slots).alias("slots"))
     path = scratch_path(df.sparkSession, "tagger-slots")
     rows.write.parquet(path)
     return df.sparkSession.read.schema(rows.schema).parquet(path)
