@@ -60,6 +60,23 @@ def test_long_slices_merge_like_short_ones():
         assert list(m.merge(piece.encode())) == encoding().encode_ordinary(piece)
 
 
+def test_slices_of_a_batch_merge_together_like_alone():
+    """One call merges all slices of a batch, also those that repeat, are long or come after the cache started anew."""
+    m = bpe.Merger(P.VOCABULARY)
+    pieces = [" abab", "", "é中", "zq" * 3, "ab" * 150, "\0", "zq" * 3, "the", "x" * 65, "qzqzj1", "😀😀", "x" * 65]
+    want = [encoding().encode_ordinary(p) if p else [] for p in pieces]
+    found, counts = m.merge_all([p.encode() for p in pieces])
+    assert (found.tolist(), counts.tolist()) == ([i for w in want for i in w], [len(w) for w in want])
+    for kept in (len(set(pieces)) - 2, 1):  # slices beyond 64 characters are not kept
+        found, counts = m.batch_ids(pieces)
+        assert (found.tolist(), counts.tolist()) == ([i for w in want for i in w], [len(w) for w in want])
+        assert len(m.cache) == kept
+        m.cache.update({str(i): 0 for i in range(bpe.CACHE_SLICES)})
+        m.batch_ids(["a"])
+        pieces, want = ["a"], [encoding().encode_ordinary("a")]
+    assert [a.tolist() for a in m.batch_ids([])] == [[], []]
+
+
 def test_bpe_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     for r in QUERIES["op7_byte_bpe"](spark, SF_SMALL).collect():

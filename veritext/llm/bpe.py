@@ -6,7 +6,8 @@ over those classes knows, from its state, the class and the next class, whether
 position. The automaton's transition functions form a finite monoid (composition is associative), so
 the states at all positions come from a two-pass scan: every block composes its functions, the block
 results are chained, and each block then replays from its start state; both passes advance all blocks
-at once. The resulting slices feed a pair merge whose results are cached per slice.
+at once. The resulting slices feed a pair merge whose results are cached per slice; the slices of a batch
+that the cache lacks are merged side by side, one merge of each at a time.
 
 Defined results: a null or empty text has no tokens and decodes to the empty string; repeated rows are
 encoded alike; other columns pass through untouched, and output columns that clash replace theirs.
@@ -18,7 +19,6 @@ import base64
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -158,19 +158,26 @@ def token_starts(points: np.ndarray) -> np.ndarray:
     return starts.ravel()[(before.astype(np.int16) * 12 + classes) * 12 + ahead]
 
 
-def slices(texts: list[str]) -> list[list[str]]:
-    """The slices of each text, by one scan over the batch."""
-    points = np.frombuffer("\x00".join(texts).encode("utf-32-le") + b"\0\0\0\0", np.uint32).copy()
+def flat_slices(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The slices of all texts, one after the other, and the number of slices of each, by one scan."""
+    joined = "\x00".join([*texts, ""])
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
     points[ends] = 0x110000
-    cuts = np.flatnonzero(token_starts(points))
-    heads = ends - np.fromiter(map(len, texts), np.int64, len(texts))
-    lo, hi = np.searchsorted(cuts, heads), np.searchsorted(cuts, ends)
-    out = []
-    for text, head, a, b in zip(texts, heads.tolist(), lo.tolist(), hi.tolist()):
-        at = (cuts[a:b] - head).tolist()
-        out.append([text[i:j] for i, j in zip(at, [*at[1:], len(text)])])
-    return out
+    starts = token_starts(points)
+    cuts = np.flatnonzero(starts)
+    starts[ends] = True  # a slice goes up to the next slice or to the end of its text
+    stops = np.flatnonzero(starts)
+    stops = stops[np.searchsorted(stops, cuts, "right")]
+    counts = np.diff(np.searchsorted(cuts, ends), prepend=0)
+    return [joined[i:j] for i, j in zip(cuts.tolist(), stops.tolist())], counts
+
+
+def slices(texts: list[str]) -> list[list[str]]:
+    """The slices of each text, by one scan over the batch."""
+    pieces, counts = flat_slices(texts)
+    stops = np.cumsum(counts).tolist()
+    return [pieces[j - n:j] for j, n in zip(stops, counts.tolist())]
 
 
 # -- pair merging -----------------------------------------------------------------------------
@@ -204,30 +211,84 @@ class Merger:
                 left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if left is not None and right is not None:
                     self.pairs[left << 20 | right] = rank
-        self.cache: dict[str, tuple[int, ...]] = {}
+        order = sorted(self.pairs)
+        self.keys = np.array([*order, NONE], np.int64)  # the last one matches no pair
+        self.merged = np.array([*map(self.pairs.__getitem__, order), NONE], np.int64)
+        self.byte_table = np.array(self.byte_ids, np.int64)
+        left, right = np.repeat(self.byte_table, 256), np.tile(self.byte_table, 256)
+        self.byte_pairs = self._ranks_of(left, right)  # by two neighbouring bytes
+        self._start_cache()
+
+    def _start_cache(self) -> None:
+        self.cache: dict[str, int] = {}  # slice -> its place in the two arrays
+        self.counts = np.zeros(0, np.int64)  # ids of each slice
+        self.found = np.zeros(0, np.int32)  # the ids, one slice after the other
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of neighbours; NONE where they do not merge."""
+        wanted = left << 20 | right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.merged[at], NONE)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        if len(piece) > 200:
-            return self._merge_long(piece)
-        get = self.pairs.get
-        ids = list(map(self.byte_ids.__getitem__, piece))
-        found = [get(x << 20 | y, NONE) for x, y in zip(ids, ids[1:])]
-        while found:
-            best = min(found)
-            if best == NONE:
-                break
-            i = found.index(best)
-            ids[i:i + 2] = (best,)  # a merged pair's rank is its id
-            del found[i]
-            if i < len(found):
-                found[i] = get(best << 20 | ids[i + 1], NONE)
-            if i:
-                found[i - 1] = get(ids[i - 1] << 20 | best, NONE)
-        return tuple(ids)
+        return tuple(self.merge_all([piece])[0].tolist())
+
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one piece after the other, and how many each has."""
+        owners, parts = [], []  # places of pieces, repeated for each id, and the ids
+        short = []
+        for k, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is None and len(piece) <= 200:
+                short.append(k)
+            else:
+                ids = (whole,) if whole is not None else self._merge_long(piece)
+                parts.append(np.array(ids, np.int64))
+                owners.append(np.full(len(ids), k, np.int64))
+        if short:
+            own, ids = self._merge_short([pieces[k] for k in short])
+            owners.append(np.array(short, np.int64)[own])
+            parts.append(ids)
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
+        owner = np.concatenate(owners)
+        ids = np.concatenate(parts)[np.argsort(owner, kind="stable")]
+        return ids.astype(np.int32), np.bincount(owner, minlength=len(pieces))
+
+    def _merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, id) of the merged pieces, all merged at once: each round merges the first pair of lowest
+        rank of every piece, and pieces without such a pair leave."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        ids, own = self.byte_table[data], np.repeat(np.arange(len(pieces)), sizes)
+        ranks = np.full(len(ids), NONE, np.int64)  # of each id and the next one
+        ranks[:-1] = self.byte_pairs[data[:-1] << 8 | data[1:]]
+        ranks[:-1][own[:-1] != own[1:]] = NONE
+        done_own, done_ids = [], []
+        while len(ids):
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            lowest = np.repeat(np.minimum.reduceat(ranks, heads), np.diff(heads, append=len(ids)))
+            over = lowest == NONE
+            if over.any():
+                done_own.append(own[over])
+                done_ids.append(ids[over])
+                ids, own, ranks, lowest = ids[~over], own[~over], ranks[~over], lowest[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(ranks == lowest)
+            at = at[np.diff(own[at], prepend=-1) != 0]
+            ids[at] = ranks[at]  # a merged pair's rank is its id
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # places after the second ids of earlier pieces are gone
+            ids, own, ranks = ids[keep], own[keep], ranks[keep]
+            for left in (at[at > 0] - 1, at[at + 1 < len(ids)]):
+                ranks[left] = np.where(own[left] == own[left + 1], self._ranks_of(ids[left], ids[left + 1]), NONE)
+            if at[-1] == len(ids) - 1:
+                ranks[-1] = NONE
+        owner = np.concatenate(done_own) if done_own else own
+        order = np.argsort(owner, kind="stable")
+        return owner[order], (np.concatenate(done_ids) if done_ids else ids)[order]
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same merge with a heap over a linked list, for slices of any length."""
@@ -258,17 +319,26 @@ class Merger:
         return tuple(ranks[piece[i:end[i]]] for i in range(n) if alive[i])
 
     def ids(self, pieces: list[str]) -> list[int]:
-        cache, out = self.cache, []
-        for p in pieces:
-            got = cache.get(p)
-            if got is None:
-                got = self.merge(p.encode())
-                if len(cache) >= CACHE_SLICES:
-                    cache.clear()
-                if len(p) <= 64:
-                    cache[p] = got
-            out.append(got)
-        return list(chain.from_iterable(out))
+        return self.batch_ids(pieces)[0].tolist()
+
+    def batch_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all slices, one slice after the other, and how many each has."""
+        if len(self.cache) >= CACHE_SLICES or len(self.found) >= 16 * CACHE_SLICES:
+            self._start_cache()
+        cache = self.cache
+        new = [p for p in dict.fromkeys(pieces) if p not in cache]
+        if new:
+            found, counts = self.merge_all([p.encode() for p in new])
+            cache.update(zip(new, range(len(self.counts), len(self.counts) + len(new))))
+            self.found, self.counts = np.concatenate([self.found, found]), np.concatenate([self.counts, counts])
+        at = np.fromiter(map(cache.__getitem__, pieces), np.int64, len(pieces))
+        for p in new:
+            if len(p) > 64:
+                del cache[p]
+        counts = self.counts[at]
+        first = (np.cumsum(self.counts) - self.counts)[at]
+        place = np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+        return self.found[place], counts
 
 
 @lru_cache(maxsize=4)
@@ -304,10 +374,13 @@ def _encoder(names: list[str], vocabulary: str, text_col: str, ids_col: str, off
             column = batch.column(text_col)
             for a, b in _runs((n or 0 for n in pc.binary_length(column).to_pylist()), BATCH_CHARS):
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
-                rows = [np.array(bpe.ids(p), np.int32) for p in slices(texts)]
-                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-                offs = np.concatenate([np.cumsum(lengths[r]) - lengths[r] for r in rows]).astype(np.int32)
+                pieces, n_pieces = flat_slices(texts)
+                flat, n_ids = bpe.batch_ids(pieces)
+                ends = np.append(0, np.cumsum(n_ids))[np.append(0, np.cumsum(n_pieces))]
+                size = lengths[flat]
+                before = np.append(0, np.cumsum(size))  # bytes of the whole batch before each id
+                offs = (before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))).astype(np.int32)
+                ends = ends.astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(n).slice(a, b - a) for n in names),
                      pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(ends, offs)],
